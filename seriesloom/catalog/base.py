@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.columns import truncate_ts
 from seriesloom.operators.clusters import assign_parent, build_cluster_table, lloyd_1d
 from seriesloom.operators.panel import key_total
+from seriesloom.sources.artifacts import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +46,11 @@ def daily_panel(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def settled(panel: DataFrame) -> DataFrame:
+    """Write a reduced panel once, for queries that read it several times."""
+    return settle(panel, "panel")[0]
+
+
 def hourly_panel(spark: SparkSession, d: str) -> DataFrame:
     """Mean event value per type and hour."""
     return (

@@ -13,6 +13,7 @@ from seriesloom.catalog.base import (
     daily_panel,
     hourly_panel,
     query,
+    settled,
     stand_in_params,
     table,
 )
@@ -73,7 +74,7 @@ def make_future(spark, d):
 SELECT p.key, ds, round(y, 2) AS y, round(intercept + slope * ({DAY_SQL} - t0), 3) AS yhat FROM p JOIN m ON m.key = p.key""",
 )
 def predict_linear(spark, d):
-    panel = daily_panel(spark, d)
+    panel = settled(daily_panel(spark, d))
     return _round(linear.predict_linear(linear.fit_linear(panel), panel), y=2, yhat=3)
 
 
@@ -83,7 +84,7 @@ def predict_linear(spark, d):
 SELECT fut.key, ds, round(intercept + slope * ({DAY_SQL} - t0), 3) AS yhat FROM fut JOIN m ON m.key = fut.key""",
 )
 def forecast_linear(spark, d):
-    return _round(linear.forecast_linear(daily_panel(spark, d), 365, "D"), yhat=3)
+    return _round(linear.forecast_linear(settled(daily_panel(spark, d)), 365, "D"), yhat=3)
 
 
 @query(
@@ -134,10 +135,10 @@ def cv_cutoffs(spark, d):
 @query(
     "cv_linear",
     f"""WITH p AS ({PH_SQL}), {_cv_sql(*HOURLY_CV)}
-SELECT key, cutoff, ds, round(y, 5) AS y, round(yhat, 5) AS yhat FROM cv""",
+SELECT key, cutoff, ds, round(y, 8) AS y, round(yhat, 6) AS yhat FROM cv""",
 )
 def cv_linear(spark, d):
-    return _round(evaluate.cv_linear(hourly_panel(spark, d), *HOURLY_CV), y=5, yhat=5)
+    return _round(evaluate.cv_linear(settled(hourly_panel(spark, d)), *HOURLY_CV), y=8, yhat=6)
 
 
 METRIC_DIGITS = {"mse": 4, "rmse": 5, "mae": 5, "mape": 5, "mdape": 5, "smape": 6}
@@ -152,7 +153,7 @@ SELECT key, count(*) AS n, round(avg(se), 4) AS mse, round(sqrt(avg(se)), 5) AS
 round(avg(ape), 5) AS mape, round(median(ape), 5) AS mdape, round(avg(sape), 6) AS smape FROM e GROUP BY key""",
 )
 def cv_metrics(spark, d):
-    return _round(evaluate.cv_metrics(evaluate.cv_linear(hourly_panel(spark, d), *HOURLY_CV)), **METRIC_DIGITS)
+    return _round(evaluate.cv_metrics(evaluate.cv_linear(settled(hourly_panel(spark, d)), *HOURLY_CV)), **METRIC_DIGITS)
 
 
 @query(
@@ -171,7 +172,7 @@ round(sqrt((cse - bcse + rest * bse) / width), 5) AS rmse, round((cae - bcae + r
 round((cape - bcape + rest * bape) / width, 5) AS mape, round((csape - bcsape + rest * bsape) / width, 6) AS smape FROM j""",
 )
 def cv_metrics_horizon(spark, d):
-    by_horizon = evaluate.cv_metrics_by_horizon(evaluate.cv_linear(hourly_panel(spark, d), *HOURLY_CV))
+    by_horizon = evaluate.cv_metrics_by_horizon(evaluate.cv_linear(settled(hourly_panel(spark, d)), *HOURLY_CV))
     return _round(by_horizon, **METRIC_DIGITS)
 
 
@@ -181,7 +182,7 @@ def cv_metrics_horizon(spark, d):
 SELECT key, round(sqrt(avg((y - yhat) ** 2)), 5) AS rmse FROM cv GROUP BY key""",
 )
 def model_rmse_linear(spark, d):
-    return _round(evaluate.linear_rmse(hourly_panel(spark, d), *HOURLY_CV), rmse=5)
+    return _round(evaluate.linear_rmse(settled(hourly_panel(spark, d)), *HOURLY_CV), rmse=5)
 
 
 RIDGE_SCALES = [0.001, 0.01, 0.1, 0.5]
@@ -195,7 +196,7 @@ r AS (SELECT s.key, ordinal, scale, sqrt(avg((y - (my + sxy / (sxx + 1 / (scale
 
 @query("grid_search_ridge", f"{RIDGE_SQL} SELECT key, ordinal, scale, round(rmse, 3) AS rmse FROM r")
 def grid_search_ridge(spark, d):
-    return _round(evaluate.grid_search_ridge(daily_panel(spark, d), RIDGE_SCALES, *YEARLY_CV), rmse=3)
+    return _round(evaluate.grid_search_ridge(settled(daily_panel(spark, d)), RIDGE_SCALES, *YEARLY_CV), rmse=3)
 
 
 @query(
@@ -204,7 +205,7 @@ def grid_search_ridge(spark, d):
 row_number() OVER (PARTITION BY key ORDER BY round(rmse, 3), ordinal) AS rn FROM r) WHERE rn = 1""",
 )
 def grid_best(spark, d):
-    scores = evaluate.grid_search_ridge(daily_panel(spark, d), RIDGE_SCALES, *YEARLY_CV)
+    scores = evaluate.grid_search_ridge(settled(daily_panel(spark, d)), RIDGE_SCALES, *YEARLY_CV)
     return _round(best_params(scores, ["key"], digits=3).select("key", "ordinal", "scale", "rmse"), rmse=3)
 
 
@@ -226,47 +227,59 @@ HOURLY = ModelSpec(yearly=False, weekly=True, daily=True)
 
 @query("fit_panel")
 def fit_panel(spark, d):
-    return additive.fit_panel(daily_panel(spark, d))
+    return additive.fit_panel(settled(daily_panel(spark, d)))
 
 
 @query("fit_seasonal")
 def fit_seasonal(spark, d):
-    return additive.fit_panel(daily_panel(spark, d), SEASONS)
+    return additive.fit_panel(settled(daily_panel(spark, d)), SEASONS)
 
 
 @query("predict_panel")
 def predict_panel(spark, d):
-    panel = daily_panel(spark, d)
+    panel = settled(daily_panel(spark, d))
     return additive.predict_panel(additive.fit_panel(panel, SEASONS), panel)
 
 
 @query("forecast_panel")
 def forecast_panel(spark, d):
-    return additive.forecast_panel(daily_panel(spark, d), 365, "D")
+    return additive.forecast_panel(settled(daily_panel(spark, d)), 365, "D")
 
 
 @query("interval_width")
 def interval_width(spark, d):
     spec = ModelSpec(interval_width=0.95, seasonality_mode="multiplicative", yearly=True, weekly=True, daily=False)
-    return additive.forecast_panel(daily_panel(spark, d), 365, "D", spec)
+    return additive.forecast_panel(settled(daily_panel(spark, d)), 365, "D", spec)
 
 
 @query("global_model")
 def global_model(spark, d):
     """The series of all event types, hourly, fitted with all seasons and extended by 300 hours."""
     events = table(spark, d, "events").withColumn("hour", truncate_ts("hour", "ts"))
-    series = global_series(events, "hour", "value", "mean").select(F.lit("global").alias("key"), "ds", "y")
+    series = settled(global_series(events, "hour", "value", "mean").select(F.lit("global").alias("key"), "ds", "y"))
     return additive.forecast_panel(series, 300, "H", ModelSpec(yearly=True, weekly=True, daily=True))
 
 
-@query("describe_models")
+@query(
+    "describe_models",
+    f"""WITH p AS ({PH_SQL}),
+n AS (SELECT key, count(*) AS n, epoch_us(max(ds)) - epoch_us(min(ds)) AS span FROM p GROUP BY key),
+g AS (SELECT key, min(gap) AS gap FROM (SELECT key,
+  epoch_us(ds) - epoch_us(lag(ds) OVER (PARTITION BY key ORDER BY ds)) AS gap FROM p) WHERE gap > 0 GROUP BY key)
+SELECT n.key, CASE WHEN n >= 2 THEN 'ok' ELSE 'too_short' END AS status, 'linear' AS growth,
+'additive' AS seasonality_mode, 0.8::DOUBLE AS interval_width, 0.05::DOUBLE AS changepoint_prior_scale,
+10.0::DOUBLE AS seasonality_prior_scale,
+CAST(greatest(0, least(25, floor(0.8::DOUBLE * n) - 1)) AS INTEGER) AS n_changepoints,
+span >= 730 * 86400000000 AS yearly, span >= 14 * 86400000000 AND gap < 7 * 86400000000 AS weekly,
+span >= 2 * 86400000000 AND gap < 86400000000 AS daily FROM n JOIN g ON g.key = n.key""",
+)
 def describe_models(spark, d):
-    return additive.describe_models(additive.fit_panel(hourly_panel(spark, d)))
+    return additive.describe_models(additive.fit_panel(settled(hourly_panel(spark, d))))
 
 
 @query("cross_validate")
 def cross_validate(spark, d):
-    return evaluate.cross_validate(hourly_panel(spark, d), *HOURLY_CV, spec=HOURLY)
+    return evaluate.cross_validate(settled(hourly_panel(spark, d)), *HOURLY_CV, spec=HOURLY)
 
 
 @query("grid_search")
@@ -274,27 +287,27 @@ def grid_search(spark, d):
     """One global series, 16 settings."""
     days = table(spark, d, "orders").withColumn("day", truncate_ts("day", "o_orderdate"))
     series = global_series(days, "day", "o_totalprice", "sum").select(F.lit("global").alias("key"), "ds", "y")
-    return evaluate.grid_search(series, *YEARLY_CV, spec=SEASONS)
+    return evaluate.grid_search(settled(series), *YEARLY_CV, spec=SEASONS)
 
 
 @query("grid_search_parents")
 def grid_search_parents(spark, d):
     """One nation per cluster of nations, 16 settings each."""
-    panel = daily_panel(spark, d)
+    panel = settled(daily_panel(spark, d))
     known = transfer.cluster_panel(panel, k=5, iterations=5)
     return evaluate.grid_search(transfer.parent_series(panel, known), *YEARLY_CV, spec=SEASONS)
 
 
 @query("parents_trained")
 def parents_trained(spark, d):
-    panel = daily_panel(spark, d)
+    panel = settled(daily_panel(spark, d))
     known = transfer.cluster_panel(panel, k=5, iterations=5)
     return transfer.tune_parents(panel, known, *YEARLY_CV, spec=SEASONS)
 
 
 def _nation_params(spark, d):
     """Clusters of nations with stand-in scales, so that the fits do not hang on a grid search."""
-    panel = daily_panel(spark, d)
+    panel = settled(daily_panel(spark, d))
     known = transfer.cluster_panel(panel, k=5, iterations=5)
     return panel, known, stand_in_params(known)
 
@@ -315,7 +328,7 @@ def fit_parents_again(spark, d):
 @query("fit_fixed_params")
 def fit_fixed_params(spark, d):
     spec = ModelSpec(yearly=True, weekly=True, daily=False, changepoint_prior_scale=0.5, seasonality_prior_scale=10.0)
-    return additive.fit_panel(daily_panel(spark, d), spec)
+    return additive.fit_panel(settled(daily_panel(spark, d)), spec)
 
 
 @query("model_rmse")

@@ -151,9 +151,9 @@ def _supplier_fraction(spark, d):
     )
 
 
-@query("distance_abs", f"WITH {SUPPLIER_SQL} SELECT s_suppkey, s_nationkey, round(distance, 4) AS distance FROM g")
+@query("distance_abs", f"WITH {SUPPLIER_SQL} SELECT s_suppkey, s_nationkey, round(distance, 6) AS distance FROM g")
 def distance_abs(spark, d):
-    return _supplier_distance(spark, d).select("s_suppkey", "s_nationkey", F.round("distance", 4).alias("distance"))
+    return _supplier_distance(spark, d).select("s_suppkey", "s_nationkey", F.round("distance", 6).alias("distance"))
 
 
 @query("min_max_frac", f"WITH {SUPPLIER_SQL} SELECT s_suppkey, s_nationkey, round(frac, 6) AS frac_distance FROM g")
@@ -223,10 +223,10 @@ def pick_metric(spark, d):
 # ---- aggregates ----------------------------------------------------------------------------------------------------
 
 
-@query("global_mean_series", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ds, round(avg(value), 6) AS y FROM events GROUP BY 1")
+@query("global_mean_series", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ds, round(avg(value), 8) AS y FROM events GROUP BY 1")
 def global_mean_series(spark, d):
     hours = table(spark, d, "events").withColumn("hour", C.truncate_ts("hour", "ts"))
-    return panel.global_series(hours, "hour", "value", "mean").withColumn("y", F.round("y", 6))
+    return panel.global_series(hours, "hour", "value", "mean").withColumn("y", F.round("y", 8))
 
 
 @query(
@@ -243,9 +243,9 @@ def key_sum(spark, d):
     return panel.key_total(table(spark, d, "orders"), "o_custkey", "o_totalprice").withColumn("total", F.round("total", 2))
 
 
-@query("key_mean", "SELECT user_id, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+@query("key_mean", "SELECT user_id, round(avg(value), 8) AS mean FROM events GROUP BY 1")
 def key_mean(spark, d):
-    return panel.key_mean(table(spark, d, "events"), "user_id", "value").withColumn("mean", F.round("mean", 6))
+    return panel.key_mean(table(spark, d, "events"), "user_id", "value").withColumn("mean", F.round("mean", 8))
 
 
 @query("key_count", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
@@ -392,7 +392,7 @@ def model_index(spark, d):
 
 @query(
     "apply_by_key",
-    """SELECT event_id, user_id AS key, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS centred FROM events""",
+    """SELECT event_id, user_id AS key, round(value - avg(value) OVER (PARTITION BY user_id), 8) AS centred FROM events""",
 )
 def apply_by_key_query(spark, d):
     def centre(rows):
@@ -405,4 +405,4 @@ def apply_by_key_query(spark, d):
         "event_id bigint, key bigint, centred double",
         totals={"mean_y": F.avg("y")},
     )
-    return out.withColumn("centred", F.round("centred", 6))
+    return out.withColumn("centred", F.round("centred", 8))

@@ -137,8 +137,11 @@ def sums_of_products(
         ),
         schema,
     )
+    # A stated number of partitions keeps the solves spread: the sums are small in bytes but not in work.
+    spark = rows.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return (
-        partials.repartition(*group)
+        partials.repartition(width, *group)
         .sortWithinPartitions(*group)
         .mapInArrow(
             partial(kernels.merge_sums, schema=arrow, group=group, carried=carried, parts=parts),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions.columns import floor_div, from_micros
+from seriesloom.functions.columns import floor_div, from_micros, micros
 from seriesloom.models.additive import (
     BASIS,
     MIN_ROWS,
@@ -216,8 +216,7 @@ def _fold_basis(
     if spec.seasonality_mode != "additive":
         raise ValueError("cross-validation covers the additive mode")
     stats = series_stats(panel, spec, keys).where(F.col("n_obs") >= MIN_ROWS)
-    as_micros = stats.withColumn("_first", F.round(F.col("_start") * F.lit(86_400_000_000.0)).cast("bigint"))
-    ends = as_micros.join(_bounds(panel, keys).select(*keys, "_last"), keys)
+    ends = stats.withColumn("_first", micros("first_ds")).withColumn("_last", micros("last_ds"))
     ladder = key_table(_ladder(ends, initial, period, horizon).where(F.col("_folds") > 0), "n_obs", "folds")
     rows = _with_folds(attach(usable(panel, keys), ladder, keys, count_col="n_obs", limits=limits), period, horizon)
     parts = (
@@ -245,7 +244,7 @@ def _fold_basis(
     per_key = each.groupBy(*keys, "n_obs", "_start", "_seasons", "_top", "_folds").agg(
         F.sort_array(F.collect_list(fold)).alias("_basis")
     )
-    return key_table(per_key, "n_obs", "fold_basis")
+    return key_table(per_key, "n_obs", "fold_basis", {"folds": F.coalesce(F.sum("_folds"), F.lit(0))})
 
 
 def _fold_sums(
@@ -257,8 +256,7 @@ def _fold_sums(
     keys: list[str],
     limits: Limits,
 ) -> tuple[DataFrame, DataFrame]:
-    folds = table.frame.agg(F.sum("_folds")).first()[0] or 0
-    together = not sums_fit_task(folds, spec, parts=2)
+    together = not sums_fit_task(table.extra["folds"], spec, parts=2)
     rows = rows_with_basis(usable(panel, keys), table, keys, "n_obs", together, limits)
     rows = _with_folds(rows, period, horizon)
     used = (

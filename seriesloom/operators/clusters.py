@@ -8,22 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import guarded_fraction, hash_unit, in_band, order_hash, sample_percent
-from seriesloom.operators.ordering import best_row, top_k_per_group, with_index
+from seriesloom.operators.ordering import best_row, rows_at_ranks, sorted_table, top_k_per_group
 from seriesloom.operators.skew import DEFAULT_LIMITS, Limits, attach
 from seriesloom.sources.artifacts import settle
 
 LIST_PIECE = 10_000
 
 
-def _nearest(value: Column, centroids: list[float]) -> Column:
+def _nearest(value: str, centroids: list[float]) -> Column:
     """Struct (gap, id) of the nearest centroid; equal gaps go to the lower id."""
-    options = [F.struct(F.abs(value - F.lit(c)).alias("gap"), F.lit(i).alias("id")) for i, c in enumerate(centroids)]
-    return F.least(*options) if len(options) > 1 else options[0]
+    options = ", ".join(f"struct(abs({value} - ({c!r}D)) AS gap, {i} AS id)" for i, c in enumerate(centroids))
+    return F.expr(f"least({options})" if len(centroids) > 1 else options)
 
 
 def _assigned(table: DataFrame, key: str, value: str, centroids: list[float]) -> DataFrame:
     centers = F.array(*[F.lit(c) for c in centroids])
-    near = table.select(key, value, _nearest(F.col(value), centroids)["id"].alias("cluster_id"))
+    near = table.select(key, value, _nearest(value, centroids)["id"].alias("cluster_id"))
     return near.withColumn("centroid", F.get(centers, F.col("cluster_id"))).withColumn(
         "distance", F.abs(F.col(value) - F.col("centroid"))
     )
@@ -32,25 +32,20 @@ def _assigned(table: DataFrame, key: str, value: str, centroids: list[float]) ->
 def lloyd_1d(df: DataFrame, key: str, value: str, k: int, iterations: int) -> DataFrame:
     """One-dimensional k-means from quantile starts with a fixed number of rounds; the result is repeatable.
 
-    The keys are numbered by value once, which gives the exact start ranks. Each round is one aggregate to
+    The keys are sorted by value and written once, which gives the exact start ranks. Each round is one aggregate to
     at most ``k`` means; only those means reach the driver. An empty cluster keeps its centroid.
     """
-    table, seen = settle(
-        with_index(df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias(value)),
-                   [value, key], "_rank", start=0),
-        "values",
-        {"n": F.count(F.lit(1))},
-    )
+    values = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias(value))
+    table, seen = sorted_table(values, [value, key], {"n": F.count(F.lit(1))})
     n = seen["n"]
     if n == 0:
-        return _assigned(table, key, value, [0.0]).limit(0)
+        return _assigned(table, key, value, [0.0])
     ranks = [(2 * i + 1) * n // (2 * k) for i in range(k)]
-    # at most k rows
-    starts = {r["_rank"]: r[value] for r in table.where(F.col("_rank").isin(*set(ranks))).collect()}
-    centroids = [starts[r] for r in ranks]
+    starts = rows_at_ranks(table, ranks)
+    centroids = [starts[r][value] for r in ranks]
     for _ in range(iterations):
         means = dict(
-            table.groupBy(_nearest(F.col(value), centroids)["id"].alias("cluster_id"))
+            table.groupBy(_nearest(value, centroids)["id"].alias("cluster_id"))
             .agg(F.avg(value).alias("mean"))
             .collect()
         )

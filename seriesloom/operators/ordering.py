@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import hash_unit, order_hash
@@ -19,21 +19,49 @@ def running_total(df: DataFrame, by: list[str], order: str, value: str, name: st
     return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0).cast("bigint")))
 
 
-def with_index(df: DataFrame, order: list[str | Column], name: str = "index", start: int = 1) -> DataFrame:
-    """Number all rows in order. Range partitions are sorted, written once and shifted by their offsets,
-    so no task holds more than its own range."""
+SLOT_BITS = 33
+
+
+def sorted_table(df: DataFrame, order: list[str | Column], metrics: dict[str, Column] | None = None):
+    """Write the rows in global order with their place ``_slot`` (range partition, position inside it)."""
     spread = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
     )
-    table, _ = settle(spread, "indexed")
-    part = F.shiftright("_slot", 33)
-    sizes = table.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = running_total(sizes, [], "_part", "_rows", "_before").drop("_rows")
-    local = F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1))
+    return settle(spread, "sorted", metrics)
+
+
+def _part() -> Column:
+    return F.shiftright("_slot", SLOT_BITS)
+
+
+def _part_sizes(table: DataFrame) -> DataFrame:
+    """Rows of each range partition: as many rows as there are partitions."""
+    return table.groupBy(_part().alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def rows_at_ranks(table: DataFrame, ranks: list[int]) -> dict[int, Row]:
+    """Rows of a sorted table at the given 0-based ranks; only these rows reach the driver."""
+    slots: dict[int, list[int]] = {}
+    before = 0
+    for part, rows in sorted(_part_sizes(table).collect()):
+        for rank in ranks:
+            if before <= rank < before + rows:
+                slots.setdefault((part << SLOT_BITS) + rank - before, []).append(rank)
+        before += rows
+    found = table.where(F.col("_slot").isin(*slots)).collect()
+    return {rank: row for row in found for rank in slots[row["_slot"]]}
+
+
+def with_index(df: DataFrame, order: list[str | Column], name: str = "index", start: int = 1) -> DataFrame:
+    """Number all rows in order. Range partitions are sorted, written once and shifted by their offsets,
+    so no task holds more than its own range."""
+    table, _ = sorted_table(df, order)
+    offsets = running_total(_part_sizes(table), [], "_part", "_rows", "_before").drop("_rows")
+    local = F.col("_slot").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
     return (
-        table.withColumn("_part", part)
+        table.withColumn("_part", _part())
         .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_before") + local + F.lit(start))
         .drop("_part", "_slot", "_before")

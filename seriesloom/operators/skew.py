@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
@@ -47,6 +47,7 @@ class KeyTable:
     keys: int
     rows: int
     largest: int
+    extra: dict = field(default_factory=dict)
 
     def small(self, limits: Limits = DEFAULT_LIMITS) -> bool:
         return fits_broadcast(self.keys, self.frame.schema, limits)
@@ -56,8 +57,13 @@ class KeyTable:
         return max(limits.rows_per_piece, -(-self.rows // limits.max_split_keys))
 
 
-def key_table(frame: DataFrame, count_col: str | None = None, name: str = "keys") -> KeyTable:
-    """Settle a per-key table; ``count_col`` holds the number of rows of each key where known."""
+def key_table(
+    frame: DataFrame, count_col: str | None = None, name: str = "keys", extra: Mapping[str, Column] | None = None
+) -> KeyTable:
+    """Settle a per-key table; ``count_col`` holds the number of rows of each key where known.
+
+    ``extra`` names further aggregates to observe while writing.
+    """
     zero = F.lit(0).cast("bigint")
     count = zero if count_col is None else F.col(count_col).cast("bigint")
     table, seen = settle(
@@ -67,13 +73,10 @@ def key_table(frame: DataFrame, count_col: str | None = None, name: str = "keys"
             "keys": F.count(F.lit(1)),
             "rows": F.coalesce(F.sum(count), zero),
             "largest": F.coalesce(F.max(count), zero),
+            **(extra or {}),
         },
     )
-    return KeyTable(table, seen["keys"], seen["rows"], seen["largest"])
-
-
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]):
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+    return KeyTable(table, seen["keys"], seen["rows"], seen["largest"], {k: seen[k] for k in extra or {}})
 
 
 def split_pieces(rows: DataFrame, table: KeyTable, keys: list[str], count_col: str, limits: Limits) -> DataFrame:
