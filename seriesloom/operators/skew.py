@@ -41,7 +41,7 @@ def fits_broadcast(rows: int, schema: StructType, limits: Limits = DEFAULT_LIMIT
 
 @dataclass(frozen=True)
 class KeyTable:
-    """A per-key table written once, with the totals seen while it was written."""
+    """A per-key table written once, with its totals."""
 
     frame: DataFrame
     keys: int
@@ -62,7 +62,7 @@ def key_table(
 ) -> KeyTable:
     """Settle a per-key table; ``count_col`` holds the number of rows of each key where known.
 
-    ``extra`` names further aggregates to observe while writing.
+    ``extra`` names further aggregates of the table.
     """
     zero = F.lit(0).cast("bigint")
     count = zero if count_col is None else F.col(count_col).cast("bigint")

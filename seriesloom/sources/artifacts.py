@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _own_folder: dict[str, str] = {}
@@ -62,15 +62,12 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
 def settle(df: DataFrame, name: str, metrics: Mapping[str, Column] | None = None) -> tuple[DataFrame, dict]:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    ``metrics`` are aggregates observed while writing, so learning a table's size costs no second job.
+    ``metrics`` are aggregates of the written table; they read back only the columns they name.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    seen: dict = {}
-    if metrics:
-        watch = Observation()
-        df.observe(watch, *[column.alias(label) for label, column in metrics.items()]).write.parquet(path)
-        seen = watch.get
-    else:
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if not metrics:
+        return table, {}
+    return table, table.agg(*[column.alias(label) for label, column in metrics.items()]).first().asDict()
