@@ -150,19 +150,26 @@ def sums_of_products(
     )
 
 
+# A batch of rows holds many rows of each of this few groups, so summing them where they lie pays.
+FEW_GROUPS = 128
+
+
 def sums_fit_task(groups: int, spec: ModelSpec, parts: int = 1) -> bool:
-    """True if the open sums of all groups fit one task, so that rows need not be brought together first."""
-    return groups * parts * kernels.packed_width(spec.width) * 8 <= kernels.ACCUMULATOR_BYTES
+    """True if rows need not be brought together by key before they are summed: the groups are few, and the open sums
+    of all of them fit one task."""
+    held = groups * parts * kernels.packed_width(spec.width) * 8
+    return groups <= FEW_GROUPS and held <= kernels.ACCUMULATOR_BYTES
 
 
 def rows_with_basis(
     rows: DataFrame, table: KeyTable, keys: list[str], count_col: str, together: bool, limits: Limits
 ) -> DataFrame:
-    """Attach the per-key basis; with ``together`` the rows of a key (or of a piece of it) share a task."""
-    if together and table.small(limits):
-        pieces = split_pieces(rows, table, keys, count_col, limits)
-        rows = pieces.repartition(*keys, "_piece").sortWithinPartitions(*keys).drop("_piece")
-    return attach(rows, table, keys, count_col=count_col, limits=limits)
+    """Attach the per-key basis; with ``together`` the rows of a key (or of a piece of it) share a task, in order."""
+    if not together:
+        return attach(rows, table, keys, count_col=count_col, limits=limits)
+    if table.small(limits):
+        rows = split_pieces(rows, table, keys, count_col, limits).repartition(*keys, "_piece").drop("_piece")
+    return attach(rows, table, keys, count_col=count_col, limits=limits).sortWithinPartitions(*keys)
 
 
 def solve_groups(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,10 +104,11 @@ class Sums:
         self.most = max(64, ACCUMULATOR_BYTES // max(1, width * 8 * len(sums)))
         self.open: dict[tuple, tuple[list, list[np.ndarray]]] = {}
 
-    def add(self, name: tuple, row: list, vectors: list[np.ndarray]) -> None:
+    def add(self, batch: pa.RecordBatch, first: int, group: list[str], vectors: list[np.ndarray]) -> None:
+        name = tuple(batch.column(g)[first].as_py() for g in group)
         held = self.open.get(name)
         if held is None:
-            self.open[name] = (row, vectors)
+            self.open[name] = ([batch.column(c)[first].as_py() for c in self.carried], vectors)
         else:
             for total, vector in zip(held[1], vectors, strict=True):
                 total += vector
@@ -128,15 +130,20 @@ def packed_width(columns: int) -> int:
     return columns * (columns + 1) // 2 + columns + 3
 
 
+@cache
+def upper_triangle(columns: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(columns)
+
+
 def pack(x: np.ndarray, y: np.ndarray, seconds: float) -> np.ndarray:
-    upper = np.triu_indices(x.shape[1])
+    upper = upper_triangle(x.shape[1])
     return np.concatenate([(x.T @ x)[upper], x.T @ y, [y @ y, len(y), seconds]])
 
 
 def unpack(rows: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stacked (A, b, yy, n, seconds)."""
     size = columns * (columns + 1) // 2
-    upper = np.triu_indices(columns)
+    upper = upper_triangle(columns)
     a = np.zeros((len(rows), columns, columns))
     a[:, upper[0], upper[1]] = rows[:, :size]
     a[:, upper[1], upper[0]] = rows[:, :size]
@@ -174,7 +181,6 @@ def sum_products(
         y = numbers(batch, "y") / numbers(batch, "_scale")
         test = numbers(batch, "_test", bool) if len(parts) == 2 else np.zeros(len(y), dtype=bool)
         share = (time.perf_counter() - began) / max(1, batch.num_rows)
-        held = {name: batch.column(name) for name in carried}
         for first, rows in segments(batch, group):
             began = time.perf_counter()
             vectors = []
@@ -182,8 +188,7 @@ def sum_products(
                 mine = rows[test[rows] == bool(part)] if len(parts) == 2 else rows
                 vectors.append(pack(x[mine], y[mine], 0.0))
             vectors[0][-1] = share * len(rows) + time.perf_counter() - began
-            values = [held[name][first].as_py() for name in carried]
-            sums.add(tuple(held[name][first].as_py() for name in group), values, vectors)
+            sums.add(batch, first, group, vectors)
         if sums.full():
             yield from sums.drain()
     yield from sums.drain()
@@ -240,26 +245,41 @@ def solve(
     slope changes; the noise scale then has a closed form.
     """
     height, width = b.shape
-    precision = np.empty((height, width))
-    precision[:, :2] = 1.0 / 25.0
-    precision[:, 2 + knots :] = (1.0 / season_scale**2)[:, None]
-    precision[:, 2 : 2 + knots] = (1.0 / changepoint_scale**2)[:, None]
+    theta, sigma = np.zeros((height, width)), np.zeros(height)
+    # Columns without any weight (blocks that are off, knots a short series lacks) stay 0 and need no work.
+    used = np.flatnonzero(np.einsum("ijj->ij", a).max(axis=0, initial=0.0) > 0.0)
+    slopes = np.flatnonzero((used >= 2) & (used < 2 + knots))
+    a, b = a[:, used[:, None], used], b[:, used]
+    precision = np.where(used < 2, 1.0 / 25.0, (1.0 / season_scale**2)[:, None])
+    precision[:, slopes] = (1.0 / changepoint_scale**2)[:, None]
     noise = np.maximum(yy / np.maximum(n, 1.0), 1e-10)
-    theta = np.zeros((height, width))
-    diagonal = np.arange(width)
-    for _ in range(rounds):
-        system = a / noise[:, None, None]
-        system[:, diagonal, diagonal] += precision
-        moved = np.linalg.solve(system, (b / noise[:, None])[..., None])[..., 0]
-        rss = np.maximum(yy - 2.0 * np.einsum("ij,ij->i", moved, b) + np.einsum("ij,ijk,ik->i", moved, a, moved), 0.0)
+    present = np.zeros_like(b)
+    open_ = np.arange(height)
+    diagonal = np.arange(len(used))
+    for turn in range(rounds):
+        system = a.copy()
+        system[:, diagonal, diagonal] += noise[:, None] * precision
+        moved = np.linalg.solve(system, b[..., None])[..., 0]
+        # the normal equations give the residual sum without another product
+        rss = yy - np.einsum("ij,ij->i", moved, b) - noise * np.einsum("ij,ij,ij->i", moved, precision, moved)
+        rss = np.maximum(rss, 0.0)
         noise = np.maximum(2.0 * rss / (n + np.sqrt(n * n + 16.0 * rss)), 1e-10)
-        change = np.abs(moved - theta).max(initial=0.0)
-        theta = moved
-        slopes = np.abs(theta[:, 2 : 2 + knots])
-        precision[:, 2 : 2 + knots] = 1.0 / (changepoint_scale[:, None] * np.maximum(slopes, floor))
-        if change < 1e-9:
-            break
-    return theta, np.sqrt(noise)
+        settled = np.abs(moved - present).max(axis=1, initial=0.0) < 1e-9
+        present = moved
+        precision[:, slopes] = 1.0 / (changepoint_scale[:, None] * np.maximum(np.abs(moved[:, slopes]), floor))
+        if turn == rounds - 1:
+            settled[:] = True
+        if settled.any():
+            # each problem stops on its own, so its result does not depend on its neighbours
+            theta[open_[settled][:, None], used] = present[settled]
+            sigma[open_[settled]] = np.sqrt(noise[settled])
+            left = ~settled
+            if not left.any():
+                break
+            a, b, yy, n, noise, precision, present, open_, changepoint_scale = (
+                v[left] for v in (a, b, yy, n, noise, precision, present, open_, changepoint_scale)
+            )
+    return theta, sigma
 
 
 def solve_batches(

@@ -23,10 +23,15 @@ SLOT_BITS = 33
 
 
 def sorted_table(df: DataFrame, order: list[str | Column], metrics: dict[str, Column] | None = None):
-    """Write the rows in global order with their place ``_slot`` (range partition, position inside it)."""
+    """Write the rows in global order with their place ``_slot`` (range partition, position inside it).
+
+    A running number breaks ties between ranges, so that equal values do not all land in one of them.
+    """
     spread = (
-        df.repartitionByRange(*order)
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(*order, "_tie")
         .sortWithinPartitions(*order)
+        .drop("_tie")
         .withColumn("_slot", F.monotonically_increasing_id())
     )
     return settle(spread, "sorted", metrics)

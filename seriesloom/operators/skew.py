@@ -80,12 +80,16 @@ def key_table(
 
 
 def split_pieces(rows: DataFrame, table: KeyTable, keys: list[str], count_col: str, limits: Limits) -> DataFrame:
-    """Add ``_piece``: 0 for ordinary keys, a hash of the row for keys above the piece size."""
+    """Add ``_piece``: 0 for ordinary keys, a hash of the row for keys above the piece size.
+
+    The input partition is mixed in, so that equal rows spread too; a task that runs again draws the same pieces.
+    """
     floor = table.piece_floor(limits)
     split = table.frame.where(F.col(count_col) > floor).select(
         *keys, F.ceil(F.col(count_col) / floor).cast("int").alias("_pieces")
     )
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col("_pieces")).cast("int")
+    drawn = F.xxhash64(*[F.col(c) for c in rows.columns], F.spark_partition_id())
+    spread = F.pmod(drawn, F.col("_pieces")).cast("int")
     return (
         rows.join(F.broadcast(split), keys, "left")
         .withColumn("_piece", F.when(F.col("_pieces").isNull(), 0).otherwise(spread))

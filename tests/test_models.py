@@ -110,8 +110,7 @@ def test_sums_are_given_out_early_and_merged(panel, monkeypatch):
     for batch in batches:
         for first, rows in kernels.segments(batch, ["key"]):
             y = kernels.numbers(batch, "y")[rows]
-            name = batch.column("key")[first].as_py()
-            sums.add((name,), [name], [np.array([y.sum()])])
+            sums.add(batch, first, ["key"], [np.array([y.sum()])])
         if sums.full():
             out += list(sums.drain())
     out += list(sums.drain())
