@@ -19,7 +19,7 @@ from seriesloom.catalog.base import (
 )
 from seriesloom.functions.columns import truncate_ts
 from seriesloom.models import additive, evaluate, linear
-from seriesloom.models.spec import ModelSpec
+from seriesloom.models.spec import FIXED_PAIRS, ModelSpec
 from seriesloom.operators import clusters
 from seriesloom.operators.grid import best_params
 from seriesloom.operators.panel import global_series, make_future as future_rows, to_panel
@@ -327,8 +327,8 @@ def fit_parents_again(spark, d):
 
 @query("fit_fixed_params")
 def fit_fixed_params(spark, d):
-    spec = ModelSpec(yearly=True, weekly=True, daily=False, changepoint_prior_scale=0.5, seasonality_prior_scale=10.0)
-    return additive.fit_panel(settled(daily_panel(spark, d)), spec)
+    """Both fixed settings for every key, from the same sums."""
+    return additive.fit_panel(settled(daily_panel(spark, d)), SEASONS, pairs=FIXED_PAIRS)
 
 
 @query("model_rmse")

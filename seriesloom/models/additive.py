@@ -234,8 +234,9 @@ def fit_panel(
     params: DataFrame | None = None,
     keys: list[str] = ("key",),
     limits: Limits = DEFAULT_LIMITS,
+    pairs: list[tuple[int, float, float]] | None = None,
 ) -> DataFrame:
-    """One model row per key.
+    """One model row per key; with ``pairs`` (numbered prior scales) one per key and pair, from the same sums.
 
     ``params`` gives a key its own two prior scales (transfer); keys without a row there are left out. Keys with too
     few usable rows get a row with ``status`` and no model instead of stopping the run.
@@ -255,10 +256,12 @@ def fit_panel(
     def fitted(source: DataFrame, by_trend: bool) -> DataFrame:
         sums = sums_of_products(source.drop("_micros"), keys, kept, ["_train"], spec, by_trend)
         if params is None:
-            return solve_groups(sums, kept, one_setting(spec), spec)
+            return solve_groups(sums, kept, settings_column(pairs) if pairs else one_setting(spec), spec)
         return solve_groups(_with_params(sums, params, keys), kept, F.col("_own"), spec)
 
     solved = fitted(rows, False)
+    if pairs and (params is not None or spec.seasonality_mode != "additive"):
+        raise ValueError("pairs go with the additive mode and without params")
     if spec.seasonality_mode == "multiplicative" and spec.layout:
         # Seasons multiply the trend: fit them on columns scaled by the trend of the round before.
         for _ in range(TREND_ROUNDS):
@@ -266,7 +269,8 @@ def fit_panel(
                 *keys, F.col("n_obs").alias("_n"), F.slice("theta", 1, 2 + spec.n_changepoints).alias("_trend")
             )
             solved = fitted(attach(rows, trend, keys, count_col="_n", limits=limits), True)
-    models = _described(solved, spec).withColumn("status", F.lit("ok")).drop("ordinal")
+    models = _described(solved, spec).withColumn("status", F.lit("ok"))
+    models = models if pairs else models.drop("ordinal")
     short = table.frame.where(F.col("n_obs") < MIN_ROWS).select(
         *keys, "n_obs", "first_ds", "last_ds", F.lit("too_short").alias("status")
     )

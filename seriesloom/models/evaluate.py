@@ -33,6 +33,7 @@ from seriesloom.models.spec import ModelSpec
 from seriesloom.operators.grid import best_params, settings, settings_column
 from seriesloom.operators.panel import offset_micros, summary
 from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table
+from seriesloom.sources.artifacts import settle
 
 
 def _ladder(stats: DataFrame, initial: str, period: str, horizon: str) -> DataFrame:
@@ -279,14 +280,20 @@ def _fold_sums(
 
 def _scored(
     panel: DataFrame, spec: ModelSpec, initial: str, period: str, horizon: str, keys: list[str], limits: Limits,
-    params: DataFrame | None, grid: Column | None,
+    params: DataFrame | None = None, grid: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
+    """Fitted folds with their squared test error, and the rows with their folds.
+
+    ``grid`` is the array of settings to try; it may name ``_own``, the key's setting from ``params``.
+    """
     table = _fold_basis(panel, spec, initial, period, horizon, keys, limits)
     sums, rows = _fold_sums(panel, table, spec, period, horizon, keys, limits)
-    kept = [*keys, "_fold", "cutoff", "n_train", *BASIS]
     if params is not None:
-        return solve_groups(_with_params(sums, params, keys), kept, F.col("_own"), spec, scored=True), rows
-    return solve_groups(sums, kept, one_setting(spec) if grid is None else grid, spec, scored=True), rows
+        sums = _with_params(sums, params, keys)
+    if grid is None:
+        grid = one_setting(spec) if params is None else F.col("_own")
+    kept = [*keys, "_fold", "cutoff", "n_train", *BASIS]
+    return solve_groups(sums, kept, grid, spec, scored=True), rows
 
 
 def cross_validate(
@@ -301,7 +308,7 @@ def cross_validate(
 ) -> DataFrame:
     """Rows (keys, cutoff, ds, y, yhat, yhat_lower, yhat_upper) of every test part."""
     keys = list(keys)
-    solved, rows = _scored(panel, spec, initial, period, horizon, keys, limits, params, None)
+    solved, rows = _scored(panel, spec, initial, period, horizon, keys, limits, params)
     models = key_table(
         _described(solved, spec).select(*keys, "_fold", "cutoff", "n_test", *MODEL_COLUMNS), "n_test", "fold_models"
     )
@@ -326,7 +333,7 @@ def grid_search(
     """Cross-validated error of every setting for every key (one global key, or many parents alike)."""
     keys = list(keys)
     grid = settings_column(pairs or settings())
-    solved, _ = _scored(panel, spec, initial, period, horizon, keys, limits, None, grid)
+    solved, _ = _scored(panel, spec, initial, period, horizon, keys, limits, grid=grid)
     return _rmse(solved, [*keys, "ordinal", "changepoint_prior_scale", "seasonality_prior_scale"])
 
 
@@ -359,10 +366,37 @@ def model_rmse(
 ) -> DataFrame:
     """Cross-validated error of each key's model, with the mode it was fitted in."""
     keys = list(keys)
-    solved, _ = _scored(panel, spec, initial, period, horizon, keys, limits, params, None)
+    solved, _ = _scored(panel, spec, initial, period, horizon, keys, limits, params)
     return _rmse(solved, keys).withColumn("mode", F.lit(mode))
 
 
+def compare_rmse(
+    panel: DataFrame,
+    params: DataFrame,
+    initial: str,
+    period: str,
+    horizon: str,
+    spec: ModelSpec = ModelSpec(),
+    keys: list[str] = ("key",),
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """Error of every key of ``params`` with its own setting (``tl``) and with the defaults (``non_tl``).
+
+    Both are solved from the same sums, so the rows are read once for the two modes.
+    """
+    keys = list(keys)
+    default = F.struct(
+        F.lit(1).alias("ordinal"),
+        F.lit(spec.changepoint_prior_scale).alias("changepoint_prior_scale"),
+        F.lit(spec.seasonality_prior_scale).alias("seasonality_prior_scale"),
+    )
+    solved, _ = _scored(
+        panel, spec, initial, period, horizon, keys, limits, params, F.concat(F.col("_own"), F.array(default))
+    )
+    mode = F.when(F.col("ordinal") == 0, "tl").otherwise("non_tl")
+    return _rmse(solved, [*keys, "ordinal"]).withColumn("mode", mode).drop("ordinal")
+
+
 # ---- metrics -------------------------------------------------------------------------------------------------------
 
 NEAR_ZERO = 1e-8
@@ -448,46 +482,84 @@ def cv_metrics(cv: DataFrame, by: list[str] = ("key",), limits: Limits = DEFAULT
     )
 
 
-def cv_metrics_by_horizon(cv: DataFrame, by: list[str] = ("key",), window: float = 0.1) -> DataFrame:
+def _running(df: DataFrame, by: list[str], order: str, sums: list[str], limits: Limits, slices: int) -> DataFrame:
+    """Add ``<name>_to``: running totals by ``order`` inside each slice, shifted by the totals of earlier slices."""
+    inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({f"{c}_to": F.sum(c).over(inside) for c in sums})
+    if slices == 1:
+        return out
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        df.groupBy(*by, "_slice")
+        .agg(*[F.sum(c).alias(c) for c in sums])
+        .select(*by, "_slice", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_off") for c in sums])
+    )
+    shifted = attach(out, offsets, [*by, "_slice"], limits=limits)
+    return shifted.withColumns({f"{c}_to": F.col(f"{c}_to") + F.col(f"{c}_off") for c in sums}).drop(
+        *[f"{c}_off" for c in sums]
+    )
+
+
+def cv_metrics_by_horizon(
+    cv: DataFrame, by: list[str] = ("key",), window: float = 0.1, limits: Limits = DEFAULT_LIMITS
+) -> DataFrame:
     """Error metrics by distance from the cut-off, over a trailing share ``window`` of the group's rows.
 
     Rows are reduced to one per horizon. The sum over the trailing rows is a difference of two running totals; where
     the window ends inside a horizon, that horizon counts in proportion. Horizons with fewer rows behind them than
-    the window are left out.
+    the window are left out. Groups with more horizons than the piece size are worked on in slices.
     """
     by = list(by)
     span = F.timestamp_diff("MICROSECOND", F.col("cutoff"), F.col("ds"))
     errors = _errors(cv)
     terms = [c for c in ("_se", "_ae", "_ape", "_sape", "_in") if c in errors.columns]
-    per = errors.groupBy(*by, span.alias("_h")).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.max("_zero").alias("_zero"),
-        *[F.sum(c).alias(c) for c in terms],
-    )
-    group = Window.partitionBy(*by)
-    upto = group.orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-    totals = per.withColumn("_all", F.sum("_rows").over(group)).withColumn("_any_zero", F.max("_zero").over(group))
-    totals = totals.withColumn("_to", F.sum("_rows").over(upto))
-    for c in terms:
-        totals = totals.withColumn(f"{c}_to", F.sum(c).over(upto))
-    width = F.least(F.greatest(F.floor(F.lit(window) * F.col("_all")), F.lit(1)), F.col("_all"))
-    totals = totals.withColumn("_width", width.cast("bigint"))
-    # Each horizon asks for the running totals `width` rows earlier: questions are merged among the known totals.
-    known = F.struct("_to", "_rows", *terms, *[f"{c}_to" for c in terms])
-    points = totals.select(*by, F.col("_to").alias("_at"), F.lit(1).alias("_kind"), known.alias("_known"),
-                           F.lit(None).cast("bigint").alias("_ask"))
-    asked = totals.where(F.col("_to") >= F.col("_width")).select(
-        *by, (F.col("_to") - F.col("_width")).alias("_at"), F.lit(0).alias("_kind"),
-        F.lit(None).cast(points.schema["_known"].dataType).alias("_known"), F.col("_h").alias("_ask"))
-    ahead = group.orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        points.unionByName(asked)
-        .withColumn("_next", F.last("_known", ignorenulls=True).over(ahead))
-        .where(F.col("_kind") == 0)
-        .select(*by, F.col("_ask").alias("_h"), F.col("_at").alias("_from"), "_next")
-    )
-    rest = (F.col("_next._to") - F.col("_from")) / F.col("_next._rows")
-    joined = totals.join(found, [*by, "_h"])
+    per, _ = settle(
+        errors.groupBy(*by, span.alias("_h")).agg(
+            F.count(F.lit(1)).alias("_rows"), F.max("_zero").alias("_zero"), *[F.sum(c).alias(c) for c in terms]
+        ),
+        "horizons",
+    )
+    width = F.least(F.greatest(F.floor(F.lit(window) * F.sum("_rows")).cast("bigint"), F.lit(1)), F.sum("_rows"))
+    groups = key_table(
+        per.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.max("_h").alias("_longest"),
+            F.sum("_rows").alias("_all"),
+            F.max("_zero").alias("_any_zero"),
+            width.alias("_width"),
+        ),
+        "_n",
+        "groups",
+    )
+    slices = -(-groups.largest // limits.rows_per_piece) or 1
+    cut = lambda place, end: F.floor(place * F.lit(float(slices)) / (end + 1)).cast("int")
+    tagged = attach(per, groups, by, count_col="_n", limits=limits).withColumn("_slice", cut(F.col("_h"), F.col("_longest")))
+    totals = _running(tagged, by, "_h", ["_rows", *terms], limits, slices)
+    # Each horizon asks for the running totals `_width` rows earlier: the questions are merged among the known totals.
+    known = F.struct("_rows_to", "_rows", *terms, *[f"{c}_to" for c in terms])
+    points = totals.select(
+        *by, F.col("_rows_to").alias("_at"), cut(F.col("_rows_to"), F.col("_all")).alias("_slice"),
+        F.lit(1).alias("_kind"), known.alias("_known"), F.lit(None).cast("bigint").alias("_ask"),
+    )
+    from_ = F.col("_rows_to") - F.col("_width")
+    asked = totals.where(from_ >= 0).select(
+        *by, from_.alias("_at"), cut(from_, F.col("_all")).alias("_slice"),
+        F.lit(0).alias("_kind"), F.lit(None).cast(points.schema["_known"].dataType).alias("_known"), F.col("_h").alias("_ask"),
+    )
+    merged = points.unionByName(asked)
+    downward = Window.partitionBy(*by, "_slice").orderBy(F.desc("_at"), F.desc("_kind"))
+    nearest = F.last("_known", ignorenulls=True).over(downward.rowsBetween(Window.unboundedPreceding, 0))
+    found = merged.withColumn("_next", nearest).where(F.col("_kind") == 0)
+    if slices > 1:
+        later = Window.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+        heads = (
+            merged.groupBy(*by, "_slice")
+            .agg(F.min_by("_known", F.when(F.col("_kind") == 1, F.col("_at"))).alias("_head"))
+            .select(*by, "_slice", F.last("_head", ignorenulls=True).over(later).alias("_head"))
+        )
+        found = attach(found, heads, [*by, "_slice"], limits=limits).withColumn("_next", F.coalesce("_next", "_head"))
+    found = found.select(*by, F.col("_ask").alias("_h"), F.col("_at").alias("_from"), "_next")
+    rest = (F.col("_next._rows_to") - F.col("_from")) / F.col("_next._rows")
     mean = {c: (F.col(f"{c}_to") - (F.col(f"_next.{c}_to") - rest * F.col(f"_next.{c}"))) / F.col("_width") for c in terms}
     columns = [
         F.col("_h").alias("horizon_micros"),
@@ -499,7 +571,7 @@ def cv_metrics_by_horizon(cv: DataFrame, by: list[str] = ("key",), window: float
     ]
     if "_in" in terms:
         columns.append(mean["_in"].alias("coverage"))
-    return joined.select(*by, *columns)
+    return totals.join(found, [*by, "_h"]).select(*by, *columns)
 
 
 def mode_summary(rmse: DataFrame, value: str = "rmse") -> DataFrame:

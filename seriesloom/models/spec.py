@@ -11,6 +11,9 @@ Switch = bool | Literal["auto"]
 # Seasonal blocks as (name, period in days, number of harmonics).
 SEASONAL_BLOCKS = (("yearly", 365.25, 10), ("weekly", 7.0, 3), ("daily", 1.0, 4))
 
+# The two settings used for all children alike, as (number, changepoint scale, seasonality scale).
+FIXED_PAIRS = [(0, 0.001, 1.0), (1, 0.5, 10.0)]
+
 
 @dataclass(frozen=True)
 class ModelSpec:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.models.additive import fit_panel, fit_parents_again, fit_transfer, predict_panel, timing_table
-from seriesloom.models.evaluate import grid_search, model_rmse, parents_trained
+from seriesloom.models.evaluate import compare_rmse, grid_search, parents_trained
 from seriesloom.models.spec import ModelSpec
 from seriesloom.operators.clusters import assign_parent, band, build_cluster_table, lloyd_1d, with_parent_params
 from seriesloom.operators.panel import key_mean, key_total, make_future
@@ -76,10 +76,9 @@ def rmse_by_mode(
     spec: ModelSpec = ModelSpec(),
 ) -> DataFrame:
     """Error of every key's model with transferred settings and with the defaults."""
-    params = all_params(clusters, trained)
-    tl = model_rmse(panel, initial, period, horizon, "tl", spec, params)
-    plain = model_rmse(panel, initial, period, horizon, "non_tl", spec)
-    return tl.unionByName(plain).join(params.select("key", "role"), "key")
+    params, _ = settle(all_params(clusters, trained), "params")
+    scored = compare_rmse(panel, params, initial, period, horizon, spec)
+    return scored.join(params.select("key", "role"), "key")
 
 
 def times_by_mode(panel: DataFrame, clusters: DataFrame, trained: DataFrame, spec: ModelSpec = ModelSpec()) -> DataFrame:

@@ -11,6 +11,7 @@ from seriesloom.models import additive, evaluate
 from seriesloom.models.spec import ModelSpec
 from seriesloom.operators.grid import settings
 from seriesloom.operators.panel import make_future
+from seriesloom.operators.skew import Limits
 from seriesloom.plans import transfer
 
 START = dt.datetime(2020, 1, 1)
@@ -168,11 +169,17 @@ def test_relative_errors_are_missing_at_zero(spark):
     assert r["mape"] is None and r["mdape"] is None and r["mae"] == 1.0
 
 
+def cv_by(df, window, pieces):
+    limits = {} if pieces is None else {"limits": Limits(broadcast_bytes=0, rows_per_piece=pieces)}
+    return evaluate.cv_metrics_by_horizon(df, window=window, **limits)
+
+
 @pytest.mark.parametrize("window", [0.0, 0.1, 0.33, 0.9, 1.0])
-def test_metrics_by_horizon(scored, window):
+@pytest.mark.parametrize("pieces", [None, 5, 2])
+def test_metrics_by_horizon(scored, window, pieces):
     """Trailing means by the definition: walk back over the horizons until enough rows are in, the last in proportion."""
     df, rows = scored
-    got = {(r["key"], r["horizon_micros"]): r for r in evaluate.cv_metrics_by_horizon(df, window=window).collect()}
+    got = {(r["key"], r["horizon_micros"]): r for r in cv_by(df, window, pieces).collect()}
     want = {}
     for key in ("a", "b"):
         mine = [(int((x[2] - x[1]).total_seconds() * 1e6), (x[3] - x[4]) ** 2, abs(x[3] - x[4]) / abs(x[3])) for x in rows if x[0] == key]

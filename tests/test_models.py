@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.models import additive, kernels
 from seriesloom.models.linear import fit_linear, forecast_linear, predict_linear
-from seriesloom.models.spec import TREND_ONLY, ModelSpec
+from seriesloom.models.spec import FIXED_PAIRS, TREND_ONLY, ModelSpec
 from seriesloom.operators.skew import Limits
 
 START = dt.datetime(2020, 1, 1)
@@ -219,6 +219,15 @@ def test_transfer_uses_the_parents_scales(spark, panel):
     assert {r["key"] for r in again.collect()} == {"a", "b"}
 
 
+def test_pairs_share_the_sums(panel):
+    got = {(r["key"], r["ordinal"]): r for r in additive.fit_panel(panel, SPEC, pairs=FIXED_PAIRS).collect()}
+    assert len(got) == 6
+    for ordinal, c, s in FIXED_PAIRS:
+        spec = ModelSpec(yearly=False, weekly=True, daily=False, changepoint_prior_scale=c, seasonality_prior_scale=s)
+        for r in additive.fit_panel(panel, spec).collect():
+            assert np.allclose(r["theta"], got[r["key"], ordinal]["theta"], atol=1e-9)
+
+
 def test_weak_prior_trend_only_is_least_squares(panel):
     rows = {r["key"]: r for r in additive.fit_panel(panel, TREND_ONLY).collect()}
     lines = {r["key"]: r for r in fit_linear(panel).collect()}
