@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import truncate_ts
@@ -64,8 +64,15 @@ def user_panel(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", "event_id", F.col("value").alias("y"))
 
 
+def cents(amount: str) -> Column:
+    """An amount in whole cents: sums of whole numbers are exact in any order."""
+    return F.round(F.col(amount) * 100)
+
+
 def customer_totals(spark: SparkSession, d: str) -> DataFrame:
-    return key_total(table(spark, d, "orders").withColumnRenamed("o_custkey", "key"), "key", "o_totalprice", "value")
+    """Order value per customer, in cents."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), cents("o_totalprice").alias("cents"))
+    return key_total(orders, "key", "cents", "value")
 
 
 CLUSTERS, ROUNDS = 8, 5
@@ -92,7 +99,7 @@ PH_SQL = """SELECT event_type AS key, CAST(date_trunc('hour', ts) AS TIMESTAMP)
 
 def _lloyd_sql(k: int, rounds: int) -> str:
     steps = [
-        "v AS MATERIALIZED (SELECT o_custkey AS key, sum(o_totalprice) AS value FROM orders GROUP BY 1)",
+        "v AS MATERIALIZED (SELECT o_custkey AS key, sum(round(o_totalprice * 100)) AS value FROM orders GROUP BY 1)",
         "r AS (SELECT value, row_number() OVER (ORDER BY value, key) - 1 AS rk, count(*) OVER () AS n FROM v)",
         f"c0 AS MATERIALIZED (SELECT CAST(i AS INTEGER) AS cid, value AS c FROM range({k}) t(i) "
         f"JOIN r ON rk = ((2 * i + 1) * n) // {2 * k})",

@@ -21,61 +21,57 @@ from seriesloom.operators import clusters, grid, relations
 from seriesloom.operators.classify import coefficient_table, train_classifier
 
 
-def _rounded(df, **digits):
-    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
-
-
 @query(
     "lloyd_1d",
-    f"""WITH {LLOYD_SQL} SELECT key, round(value, 2) AS value, cluster_id, round(centroid, 4) AS centroid,
-round(distance, 4) AS distance FROM cust""",
+    f"""WITH {LLOYD_SQL} SELECT key, value, cluster_id, centroid,
+distance FROM cust""",
 )
 def lloyd_1d(spark, d):
-    return _rounded(customer_clusters(spark, d), value=2, centroid=4, distance=4)
+    return customer_clusters(spark, d)
 
 
 @query(
     "centroids",
-    f"WITH {LLOYD_SQL} SELECT cluster_id, round(any_value(centroid), 4) AS centroid, count(*) AS n_keys FROM cust GROUP BY 1",
+    f"WITH {LLOYD_SQL} SELECT cluster_id, any_value(centroid) AS centroid, count(*) AS n_keys FROM cust GROUP BY 1",
 )
 def centroids(spark, d):
-    return _rounded(clusters.centroids(customer_clusters(spark, d)), centroid=4)
+    return clusters.centroids(customer_clusters(spark, d))
 
 
 @query(
     "cluster_range",
-    f"""WITH {LLOYD_SQL} SELECT cluster_id, round(min(distance), 4) AS min_distance, round(max(distance), 4) AS max_distance
+    f"""WITH {LLOYD_SQL} SELECT cluster_id, min(distance) AS min_distance, max(distance) AS max_distance
 FROM cust GROUP BY 1""",
 )
 def cluster_range(spark, d):
-    return _rounded(clusters.cluster_ranges(customer_clusters(spark, d)), min_distance=4, max_distance=4)
+    return clusters.cluster_ranges(customer_clusters(spark, d))
 
 
-@query("centroid_lookup", f"WITH {LLOYD_SQL} SELECT key, cluster_id, round(centroid, 4) AS centroid FROM cust")
+@query("centroid_lookup", f"WITH {LLOYD_SQL} SELECT key, cluster_id, centroid FROM cust")
 def centroid_lookup(spark, d):
     assigned = customer_clusters(spark, d)
     found = clusters.with_centroid(assigned.select("key", "cluster_id"), clusters.centroids(assigned))
-    return _rounded(found.select("key", "cluster_id", "centroid"), centroid=4)
+    return found.select("key", "cluster_id", "centroid")
 
 
 @query(
     "cluster_range_join",
-    f"""WITH {CLUSTER_SQL} SELECT key, cust.cluster_id, round(low, 4) AS min_distance, round(high, 4) AS max_distance
+    f"""WITH {CLUSTER_SQL} SELECT key, cust.cluster_id, low AS min_distance, high AS max_distance
 FROM cust JOIN cr ON cr.cluster_id = cust.cluster_id""",
 )
 def cluster_range_join(spark, d):
     assigned = customer_clusters(spark, d)
     found = clusters.with_range(assigned.select("key", "cluster_id"), clusters.cluster_ranges(assigned))
-    return _rounded(found.select("key", "cluster_id", "min_distance", "max_distance"), min_distance=4, max_distance=4)
+    return found.select("key", "cluster_id", "min_distance", "max_distance")
 
 
 @query(
     "pick_parents",
-    f"""WITH {CLUSTER_SQL} SELECT pr.cluster_id, parent AS key, round(distance, 4) AS distance
+    f"""WITH {CLUSTER_SQL} SELECT pr.cluster_id, parent AS key, distance
 FROM pr JOIN cust ON cust.key = parent""",
 )
 def pick_parents(spark, d):
-    return _rounded(clusters.pick_parents(customer_clusters(spark, d), "key"), distance=4)
+    return clusters.pick_parents(customer_clusters(spark, d), "key")
 
 
 @query("sorted_parents", f"WITH {CLUSTER_SQL} SELECT cluster_id, parent FROM pr ORDER BY cluster_id")
@@ -85,11 +81,11 @@ def sorted_parents(spark, d):
 
 @query(
     "cluster_table",
-    f"""WITH {CLUSTER_SQL} SELECT key, cluster_id, round(centroid, 4) AS centroid, round(distance, 4) AS distance, is_parent,
-round(frac_distance, 6) AS frac_distance, round(0.05::DOUBLE + 0.2::DOUBLE * frac_distance, 6) AS sample_percent FROM ct""",
+    f"""WITH {CLUSTER_SQL} SELECT key, cluster_id, centroid, distance, is_parent,
+frac_distance, 0.05::DOUBLE + 0.2::DOUBLE * frac_distance AS sample_percent FROM ct""",
 )
 def cluster_table(spark, d):
-    return _rounded(customer_cluster_table(spark, d), centroid=4, distance=4, frac_distance=6, sample_percent=6)
+    return customer_cluster_table(spark, d)
 
 
 @query("child_parent_join", f"WITH {CLUSTER_SQL} SELECT child, parent, cluster_id FROM cp")

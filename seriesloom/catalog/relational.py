@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.catalog.base import query, table, user_panel
+from seriesloom.catalog.base import cents, query, table, user_panel
 from seriesloom.functions import columns as C
 from seriesloom.operators import ordering, panel, relations, sampling
 from seriesloom.operators.apply import apply_by_key
@@ -130,17 +130,17 @@ def fill_nulls(spark, d):
     return conditional_update(spark, d).fillna({"flag": 0})
 
 
-SUPPLIER_SQL = """s AS (SELECT s_suppkey, s_nationkey, abs(s_acctbal - avg(s_acctbal) OVER (PARTITION BY s_nationkey)) AS distance
-  FROM supplier),
+SUPPLIER_SQL = """s AS (SELECT s_suppkey, s_nationkey, abs(cents - avg(cents) OVER (PARTITION BY s_nationkey)) AS distance
+  FROM (SELECT *, round(s_acctbal * 100) AS cents FROM supplier)),
 f AS (SELECT *, min(distance) OVER (PARTITION BY s_nationkey) AS low, max(distance) OVER (PARTITION BY s_nationkey) AS high FROM s),
 g AS (SELECT s_suppkey, s_nationkey, distance,
   CASE WHEN low = high THEN 0.0::DOUBLE ELSE (distance - low) / (high - low) END AS frac FROM f)"""
 
 
 def _supplier_distance(spark, d):
-    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    means = suppliers.groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("mean"))
-    return attach(suppliers, means, ["s_nationkey"]).withColumn("distance", F.abs(F.col("s_acctbal") - F.col("mean")))
+    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", cents("s_acctbal").alias("cents"))
+    means = suppliers.groupBy("s_nationkey").agg(F.avg("cents").alias("mean"))
+    return attach(suppliers, means, ["s_nationkey"]).withColumn("distance", F.abs(F.col("cents") - F.col("mean")))
 
 
 def _supplier_fraction(spark, d):
@@ -151,24 +151,24 @@ def _supplier_fraction(spark, d):
     )
 
 
-@query("distance_abs", f"WITH {SUPPLIER_SQL} SELECT s_suppkey, s_nationkey, round(distance, 6) AS distance FROM g")
+@query("distance_abs", f"WITH {SUPPLIER_SQL} SELECT s_suppkey, s_nationkey, distance FROM g")
 def distance_abs(spark, d):
-    return _supplier_distance(spark, d).select("s_suppkey", "s_nationkey", F.round("distance", 6).alias("distance"))
+    return _supplier_distance(spark, d).select("s_suppkey", "s_nationkey", "distance")
 
 
-@query("min_max_frac", f"WITH {SUPPLIER_SQL} SELECT s_suppkey, s_nationkey, round(frac, 6) AS frac_distance FROM g")
+@query("min_max_frac", f"WITH {SUPPLIER_SQL} SELECT s_suppkey, s_nationkey, frac AS frac_distance FROM g")
 def min_max_frac(spark, d):
-    return _supplier_fraction(spark, d).select("s_suppkey", "s_nationkey", F.round("frac", 6).alias("frac_distance"))
+    return _supplier_fraction(spark, d).select("s_suppkey", "s_nationkey", F.col("frac").alias("frac_distance"))
 
 
 @query(
     "sample_percent",
     f"""WITH {SUPPLIER_SQL} SELECT s_suppkey, s_nationkey,
-round(0.05::DOUBLE + 0.2::DOUBLE * frac, 6) AS sample_percent FROM g""",
+0.05::DOUBLE + 0.2::DOUBLE * frac AS sample_percent FROM g""",
 )
 def sample_percent(spark, d):
     return _supplier_fraction(spark, d).select(
-        "s_suppkey", "s_nationkey", F.round(C.sample_percent("frac"), 6).alias("sample_percent")
+        "s_suppkey", "s_nationkey", C.sample_percent("frac").alias("sample_percent")
     )
 
 
@@ -223,10 +223,11 @@ def pick_metric(spark, d):
 # ---- aggregates ----------------------------------------------------------------------------------------------------
 
 
-@query("global_mean_series", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ds, round(avg(value), 8) AS y FROM events GROUP BY 1")
+@query("global_mean_series", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ds, avg(round(value * 100)) AS y FROM events GROUP BY 1")
 def global_mean_series(spark, d):
-    hours = table(spark, d, "events").withColumn("hour", C.truncate_ts("hour", "ts"))
-    return panel.global_series(hours, "hour", "value", "mean").withColumn("y", F.round("y", 8))
+    """In cents, as the other means here: sums of whole numbers are exact in any order."""
+    hours = table(spark, d, "events").select(C.truncate_ts("hour", "ts").alias("hour"), cents("value").alias("cents"))
+    return panel.global_series(hours, "hour", "cents", "mean")
 
 
 @query(
@@ -243,9 +244,9 @@ def key_sum(spark, d):
     return panel.key_total(table(spark, d, "orders"), "o_custkey", "o_totalprice").withColumn("total", F.round("total", 2))
 
 
-@query("key_mean", "SELECT user_id, round(avg(value), 8) AS mean FROM events GROUP BY 1")
+@query("key_mean", "SELECT user_id, avg(round(value * 100)) AS mean FROM events GROUP BY 1")
 def key_mean(spark, d):
-    return panel.key_mean(table(spark, d, "events"), "user_id", "value").withColumn("mean", F.round("mean", 8))
+    return panel.key_mean(table(spark, d, "events").select("user_id", cents("value").alias("cents")), "user_id", "cents")
 
 
 @query("key_count", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
@@ -392,17 +393,17 @@ def model_index(spark, d):
 
 @query(
     "apply_by_key",
-    """SELECT event_id, user_id AS key, round(value - avg(value) OVER (PARTITION BY user_id), 8) AS centred FROM events""",
+    """SELECT event_id, user_id AS key, c - avg(c) OVER (PARTITION BY user_id) AS centred
+FROM (SELECT *, round(value * 100) AS c FROM events)""",
 )
 def apply_by_key_query(spark, d):
     def centre(rows):
         return rows[["event_id", "key"]].assign(centred=rows["y"] - rows["mean_y"])
 
-    out = apply_by_key(
-        user_panel(spark, d).select("event_id", "key", "y"),
+    return apply_by_key(
+        table(spark, d, "events").select("event_id", F.col("user_id").alias("key"), cents("value").alias("y")),
         ["key"],
         centre,
         "event_id bigint, key bigint, centred double",
         totals={"mean_y": F.avg("y")},
     )
-    return out.withColumn("centred", F.round("centred", 8))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import partial
 
-import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,6 +22,9 @@ from seriesloom.operators.grid import settings_column
 from seriesloom.operators.panel import future_steps, global_series
 from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table, split_pieces
 
+# Tasks get the array code with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(kernels)
+
 MIN_ROWS = 2
 TREND_ROUNDS = 2
 BASIS = ["_start", "_span", "_scale", "_knots", "_seasons"]
@@ -114,13 +117,14 @@ def _with_arrays(df: DataFrame, columns: list[str], names: list[str]) -> StructT
 
 def sums_of_products(
     rows: DataFrame,
+    groups: int,
     group: list[str],
     carried: list[str],
     parts: list[str],
     spec: ModelSpec,
     by_trend: bool = False,
 ) -> DataFrame:
-    """One row per group with its summed products. ``rows`` carry the basis of their key."""
+    """One row per group with its summed products. ``rows`` carry the basis of their key; there are at most ``groups``."""
     schema = _with_arrays(rows, carried, parts)
     arrow = to_arrow_schema(schema)
     partials = rows.mapInArrow(
@@ -139,7 +143,8 @@ def sums_of_products(
     )
     # A stated number of partitions keeps the solves spread: the sums are small in bytes but not in work.
     spark = rows.sparkSession
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    width = max(1, min(most, groups))
     return (
         partials.repartition(width, *group)
         .sortWithinPartitions(*group)
@@ -254,7 +259,7 @@ def fit_panel(
     )
 
     def fitted(source: DataFrame, by_trend: bool) -> DataFrame:
-        sums = sums_of_products(source.drop("_micros"), keys, kept, ["_train"], spec, by_trend)
+        sums = sums_of_products(source.drop("_micros"), table.keys, keys, kept, ["_train"], spec, by_trend)
         if params is None:
             return solve_groups(sums, kept, settings_column(pairs) if pairs else one_setting(spec), spec)
         return solve_groups(_with_params(sums, params, keys), kept, F.col("_own"), spec)

@@ -275,7 +275,8 @@ def _fold_sums(
         .where(F.col("n_train") >= MIN_ROWS)
     )
     kept = [*keys, "_fold", "cutoff", "n_train", *BASIS]
-    return sums_of_products(used, [*keys, "_fold"], kept, ["_train", "_held_out"], spec), rows
+    sums = sums_of_products(used, table.extra["folds"], [*keys, "_fold"], kept, ["_train", "_held_out"], spec)
+    return sums, rows
 
 
 def _scored(

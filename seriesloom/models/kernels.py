@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -130,9 +129,13 @@ def packed_width(columns: int) -> int:
     return columns * (columns + 1) // 2 + columns + 3
 
 
-@cache
+_triangles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def upper_triangle(columns: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(columns)
+    if columns not in _triangles:
+        _triangles[columns] = np.triu_indices(columns)
+    return _triangles[columns]
 
 
 def pack(x: np.ndarray, y: np.ndarray, seconds: float) -> np.ndarray:

@@ -16,15 +16,20 @@ def feature_columns(df: DataFrame, label: str, drop: list[str] = ()) -> list[str
 
 
 def train_classifier(
-    df: DataFrame, label: str, drop: list[str] = (), max_iter: int = 100, penalty: float = 0.0
+    df: DataFrame, label: str, drop: list[str] = (), max_iter: int = 100, strength: float = 1.0
 ) -> tuple[LogisticRegressionModel, list[str]]:
-    """Fit on the distributed frame; rows with a missing feature are skipped."""
+    """Fit on the distributed frame; rows with a missing feature are skipped.
+
+    ``strength`` is the weight of the summed loss against the squared weights of the raw features; 0 turns
+    the penalty off.
+    """
     names = feature_columns(df, label, drop)
     rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(
         df.select(F.col(label).cast("double").alias("label"), *names)
     )
-    model = LogisticRegression(maxIter=max_iter, regParam=penalty).fit(rows.select("label", "features"))
-    return model, names
+    penalty = 1.0 / (strength * max(1, rows.count())) if strength else 0.0
+    model = LogisticRegression(maxIter=max_iter, regParam=penalty, standardization=False)
+    return model.fit(rows.select("label", "features")), names
 
 
 def coefficient_table(df: DataFrame, model: LogisticRegressionModel, names: list[str]) -> DataFrame:

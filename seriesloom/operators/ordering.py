@@ -133,13 +133,16 @@ def rank_in_key(
 ) -> DataFrame:
     """Keep the rows of each key whose rank is at most the key's quota.
 
-    ``quota`` has one row per key: the keys, ``_n`` (rows) and ``_quota``. ``position`` is a number in [0, 1)
+    ``quota`` has one row per key: the keys, ``_n`` (rows), ``_quota``, and, if known, ``_limit``: a position past which
+    no row can be taken. ``position`` is a number in [0, 1)
     that grows with ``order``. Keys above the piece size are ranked inside even slices of that range, so
     that a key with a third of all rows is ranked by many tasks.
     """
     table = key_table(quota, "_n", "quota")
     floor = table.piece_floor(limits)
     wide = attach(df, table, keys, count_col="_n", limits=limits)
+    if "_limit" in quota.columns:
+        wide = wide.where(position < F.col("_limit")).drop("_limit")
     if table.largest <= floor:
         window = Window.partitionBy(*keys).orderBy(*order)
         kept = wide.withColumn(name, F.row_number().over(window)).where(F.col(name) <= F.col("_quota"))

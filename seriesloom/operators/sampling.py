@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.columns import hash_unit, order_hash
+from seriesloom.functions.columns import hash_unit, order_hash, row_sum
 from seriesloom.operators.ordering import rank_in_key, with_hash_rank
 from seriesloom.operators.skew import DEFAULT_LIMITS, Limits
 
+SLICES = 16
+
 
 def sample_n(df: DataFrame, n: int, seed: int, ids: list[str]) -> DataFrame:
     """Exactly ``n`` rows (all rows if there are fewer). ``ids`` identify a row."""
@@ -38,11 +40,22 @@ def sample_frac_by_key(
 
     Keys without a rate are left out. ``ids`` identify a row within its key.
     """
-    counts = panel.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    quota = counts.join(rates.select(key, rate), key).select(
-        key, "_n", F.bround(F.col(rate) * F.col("_n"), 0).cast("bigint").alias("_quota")
-    )
     hashed = panel.withColumn("_hash", order_hash(seed, key, *ids))
-    return rank_in_key(
-        hashed, [key], hash_unit(F.col("_hash")), ["_hash", *ids], "_rank", quota, limits
-    ).drop("_hash", "_rank")
+    position = hash_unit(F.col("_hash"))
+    # One pass counts the rows of each key and of each slice of the hash range. Rows in slices past the one that fills
+    # the quota cannot be taken, so they are left behind before the shuffle.
+    inside = F.floor(position * SLICES)
+    counts = hashed.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.array(*[F.count_if(inside == i) for i in range(SLICES)]).alias("_filled")
+    )
+    quota = counts.join(rates.select(key, rate), key).withColumn(
+        "_quota", F.bround(F.col(rate) * F.col("_n"), 0).cast("bigint")
+    )
+    limit = F.coalesce(
+        *[
+            F.when(row_sum(*[F.get("_filled", F.lit(j)) for j in range(i + 1)]) >= F.col("_quota"), (i + 1) / SLICES)
+            for i in range(SLICES)
+        ]
+    )
+    quota = quota.select(key, "_n", "_quota", limit.alias("_limit"))
+    return rank_in_key(hashed, [key], position, ["_hash", *ids], "_rank", quota, limits).drop("_hash", "_rank")

@@ -173,6 +173,6 @@ def test_scan_key_reaches_the_source(spark, tmp_path):
 
 def test_classifier_separates(spark):
     df = spark.range(200).select((F.col("id") >= 100).cast("int").alias("label"), (F.col("id") + F.rand(1) * 20).alias("x"))
-    model, names = train_classifier(df, "label", penalty=0.01)
+    model, names = train_classifier(df, "label")
     hit = predict_labels(df, model, names).where("prediction = label").count()
     assert names == ["x"] and hit > 180
