@@ -13,12 +13,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from seriesloom.functions.columns import MICROS_PER_DAY, from_micros, micros
 from seriesloom.models import kernels
 from seriesloom.models.spec import SEASONAL_BLOCKS, ModelSpec
-from seriesloom.operators.grid import settings_column
 from seriesloom.operators.panel import future_steps, global_series
 from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table, split_pieces
 
@@ -28,8 +27,6 @@ cloudpickle.register_pickle_by_value(kernels)
 MIN_ROWS = 2
 TREND_ROUNDS = 2
 BASIS = ["_start", "_span", "_scale", "_knots", "_seasons"]
-SETTING = ["ordinal", "changepoint_prior_scale", "seasonality_prior_scale"]
-_DOUBLES = ArrayType(DoubleType())
 
 
 def usable(panel: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,47 +108,56 @@ def series_stats(panel: DataFrame, spec: ModelSpec, keys: list[str]) -> DataFram
     )
 
 
-def _with_arrays(df: DataFrame, columns: list[str], names: list[str]) -> StructType:
-    return StructType([df.schema[c] for c in columns] + [StructField(n, _DOUBLES) for n in names])
+SCALES = ["changepoint_prior_scale", "seasonality_prior_scale"]
 
 
-def sums_of_products(
+def fit_groups(
     rows: DataFrame,
     groups: int,
     group: list[str],
-    carried: list[str],
-    parts: list[str],
+    kept: list[str],
     spec: ModelSpec,
+    settings: list[tuple[int, float, float]],
+    own: bool = False,
+    scored: bool = False,
     by_trend: bool = False,
 ) -> DataFrame:
-    """One row per group with its summed products. ``rows`` carry the basis of their key; there are at most ``groups``."""
-    schema = _with_arrays(rows, carried, parts)
-    arrow = to_arrow_schema(schema)
-    partials = rows.mapInArrow(
-        partial(
-            kernels.sum_products,
-            schema=arrow,
-            group=group,
-            carried=carried,
-            parts=parts,
-            knots=spec.n_changepoints,
-            layout=spec.layout,
-            reach=spec.changepoint_range,
-            scaled_by_trend=by_trend,
-        ),
-        schema,
+    """Sum the products of each group's rows and fit the group under every setting.
+
+    ``rows`` carry the basis of their key and, with ``own``, its two prior scales; there are at most ``groups``
+    groups. With ``scored`` the rows marked ``_test`` are summed apart and give the squared test error of each fit.
+    """
+    parts = ["_train", "_held_out"] if scored else ["_train"]
+    carried = kept + (SCALES if own else [])
+    sums = StructType([rows.schema[c] for c in carried] + [StructField(p, BinaryType()) for p in parts])
+    arrow = to_arrow_schema(sums)
+    shape = {"knots": spec.n_changepoints, "layout": spec.layout}
+    add_up = partial(
+        kernels.sum_products, schema=arrow, group=group, carried=carried, parts=parts,
+        reach=spec.changepoint_range, scaled_by_trend=by_trend, **shape,
+    )
+    fields = [rows.schema[c] for c in kept] + [
+        StructField("ordinal", IntegerType()),
+        *[StructField(name, DoubleType()) for name in SCALES],
+        StructField("theta", ArrayType(DoubleType())),
+        StructField("sigma", DoubleType()),
+        StructField("train_seconds", DoubleType()),
+    ]
+    if scored:
+        fields += [StructField("sse", DoubleType()), StructField("n_test", LongType())]
+    fitted = StructType(fields)
+    fit = partial(
+        kernels.merge_and_solve, sums_schema=arrow, group=group, carried=carried, parts=parts,
+        schema=to_arrow_schema(fitted), kept=kept, settings=settings, own=own, rounds=spec.rounds, scored=scored, **shape,
     )
     # A stated number of partitions keeps the solves spread: the sums are small in bytes but not in work.
     spark = rows.sparkSession
     most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    width = max(1, min(most, groups))
     return (
-        partials.repartition(width, *group)
+        rows.mapInArrow(add_up, sums)
+        .repartition(max(1, min(most, groups)), *group)
         .sortWithinPartitions(*group)
-        .mapInArrow(
-            partial(kernels.merge_sums, schema=arrow, group=group, carried=carried, parts=parts),
-            schema,
-        )
+        .mapInArrow(fit, fitted)
     )
 
 
@@ -177,35 +183,6 @@ def rows_with_basis(
     return attach(rows, table, keys, count_col=count_col, limits=limits).sortWithinPartitions(*keys)
 
 
-def solve_groups(
-    sums: DataFrame, kept: list[str], settings: Column, spec: ModelSpec, scored: bool = False
-) -> DataFrame:
-    """Fit every group under each of its settings."""
-    fields = [sums.schema[c] for c in kept] + [
-        StructField("ordinal", IntegerType()),
-        StructField("changepoint_prior_scale", DoubleType()),
-        StructField("seasonality_prior_scale", DoubleType()),
-        StructField("theta", _DOUBLES),
-        StructField("sigma", DoubleType()),
-        StructField("train_seconds", DoubleType()),
-    ]
-    if scored:
-        fields += [StructField("sse", DoubleType()), StructField("n_test", LongType())]
-    schema = StructType(fields)
-    return sums.withColumn("_settings", settings).mapInArrow(
-        partial(
-            kernels.solve_batches,
-            schema=to_arrow_schema(schema),
-            kept=kept,
-            knots=spec.n_changepoints,
-            layout=spec.layout,
-            rounds=spec.rounds,
-            scored=scored,
-        ),
-        schema,
-    )
-
-
 def _described(solved: DataFrame, spec: ModelSpec) -> DataFrame:
     return (
         solved.withColumn("growth", F.lit(spec.growth))
@@ -218,19 +195,13 @@ def _described(solved: DataFrame, spec: ModelSpec) -> DataFrame:
     )
 
 
-def one_setting(spec: ModelSpec) -> Column:
-    return settings_column([(0, spec.changepoint_prior_scale, spec.seasonality_prior_scale)])
-
+def one_setting(spec: ModelSpec, ordinal: int = 0) -> list[tuple[int, float, float]]:
+    return [(ordinal, spec.changepoint_prior_scale, spec.seasonality_prior_scale)]
 
-def own_setting() -> Column:
-    """Setting held in the columns of the row itself."""
-    return F.array(F.struct(F.lit(0).alias("ordinal"), "changepoint_prior_scale", "seasonality_prior_scale"))
 
-
-def _with_params(sums: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    scales = params.select(*keys, "changepoint_prior_scale", "seasonality_prior_scale")
-    joined = sums.join(scales, keys).withColumn("_own", own_setting())
-    return joined.drop("changepoint_prior_scale", "seasonality_prior_scale")
+def with_params(stats: DataFrame, params: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Give each key its own prior scales; keys without a row in ``params`` are left out."""
+    return stats if params is None else stats.join(params.select(*keys, *SCALES), keys)
 
 
 def fit_panel(
@@ -247,24 +218,18 @@ def fit_panel(
     few usable rows get a row with ``status`` and no model instead of stopping the run.
     """
     keys = list(keys)
-    stats = series_stats(panel, spec, keys)
-    if params is not None:
-        stats = stats.join(params.select(*keys).distinct(), keys, "left_semi")
+    stats = with_params(series_stats(panel, spec, keys), params, keys)
     table = key_table(stats, "n_obs", "stats")
     good = KeyTable(table.frame.where(F.col("n_obs") >= MIN_ROWS), table.keys, table.rows, table.largest)
     kept = [*keys, "n_obs", "first_ds", "last_ds", *BASIS]
+    own = params is not None
+    settings = pairs or ([] if own else one_setting(spec))
     together = not sums_fit_task(table.keys, spec)
     rows = rows_with_basis(usable(panel, keys), good, keys, "n_obs", together, limits).withColumn(
         "_day", as_days(F.col("_micros"))
     )
-
-    def fitted(source: DataFrame, by_trend: bool) -> DataFrame:
-        sums = sums_of_products(source.drop("_micros"), table.keys, keys, kept, ["_train"], spec, by_trend)
-        if params is None:
-            return solve_groups(sums, kept, settings_column(pairs) if pairs else one_setting(spec), spec)
-        return solve_groups(_with_params(sums, params, keys), kept, F.col("_own"), spec)
-
-    solved = fitted(rows, False)
+    rows = rows.drop("_micros")
+    solved = fit_groups(rows, table.keys, keys, kept, spec, settings, own)
     if pairs and (params is not None or spec.seasonality_mode != "additive"):
         raise ValueError("pairs go with the additive mode and without params")
     if spec.seasonality_mode == "multiplicative" and spec.layout:
@@ -273,7 +238,8 @@ def fit_panel(
             trend = solved.select(
                 *keys, F.col("n_obs").alias("_n"), F.slice("theta", 1, 2 + spec.n_changepoints).alias("_trend")
             )
-            solved = fitted(attach(rows, trend, keys, count_col="_n", limits=limits), True)
+            scaled = attach(rows, trend, keys, count_col="_n", limits=limits)
+            solved = fit_groups(scaled, table.keys, keys, kept, spec, settings, own, by_trend=True)
     models = _described(solved, spec).withColumn("status", F.lit("ok"))
     models = models if pairs else models.drop("ordinal")
     short = table.frame.where(F.col("n_obs") < MIN_ROWS).select(

@@ -15,22 +15,22 @@ from seriesloom.models.additive import (
     BASIS,
     MIN_ROWS,
     MODEL_COLUMNS,
+    SCALES,
     _described,
-    _with_params,
     as_days,
+    fit_groups,
     knot_count,
     one_setting,
     predict_rows,
     rows_with_basis,
     series_stats,
-    solve_groups,
     sums_fit_task,
-    sums_of_products,
     usable,
+    with_params,
 )
 from seriesloom.models.linear import ridge_slope
 from seriesloom.models.spec import ModelSpec
-from seriesloom.operators.grid import best_params, settings, settings_column
+from seriesloom.operators.grid import best_params, settings
 from seriesloom.operators.panel import offset_micros, summary
 from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table
 from seriesloom.sources.artifacts import settle
@@ -211,12 +211,13 @@ def linear_rmse(
 
 
 def _fold_basis(
-    panel: DataFrame, spec: ModelSpec, initial: str, period: str, horizon: str, keys: list[str], limits: Limits
+    panel: DataFrame, spec: ModelSpec, initial: str, period: str, horizon: str, keys: list[str], limits: Limits,
+    params: DataFrame | None,
 ) -> KeyTable:
     """Per key: its ladder and the basis of every fold, from one summary per key and segment."""
     if spec.seasonality_mode != "additive":
         raise ValueError("cross-validation covers the additive mode")
-    stats = series_stats(panel, spec, keys).where(F.col("n_obs") >= MIN_ROWS)
+    stats = with_params(series_stats(panel, spec, keys).where(F.col("n_obs") >= MIN_ROWS), params, keys)
     ends = stats.withColumn("_first", micros("first_ds")).withColumn("_last", micros("last_ds"))
     ladder = key_table(_ladder(ends, initial, period, horizon).where(F.col("_folds") > 0), "n_obs", "folds")
     rows = _with_folds(attach(usable(panel, keys), ladder, keys, count_col="n_obs", limits=limits), period, horizon)
@@ -242,23 +243,25 @@ def _fold_basis(
         F.when(F.col("_size") > 0, F.col("_size")).otherwise(F.lit(1.0)).alias("_scale"),
         knot_count(F.col("n_train"), spec.n_changepoints, spec.changepoint_range).alias("_knots"),
     )
-    per_key = each.groupBy(*keys, "n_obs", "_start", "_seasons", "_top", "_folds").agg(
+    own = [] if params is None else SCALES
+    per_key = each.groupBy(*keys, "n_obs", "_start", "_seasons", "_top", "_folds", *own).agg(
         F.sort_array(F.collect_list(fold)).alias("_basis")
     )
     return key_table(per_key, "n_obs", "fold_basis", {"folds": F.coalesce(F.sum("_folds"), F.lit(0))})
 
 
-def _fold_sums(
-    panel: DataFrame,
-    table: KeyTable,
-    spec: ModelSpec,
-    period: str,
-    horizon: str,
-    keys: list[str],
-    limits: Limits,
+def _scored(
+    panel: DataFrame, spec: ModelSpec, initial: str, period: str, horizon: str, keys: list[str], limits: Limits,
+    params: DataFrame | None = None, settings: list[tuple[int, float, float]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    together = not sums_fit_task(table.extra["folds"], spec, parts=2)
-    rows = rows_with_basis(usable(panel, keys), table, keys, "n_obs", together, limits)
+    """Fitted folds with their squared test error, and the rows with their folds.
+
+    Each fold is fitted under the settings and, with ``params``, under the key's own scales; by default under the
+    scales of ``spec`` or the key's own.
+    """
+    table = _fold_basis(panel, spec, initial, period, horizon, keys, limits, params)
+    folds, own = table.extra["folds"], [] if params is None else SCALES
+    rows = rows_with_basis(usable(panel, keys), table, keys, "n_obs", not sums_fit_task(folds, spec, 2), limits)
     rows = _with_folds(rows, period, horizon)
     used = (
         rows.where(F.col("_test_to") >= 0)
@@ -269,32 +272,16 @@ def _fold_sums(
             "y",
             "_start",
             "_seasons",
+            *own,
             (F.col("_each._fold") > F.col("_train_to")).alias("_test"),
             "_each.*",
         )
         .where(F.col("n_train") >= MIN_ROWS)
     )
+    if settings is None:
+        settings = one_setting(spec) if params is None else []
     kept = [*keys, "_fold", "cutoff", "n_train", *BASIS]
-    sums = sums_of_products(used, table.extra["folds"], [*keys, "_fold"], kept, ["_train", "_held_out"], spec)
-    return sums, rows
-
-
-def _scored(
-    panel: DataFrame, spec: ModelSpec, initial: str, period: str, horizon: str, keys: list[str], limits: Limits,
-    params: DataFrame | None = None, grid: Column | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Fitted folds with their squared test error, and the rows with their folds.
-
-    ``grid`` is the array of settings to try; it may name ``_own``, the key's setting from ``params``.
-    """
-    table = _fold_basis(panel, spec, initial, period, horizon, keys, limits)
-    sums, rows = _fold_sums(panel, table, spec, period, horizon, keys, limits)
-    if params is not None:
-        sums = _with_params(sums, params, keys)
-    if grid is None:
-        grid = one_setting(spec) if params is None else F.col("_own")
-    kept = [*keys, "_fold", "cutoff", "n_train", *BASIS]
-    return solve_groups(sums, kept, grid, spec, scored=True), rows
+    return fit_groups(used, folds, [*keys, "_fold"], kept, spec, settings, bool(own), scored=True), rows
 
 
 def cross_validate(
@@ -333,8 +320,7 @@ def grid_search(
 ) -> DataFrame:
     """Cross-validated error of every setting for every key (one global key, or many parents alike)."""
     keys = list(keys)
-    grid = settings_column(pairs or settings())
-    solved, _ = _scored(panel, spec, initial, period, horizon, keys, limits, grid=grid)
+    solved, _ = _scored(panel, spec, initial, period, horizon, keys, limits, settings=pairs or settings())
     return _rmse(solved, [*keys, "ordinal", "changepoint_prior_scale", "seasonality_prior_scale"])
 
 
@@ -386,14 +372,8 @@ def compare_rmse(
     Both are solved from the same sums, so the rows are read once for the two modes.
     """
     keys = list(keys)
-    default = F.struct(
-        F.lit(1).alias("ordinal"),
-        F.lit(spec.changepoint_prior_scale).alias("changepoint_prior_scale"),
-        F.lit(spec.seasonality_prior_scale).alias("seasonality_prior_scale"),
-    )
-    solved, _ = _scored(
-        panel, spec, initial, period, horizon, keys, limits, params, F.concat(F.col("_own"), F.array(default))
-    )
+    default = one_setting(spec, ordinal=1)
+    solved, _ = _scored(panel, spec, initial, period, horizon, keys, limits, params, default)
     mode = F.when(F.col("ordinal") == 0, "tl").otherwise("non_tl")
     return _rmse(solved, [*keys, "ordinal"]).withColumn("mode", mode).drop("ordinal")
 

@@ -67,6 +67,15 @@ def lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
+def blobs(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values; these cross between Spark and the tasks in one copy each."""
+    return pa.array([row.tobytes() for row in rows], pa.binary())
+
+
+def from_blobs(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist())).reshape(batch.num_rows, -1)
+
+
 def batch_of(columns: list[pa.Array], schema: pa.Schema) -> pa.RecordBatch:
     """A batch of the declared schema; columns that differ in type are cast."""
     cast = [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, schema, strict=True)]
@@ -94,13 +103,19 @@ def segments(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[int, np.
         yield int(rows[0]), rows
 
 
+def sums_batch(groups: list[tuple[list, list[np.ndarray]]], schema: pa.Schema, carried: list[str]) -> pa.RecordBatch:
+    columns = [pa.array([g[0][i] for g in groups], schema.field(name).type) for i, name in enumerate(carried)]
+    columns += [blobs([g[1][i] for g in groups]) for i in range(len(schema) - len(carried))]
+    return batch_of(columns, schema)
+
+
 class Sums:
     """Vectors added up per group. Groups are given out when too many are open, so memory stays bounded;
     a group given out more than once is added up again by the merge that follows."""
 
-    def __init__(self, schema: pa.Schema, carried: list[str], sums: list[str], width: int):
-        self.schema, self.carried, self.sums = schema, carried, sums
-        self.most = max(64, ACCUMULATOR_BYTES // max(1, width * 8 * len(sums)))
+    def __init__(self, schema: pa.Schema, carried: list[str], width: int):
+        self.schema, self.carried = schema, carried
+        self.most = max(64, ACCUMULATOR_BYTES // max(1, width * 8 * (len(schema) - len(carried))))
         self.open: dict[tuple, tuple[list, list[np.ndarray]]] = {}
 
     def add(self, batch: pa.RecordBatch, first: int, group: list[str], vectors: list[np.ndarray]) -> None:
@@ -118,10 +133,7 @@ class Sums:
     def drain(self) -> Iterator[pa.RecordBatch]:
         held, self.open = list(self.open.values()), {}
         for start in range(0, len(held), 256):
-            part = held[start : start + 256]
-            columns = [pa.array([r[0][i] for r in part], self.schema.field(n).type) for i, n in enumerate(self.carried)]
-            columns += [lists(np.vstack([r[1][i] for r in part])) for i in range(len(self.sums))]
-            yield batch_of(columns, self.schema)
+            yield sums_batch(held[start : start + 256], self.schema, self.carried)
 
 
 def packed_width(columns: int) -> int:
@@ -174,7 +186,7 @@ def sum_products(
 ) -> Iterator[pa.RecordBatch]:
     """Products of the design rows summed per group. With two parts, ``_test`` tells to which a row belongs."""
     width = 2 + knots + block_columns(layout)
-    sums = Sums(schema, carried, parts, packed_width(width))
+    sums = Sums(schema, carried, packed_width(width))
     for batch in batches:
         began = time.perf_counter()
         trend, season = design(batch, knots, layout, reach)
@@ -203,14 +215,8 @@ def merge_sums(
     """Add up the partial sums of sorted groups; a group is given out once, when the next one begins."""
     name, held = None, None
     done: list[tuple[list, list[np.ndarray]]] = []
-
-    def out() -> pa.RecordBatch:
-        columns = [pa.array([r[0][i] for r in done], schema.field(n).type) for i, n in enumerate(carried)]
-        columns += [lists(np.vstack([r[1][i] for r in done])) for i in range(len(parts))]
-        return batch_of(columns, schema)
-
     for batch in batches:
-        stacks = [matrix(batch, part) for part in parts]
+        stacks = [from_blobs(batch, part) for part in parts]
         ids = list(zip(*[batch.column(g).to_pylist() for g in group], strict=True))
         for i, this in enumerate(ids):
             if this == name:
@@ -221,13 +227,13 @@ def merge_sums(
                 done.append(held)
             name = this
             held = ([batch.column(c)[i].as_py() for c in carried], [stack[i].copy() for stack in stacks])
-        if len(done) >= 256:
-            yield out()
+        if len(done) >= 64:
+            yield sums_batch(done, schema, carried)
             done = []
     if held is not None:
         done.append(held)
     if done:
-        yield out()
+        yield sums_batch(done, schema, carried)
 
 
 def solve(
@@ -286,9 +292,17 @@ def solve(
 
 
 def solve_batches(
-    batches: Iterator[pa.RecordBatch], schema: pa.Schema, kept: list[str], knots: int, layout: int, rounds: int, scored: bool
+    batches: Iterator[pa.RecordBatch],
+    schema: pa.Schema,
+    kept: list[str],
+    settings: list[tuple[int, float, float]],
+    own: bool,
+    knots: int,
+    layout: int,
+    rounds: int,
+    scored: bool,
 ) -> Iterator[pa.RecordBatch]:
-    """Solve every (row, setting) pair. ``_settings`` is an array of numbered prior scales.
+    """Solve every row of sums under each numbered pair of prior scales, with ``own`` also under the row's own pair (number 0).
 
     With ``scored`` the squared error on the test rows follows from their sums, without going back to the rows.
     """
@@ -297,26 +311,39 @@ def solve_batches(
         for start in range(0, whole.num_rows, 64):
             batch = whole.slice(start, 64)
             began = time.perf_counter()
-            train = unpack(matrix(batch, "_train"), width)
-            settings = batch.column("_settings").to_pylist()
-            pick = np.repeat(np.arange(batch.num_rows), [len(s) for s in settings])
-            flat = [s for group in settings for s in group]
-            ordinal = np.array([s["ordinal"] for s in flat], dtype=np.int32)
-            scales = np.array([(s["changepoint_prior_scale"], s["seasonality_prior_scale"]) for s in flat]).reshape(-1, 2)
+            train = unpack(from_blobs(batch, "_train"), width)
+            pairs = np.tile(np.array(settings, dtype=float).reshape(-1, 3), (batch.num_rows, 1, 1))
+            if own:
+                scales = [numbers(batch, c) for c in ("changepoint_prior_scale", "seasonality_prior_scale")]
+                pairs = np.concatenate([np.stack([np.zeros(batch.num_rows), *scales], axis=1)[:, None], pairs], axis=1)
+            pick = np.repeat(np.arange(batch.num_rows), pairs.shape[1])
+            pairs = pairs.reshape(-1, 3)
             a, b, yy, n, seconds = (part[pick] for part in train)
-            theta, sigma = solve(a, b, yy, n, scales[:, 0], scales[:, 1], knots, rounds)
+            theta, sigma = solve(a, b, yy, n, pairs[:, 1], pairs[:, 2], knots, rounds)
             spent = (time.perf_counter() - began) / max(1, len(pick))
             columns = [batch.column(c).take(pa.array(pick)) for c in kept]
-            columns += [pa.array(ordinal), pa.array(scales[:, 0].copy()), pa.array(scales[:, 1].copy())]
+            columns += [pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2].copy())]
             columns += [lists(theta), pa.array(sigma), pa.array(seconds + spent)]
             if scored:
-                ta, tb, tyy, tn, _ = (part[pick] for part in unpack(matrix(batch, "_held_out"), width))
-                sse = tyy - 2.0 * np.einsum("ij,ij->i", theta, tb) + np.einsum("ij,ijk,ik->i", theta, ta, theta)
-                sse = np.maximum(sse, 0.0) * (numbers(batch, "_scale")[pick] ** 2)
-                columns += [pa.array(sse), pa.array(tn.astype(np.int64))]
+                ta, tb, tyy, tn, _ = (part[pick] for part in unpack(from_blobs(batch, "_held_out"), width))
+                along = np.matmul(ta, theta[..., None])[..., 0]
+                sse = np.maximum(tyy - 2.0 * np.einsum("ij,ij->i", theta, tb) + np.einsum("ij,ij->i", theta, along), 0.0)
+                columns += [pa.array(sse * numbers(batch, "_scale")[pick] ** 2), pa.array(tn.astype(np.int64))]
             yield batch_of(columns, schema)
 
 
+def merge_and_solve(
+    batches: Iterator[pa.RecordBatch],
+    sums_schema: pa.Schema,
+    group: list[str],
+    carried: list[str],
+    parts: list[str],
+    **how,
+) -> Iterator[pa.RecordBatch]:
+    """Both steps in one task: merged sums do not leave it."""
+    return solve_batches(merge_sums(batches, sums_schema, group, carried, parts), **how)
+
+
 def predict_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, kept: list[str]) -> Iterator[pa.RecordBatch]:
     """Prediction and bounds of rows that carry their key's model.
 
