@@ -19,7 +19,7 @@ from seriesloom.functions.columns import MICROS_PER_DAY, from_micros, micros
 from seriesloom.models import kernels
 from seriesloom.models.spec import SEASONAL_BLOCKS, ModelSpec
 from seriesloom.operators.panel import future_steps, global_series
-from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table, split_pieces
+from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table, split_pieces, work_partitions
 
 # Tasks get the array code with the plan, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(kernels)
@@ -140,6 +140,7 @@ def fit_groups(
         StructField("ordinal", IntegerType()),
         *[StructField(name, DoubleType()) for name in SCALES],
         StructField("theta", ArrayType(DoubleType())),
+        StructField("_theta", BinaryType()),  # the same, in the form the tasks read
         StructField("sigma", DoubleType()),
         StructField("train_seconds", DoubleType()),
     ]
@@ -150,12 +151,9 @@ def fit_groups(
         kernels.merge_and_solve, sums_schema=arrow, group=group, carried=carried, parts=parts,
         schema=to_arrow_schema(fitted), kept=kept, settings=settings, own=own, rounds=spec.rounds, scored=scored, **shape,
     )
-    # A stated number of partitions keeps the solves spread: the sums are small in bytes but not in work.
-    spark = rows.sparkSession
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return (
         rows.mapInArrow(add_up, sums)
-        .repartition(max(1, min(most, groups)), *group)
+        .repartition(work_partitions(rows.sparkSession, groups), *group)
         .sortWithinPartitions(*group)
         .mapInArrow(fit, fitted)
     )
@@ -179,7 +177,8 @@ def rows_with_basis(
     if not together:
         return attach(rows, table, keys, count_col=count_col, limits=limits)
     if table.small(limits):
-        rows = split_pieces(rows, table, keys, count_col, limits).repartition(*keys, "_piece").drop("_piece")
+        width = work_partitions(rows.sparkSession, table.keys, table.rows, limits)
+        rows = split_pieces(rows, table, keys, count_col, limits).repartition(width, *keys, "_piece").drop("_piece")
     return attach(rows, table, keys, count_col=count_col, limits=limits).sortWithinPartitions(*keys)
 
 
@@ -267,7 +266,7 @@ def fit_parents_again(panel: DataFrame, parent_params: DataFrame, spec: ModelSpe
     return fit_panel(panel, spec, params=parent_params)
 
 
-MODEL_COLUMNS = [*BASIS, "theta", "sigma", "seasonality_mode", "_z", "_most_knots", "_layout", "_reach"]
+MODEL_COLUMNS = [*BASIS, "_theta", "sigma", "seasonality_mode", "_z", "_most_knots", "_layout", "_reach"]
 
 
 def predict_rows(rows: DataFrame, kept: list[str]) -> DataFrame:
@@ -312,7 +311,8 @@ def forecast_panel(
     models = key_table(
         good_models(fit_panel(panel, spec, params, keys, limits)).withColumn("_n", F.col("n_obs")), "_n", "models"
     )
-    ahead = models.frame.withColumn("ds", F.explode(future_steps("last_ds", periods, freq)))
+    width = work_partitions(panel.sparkSession, models.keys, models.keys * periods, limits)
+    ahead = models.frame.repartition(width, *keys).withColumn("ds", F.explode(future_steps("last_ds", periods, freq)))
     columns = [*keys, "ds", *MODEL_COLUMNS]
     if not include_history:
         return predict_rows(ahead.select(*columns), [*keys, "ds"])

@@ -32,7 +32,7 @@ from seriesloom.models.linear import ridge_slope
 from seriesloom.models.spec import ModelSpec
 from seriesloom.operators.grid import best_params, settings
 from seriesloom.operators.panel import offset_micros, summary
-from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table
+from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, fits_broadcast, key_table
 from seriesloom.sources.artifacts import settle
 
 
@@ -261,22 +261,24 @@ def _scored(
     """
     table = _fold_basis(panel, spec, initial, period, horizon, keys, limits, params)
     folds, own = table.extra["folds"], [] if params is None else SCALES
-    rows = rows_with_basis(usable(panel, keys), table, keys, "n_obs", not sums_fit_task(folds, spec, 2), limits)
-    rows = _with_folds(rows, period, horizon)
-    used = (
-        rows.where(F.col("_test_to") >= 0)
-        .withColumn("_each", F.explode(F.slice("_basis", F.lit(1), F.col("_test_to") + 1)))
-        .select(
-            *keys,
-            as_days(F.col("_micros")).alias("_day"),
-            "y",
-            "_start",
-            "_seasons",
-            *own,
-            (F.col("_each._fold") > F.col("_train_to")).alias("_test"),
-            "_each.*",
-        )
-        .where(F.col("n_train") >= MIN_ROWS)
+    together = not sums_fit_task(folds, spec, 2)
+    each = table.frame.select(*keys, F.explode("_basis").alias("_each")).select(*keys, "_each.*")
+    if fits_broadcast(folds, each.schema, limits):
+        # The rows carry the ladder only; the basis of a fold joins them after they are spread over their folds.
+        slim = KeyTable(table.frame.drop("_basis"), table.keys, table.rows, table.largest)
+        rows = _with_folds(rows_with_basis(usable(panel, keys), slim, keys, "n_obs", together, limits), period, horizon)
+        spread = rows.where(F.col("_test_to") >= 0).withColumn("_fold", F.explode(F.sequence(F.lit(0), F.col("_test_to"))))
+        used = spread.join(F.broadcast(each), [*keys, "_fold"])
+    else:
+        rows = _with_folds(rows_with_basis(usable(panel, keys), table, keys, "n_obs", together, limits), period, horizon)
+        inside = F.slice("_basis", F.lit(1), F.col("_test_to") + 1)
+        used = rows.where(F.col("_test_to") >= 0).withColumn("_each", F.explode(inside)).select("*", "_each.*")
+    used = used.where(F.col("n_train") >= MIN_ROWS).select(
+        *keys,
+        *["_fold", "cutoff", "n_train", *BASIS, *own],
+        as_days(F.col("_micros")).alias("_day"),
+        "y",
+        (F.col("_fold") > F.col("_train_to")).alias("_test"),
     )
     if settings is None:
         settings = one_setting(spec) if params is None else []

@@ -323,7 +323,7 @@ def solve_batches(
             spent = (time.perf_counter() - began) / max(1, len(pick))
             columns = [batch.column(c).take(pa.array(pick)) for c in kept]
             columns += [pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2].copy())]
-            columns += [lists(theta), pa.array(sigma), pa.array(seconds + spent)]
+            columns += [lists(theta), blobs(theta), pa.array(sigma), pa.array(seconds + spent)]
             if scored:
                 ta, tb, tyy, tn, _ = (part[pick] for part in unpack(from_blobs(batch, "_held_out"), width))
                 along = np.matmul(ta, theta[..., None])[..., 0]
@@ -357,7 +357,7 @@ def predict_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, kept:
         layout = batch.column("_layout")[0].as_py()
         reach = batch.column("_reach")[0].as_py()
         trend_x, season_x = design(batch, knots, layout, reach)
-        theta = matrix(batch, "theta")
+        theta = from_blobs(batch, "_theta")
         trend = np.einsum("ij,ij->i", trend_x, theta[:, : 2 + knots])
         season = np.einsum("ij,ij->i", season_x, theta[:, 2 + knots :])
         times = np.array(batch.column("seasonality_mode").to_pylist()) == "multiplicative"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
@@ -39,6 +39,13 @@ def fits_broadcast(rows: int, schema: StructType, limits: Limits = DEFAULT_LIMIT
     return rows * _width(schema) <= limits.broadcast_bytes
 
 
+def work_partitions(spark: SparkSession, groups: int, rows: int = 0, limits: Limits = DEFAULT_LIMITS) -> int:
+    """Partitions for steps that are small in bytes but not in work, which must not be merged by their size."""
+    base = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    by_rows = -(-rows // limits.rows_per_piece)
+    return max(1, by_rows, min(base, groups))
+
+
 @dataclass(frozen=True)
 class KeyTable:
     """A per-key table written once, with its totals."""
