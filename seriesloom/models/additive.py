@@ -219,7 +219,7 @@ def fit_panel(
     keys = list(keys)
     stats = with_params(series_stats(panel, spec, keys), params, keys)
     table = key_table(stats, "n_obs", "stats")
-    good = KeyTable(table.frame.where(F.col("n_obs") >= MIN_ROWS), table.keys, table.rows, table.largest)
+    good = table.narrowed(table.frame.where(F.col("n_obs") >= MIN_ROWS))
     kept = [*keys, "n_obs", "first_ds", "last_ds", *BASIS]
     own = params is not None
     settings = pairs or ([] if own else one_setting(spec))

@@ -32,7 +32,7 @@ from seriesloom.models.linear import ridge_slope
 from seriesloom.models.spec import ModelSpec
 from seriesloom.operators.grid import best_params, settings
 from seriesloom.operators.panel import offset_micros, summary
-from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, fits_broadcast, key_table
+from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table, row_bytes
 from seriesloom.sources.artifacts import settle
 
 
@@ -247,7 +247,17 @@ def _fold_basis(
     per_key = each.groupBy(*keys, "n_obs", "_start", "_seasons", "_top", "_folds", *own).agg(
         F.sort_array(F.collect_list(fold)).alias("_basis")
     )
-    return key_table(per_key, "n_obs", "fold_basis", {"folds": F.coalesce(F.sum("_folds"), F.lit(0))})
+    return key_table(
+        per_key,
+        "n_obs",
+        "fold_basis",
+        {
+            "folds": F.coalesce(F.sum("_folds"), F.lit(0)),
+            "fold_bytes": F.coalesce(
+                F.sum(F.col("_folds") * row_bytes(per_key.schema, keys) + row_bytes(per_key.schema, ["_basis"])), F.lit(0)
+            ),
+        },
+    )
 
 
 def _scored(
@@ -263,9 +273,9 @@ def _scored(
     folds, own = table.extra["folds"], [] if params is None else SCALES
     together = not sums_fit_task(folds, spec, 2)
     each = table.frame.select(*keys, F.explode("_basis").alias("_each")).select(*keys, "_each.*")
-    if fits_broadcast(folds, each.schema, limits):
+    if table.extra["fold_bytes"] <= limits.broadcast_bytes:
         # The rows carry the ladder only; the basis of a fold joins them after they are spread over their folds.
-        slim = KeyTable(table.frame.drop("_basis"), table.keys, table.rows, table.largest)
+        slim = table.narrowed(table.frame.drop("_basis"))
         rows = _with_folds(rows_with_basis(usable(panel, keys), slim, keys, "n_obs", together, limits), period, horizon)
         spread = rows.where(F.col("_test_to") >= 0).withColumn("_fold", F.explode(F.sequence(F.lit(0), F.col("_test_to"))))
         used = spread.join(F.broadcast(each), [*keys, "_fold"])

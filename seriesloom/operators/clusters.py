@@ -36,13 +36,11 @@ def lloyd_1d(df: DataFrame, key: str, value: str, k: int, iterations: int) -> Da
     at most ``k`` means; only those means reach the driver. An empty cluster keeps its centroid.
     """
     values = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias(value))
-    table, seen = sorted_table(values, [value, key], {"n": F.count(F.lit(1))})
-    n = seen["n"]
-    if n == 0:
+    table = sorted_table(values, [value, key])
+    starts = rows_at_ranks(table, lambda n: [(2 * i + 1) * n // (2 * k) for i in range(k)] if n else [])
+    if not starts:
         return _assigned(table, key, value, [0.0])
-    ranks = [(2 * i + 1) * n // (2 * k) for i in range(k)]
-    starts = rows_at_ranks(table, ranks)
-    centroids = [starts[r][value] for r in ranks]
+    centroids = [row[value] for row in starts]
     for _ in range(iterations):
         means = dict(
             table.groupBy(_nearest(value, centroids)["id"].alias("cluster_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def running_total(df: DataFrame, by: list[str], order: str, value: str, name: st
 SLOT_BITS = 33
 
 
-def sorted_table(df: DataFrame, order: list[str | Column], metrics: dict[str, Column] | None = None):
+def sorted_table(df: DataFrame, order: list[str | Column]) -> DataFrame:
     """Write the rows in global order with their place ``_slot`` (range partition, position inside it).
 
     A running number breaks ties between ranges, so that equal values do not all land in one of them.
@@ -34,7 +36,7 @@ def sorted_table(df: DataFrame, order: list[str | Column], metrics: dict[str, Co
         .drop("_tie")
         .withColumn("_slot", F.monotonically_increasing_id())
     )
-    return settle(spread, "sorted", metrics)
+    return settle(spread, "sorted")[0]
 
 
 def _part() -> Column:
@@ -46,23 +48,23 @@ def _part_sizes(table: DataFrame) -> DataFrame:
     return table.groupBy(_part().alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
 
 
-def rows_at_ranks(table: DataFrame, ranks: list[int]) -> dict[int, Row]:
-    """Rows of a sorted table at the given 0-based ranks; only these rows reach the driver."""
-    slots: dict[int, list[int]] = {}
+def rows_at_ranks(table: DataFrame, ranks: Callable[[int], list[int]]) -> list[Row]:
+    """Rows of a sorted table at 0-based ranks, which may depend on its size; only these rows reach the driver."""
+    sizes = sorted(_part_sizes(table).collect())
+    wanted = ranks(sum(rows for _, rows in sizes))
+    slots: dict[int, int] = {}
     before = 0
-    for part, rows in sorted(_part_sizes(table).collect()):
-        for rank in ranks:
-            if before <= rank < before + rows:
-                slots.setdefault((part << SLOT_BITS) + rank - before, []).append(rank)
+    for part, rows in sizes:
+        slots |= {rank: (part << SLOT_BITS) + rank - before for rank in wanted if before <= rank < before + rows}
         before += rows
-    found = table.where(F.col("_slot").isin(*slots)).collect()
-    return {rank: row for row in found for rank in slots[row["_slot"]]}
+    found = {row["_slot"]: row for row in table.where(F.col("_slot").isin(*set(slots.values()))).collect()}
+    return [found[slots[rank]] for rank in wanted]
 
 
 def with_index(df: DataFrame, order: list[str | Column], name: str = "index", start: int = 1) -> DataFrame:
     """Number all rows in order. Range partitions are sorted, written once and shifted by their offsets,
     so no task holds more than its own range."""
-    table, _ = sorted_table(df, order)
+    table = sorted_table(df, order)
     offsets = running_total(_part_sizes(table), [], "_part", "_rows", "_before").drop("_rows")
     local = F.col("_slot").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
     return (

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from seriesloom.sources.artifacts import settle
 
@@ -27,22 +29,27 @@ class Limits:
 DEFAULT_LIMITS = Limits()
 
 
-def _width(kind: DataType) -> int:
-    if isinstance(kind, StructType):
-        return sum(_width(field.dataType) for field in kind.fields)
-    if isinstance(kind, ArrayType):
-        return 64 * _width(kind.elementType)
-    return 40 if isinstance(kind, StringType) else 16
+def row_bytes(schema: StructType, columns: list[str] | None = None) -> Column:
+    """Size of one row in memory, near enough from above: long values are measured, the rest counts 16 bytes."""
 
+    def size(value: Column, kind: DataType) -> Column:
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(value), F.lit(0)) + F.lit(32)
+        if isinstance(kind, ArrayType):
+            return F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)) * F.lit(fixed(kind.elementType)) + F.lit(32)
+        return F.lit(fixed(kind))
 
-def fits_broadcast(rows: int, schema: StructType, limits: Limits = DEFAULT_LIMITS) -> bool:
-    return rows * _width(schema) <= limits.broadcast_bytes
+    def fixed(kind: DataType) -> int:
+        return sum(fixed(f.dataType) for f in kind.fields) + 32 if isinstance(kind, StructType) else 16
+
+    fields = [f for f in schema.fields if columns is None or f.name in columns]
+    return reduce(add, [size(F.col(f.name), f.dataType) for f in fields], F.lit(32)).cast("bigint")
 
 
 def work_partitions(spark: SparkSession, groups: int, rows: int = 0, limits: Limits = DEFAULT_LIMITS) -> int:
     """Partitions for steps that are small in bytes but not in work, which must not be merged by their size."""
     base = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    by_rows = -(-rows // limits.rows_per_piece)
+    by_rows = -(-rows // (8 * limits.rows_per_piece))
     return max(1, by_rows, min(base, groups))
 
 
@@ -54,10 +61,15 @@ class KeyTable:
     keys: int
     rows: int
     largest: int
+    bytes: int
     extra: dict = field(default_factory=dict)
 
     def small(self, limits: Limits = DEFAULT_LIMITS) -> bool:
-        return fits_broadcast(self.keys, self.frame.schema, limits)
+        return self.bytes <= limits.broadcast_bytes
+
+    def narrowed(self, frame: DataFrame) -> KeyTable:
+        """The same keys, or some of them, with fewer columns."""
+        return replace(self, frame=frame)
 
     def piece_floor(self, limits: Limits = DEFAULT_LIMITS) -> int:
         """Rows per piece: at most ``max_split_keys`` keys can exceed it."""
@@ -80,10 +92,11 @@ def key_table(
             "keys": F.count(F.lit(1)),
             "rows": F.coalesce(F.sum(count), zero),
             "largest": F.coalesce(F.max(count), zero),
+            "bytes": F.coalesce(F.sum(row_bytes(frame.schema)), zero),
             **(extra or {}),
         },
     )
-    return KeyTable(table, seen["keys"], seen["rows"], seen["largest"], {k: seen[k] for k in extra or {}})
+    return KeyTable(table, seen["keys"], seen["rows"], seen["largest"], seen["bytes"], {k: seen[k] for k in extra or {}})
 
 
 def split_pieces(rows: DataFrame, table: KeyTable, keys: list[str], count_col: str, limits: Limits) -> DataFrame:

@@ -37,6 +37,13 @@ def test_hot_key_is_cut_into_even_pieces(skewed, tight):
     assert len(sizes) > 40 and max(sizes.values()) < 40
 
 
+def test_table_size_is_measured(spark):
+    wide = spark.range(10).select("id", F.lit("x" * 1000).alias("s"), F.sequence(F.lit(1), F.lit(200)).alias("a"))
+    table = key_table(wide)
+    assert 10 * (1000 + 200 * 16) <= table.bytes < 10 * (1000 + 200 * 16 + 200)
+    assert table.small() and not table.small(Limits(broadcast_bytes=40_000))
+
+
 def test_number_of_split_keys_is_bounded(skewed):
     table = key_table(skewed.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "n")
     floor = table.piece_floor(Limits(rows_per_piece=1, max_split_keys=3))
