@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.columns import hash_unit, order_hash, row_sum
+from seriesloom.functions.columns import hash_unit, order_hash
 from seriesloom.operators.ordering import rank_in_key, with_hash_rank
 from seriesloom.operators.skew import DEFAULT_LIMITS, Limits
 
@@ -51,11 +53,10 @@ def sample_frac_by_key(
     quota = counts.join(rates.select(key, rate), key).withColumn(
         "_quota", F.bround(F.col(rate) * F.col("_n"), 0).cast("bigint")
     )
-    limit = F.coalesce(
-        *[
-            F.when(row_sum(*[F.get("_filled", F.lit(j)) for j in range(i + 1)]) >= F.col("_quota"), (i + 1) / SLICES)
-            for i in range(SLICES)
-        ]
+    reached = F.filter(
+        F.sequence(F.lit(1), F.lit(SLICES)),
+        lambda i: F.aggregate(F.slice("_filled", F.lit(1), i), F.lit(0).cast("bigint"), add) >= F.col("_quota"),
     )
+    limit = F.get(reached, F.lit(0)) / F.lit(float(SLICES))
     quota = quota.select(key, "_n", "_quota", limit.alias("_limit"))
     return rank_in_key(hashed, [key], position, ["_hash", *ids], "_rank", quota, limits).drop("_hash", "_rank")
