@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from seriesloom.llm.common import table
 from seriesloom.llm.packing import best_two_fit
 from seriesloom.llm.quality import judge
+from seriesloom.llm.surrogates import with_surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+SURROGATE_KEY = "seriesloom registered query"
+"""Key of the registered query and the pipeline; an installation passes its own secret."""
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
@@ -24,6 +28,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_surrogates(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit(table(spark, sf_dir, "documents"))
