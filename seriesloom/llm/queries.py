@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import blocks
+from seriesloom.llm import blocks, suffixes
 from seriesloom.llm.common import table
 from seriesloom.llm.packing import best_two_fit
 from seriesloom.llm.quality import judge
@@ -39,6 +39,11 @@ def op3_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.digest(blocks.repeated_words(table(spark, sf_dir, "documents")))
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.repeated_bytes(table(spark, sf_dir, "documents")))
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit(table(spark, sf_dir, "documents"))
