@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import blocks, suffixes
+from seriesloom.llm import blocks, sentencepieces, suffixes
 from seriesloom.llm.common import table
 from seriesloom.llm.packing import best_two_fit
 from seriesloom.llm.quality import judge
 from seriesloom.llm.surrogates import with_surrogates
+from seriesloom.llm.wordpieces import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,6 +40,11 @@ def op3_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.digest(blocks.repeated_words(table(spark, sf_dir, "documents")))
 
 
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.repeated_bytes(table(spark, sf_dir, "documents")))
@@ -47,3 +53,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"))
