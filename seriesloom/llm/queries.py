@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seriesloom.llm import blocks, sentencepieces, suffixes
 from seriesloom.llm.common import table
+from seriesloom.llm.epsilon import near_duplicates
 from seriesloom.llm.packing import best_two_fit
 from seriesloom.llm.quality import judge
 from seriesloom.llm.surrogates import with_surrogates
@@ -58,3 +59,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
