@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seriesloom.llm import blocks, sentencepieces, suffixes
 from seriesloom.llm.common import table
 from seriesloom.llm.epsilon import near_duplicates
+from seriesloom.llm.languages import identify
 from seriesloom.llm.packing import best_two_fit
 from seriesloom.llm.quality import judge
 from seriesloom.llm.surrogates import with_surrogates
@@ -51,6 +52,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.repeated_bytes(table(spark, sf_dir, "documents")))
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit(table(spark, sf_dir, "documents"))
