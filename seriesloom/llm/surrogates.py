@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import columns_of
+from seriesloom.llm.common import columns_of, shuffle_partitions
 from seriesloom.sources.artifacts import settle
 
 # Titles that announce a name, by grammatical gender, and the syllables of invented names by script.
@@ -44,7 +44,7 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}]){_TITLE}\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-MAY_HOLD = r"[0-9@]|password=|token = |" + _TITLE + r"\.? \p{Lu}"
+MAY_HOLD = "[0-9@=]|(?=[" + "".join(sorted({t[0] for t in FEMALE_TITLES + MALE_TITLES})) + "])" + _TITLE + r"\.? \p{Lu}"
 SHAPED = {k: f"^(?:{PATTERNS[k]})$" for k in ("email", "ip", "ssn", "phone", "access_key", "card", "iban", "name")}
 
 
@@ -184,7 +184,8 @@ def mapping(parts: DataFrame, key: str) -> DataFrame:
     drawn, _ = settle(entities.withColumn("attempt", F.lit(0)).withColumn("ok", F.lit(False)), "entities")
     originals = drawn.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("is_original"))
     while True:
-        made = drawn.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
+        spread = drawn.repartition(shuffle_partitions(drawn.sparkSession), "kind", "norm")  # few bytes, much work
+        made = spread.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
         rank = F.struct(~F.col("ok"), F.col("norm"))
         owners = made.groupBy("kind", "surrogate").agg(F.min(rank).alias("owner"))
         checked = (
