@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import blocks, sentencepieces, suffixes
+from seriesloom.llm import blocks, jaccard, sentencepieces, suffixes
 from seriesloom.llm.common import table
 from seriesloom.llm.epsilon import near_duplicates
 from seriesloom.llm.languages import identify
@@ -52,6 +52,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.repeated_bytes(table(spark, sf_dir, "documents")))
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
