@@ -91,16 +91,17 @@ class Chunk:
             yield whole[a:b]
 
 
-def in_chunks(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """``doc_id, text, chunk`` dealt out by chunk; and the bytes of all texts. Rows are dealt by id and text together."""
+def in_chunks(docs: DataFrame, chunk_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """``doc_id, text, chunk`` and the columns of ``carry`` dealt out by chunk; and the bytes of all texts. Rows are dealt by
+    id and text together."""
     _, total = sized(docs)
     chunks = max(1, math.ceil(total / chunk_bytes))
     at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
-    dealt = docs.select("doc_id", F.col("text").cast("binary").alias("text"), at)
+    dealt = docs.select("doc_id", F.col("text").cast("binary").alias("text"), at, *carry)
     return dealt.repartition(max(shuffle_partitions(docs.sparkSession), 1), "chunk"), total
 
 
-def bucket_bits(keys: float, key_bytes: int, bucket_bytes: int = 4 << 20, least: int = 6) -> int:
+def bucket_bits(keys: float, key_bytes: int, bucket_bytes: int = 2 << 20, least: int = 6) -> int:
     """Bits of the bucket number, so that a bucket gets about ``bucket_bytes`` of keys."""
     return max(least, math.ceil(math.log2(max(1.0, keys * key_bytes / bucket_bytes))))
 

@@ -16,6 +16,8 @@ positions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ from seriesloom.llm.common import columns_of, mix64
 from seriesloom.llm.exchange import ANSWER, SENT, Chunk, Rolling, Round, bucket_bits, in_chunks, replies
 
 THRESHOLD = 200
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 PLACE_BITS = 24
 PAIRS = "bucket long, chunk long, names binary, reaches binary, again binary"
 OUT = "doc_id {id}, n_bytes long, n_removed long, kept binary, spans array<struct<start:bigint,end:bigint>>"
@@ -147,6 +149,15 @@ class PairRound:
         return codes[where]
 
 
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """The bytes to remove, without those of characters that aren't covered as a whole."""
+    leads = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(leads):
+        return gone
+    full = np.logical_and.reduceat(gone, leads)
+    return np.concatenate([gone[: leads[0]], np.repeat(full, np.diff(np.append(leads, len(data))))])
+
+
 def repeated_bytes(docs: DataFrame, threshold: int = THRESHOLD, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, kept, spans`` per row; ``spans`` are the removed runs as byte offsets.
 
@@ -154,8 +165,65 @@ def repeated_bytes(docs: DataFrame, threshold: int = THRESHOLD, chunk_bytes: int
     decides is compared by 64-bit names.
     """
     docs = columns_of(docs, "doc_id", "text")
+    return _ranked(docs, threshold, chunk_bytes, (), OUT.format(id=docs.schema["doc_id"].dataType.simpleString()), _spans)
+
+
+def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``doc_id, text, n_chars`` and any others, without the characters that lie in repeats as a whole.
+
+    ``n_chars`` is counted anew where the text changed. Null texts stay null; a text of nothing but repeats becomes empty.
+    """
+    names = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kinds = ["doc_id", "text", *names]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kinds)
+
+    def texts(chunk: Chunk, gone: np.ndarray) -> pa.Table:
+        gone = whole_characters(chunk.bytes, gone)
+        old, counts = chunk.table.column("text").to_pylist(), chunk.table.column("n_chars").to_pylist()
+        out = []
+        for k, (a, b) in enumerate(zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist())):
+            own = gone[a:b]
+            text = None if old[k] is None else chunk.bytes[a:b][~own].tobytes().decode() if own.any() else old[k].decode()
+            if own.any():
+                counts[k] = len(text)
+            out.append(text)
+        columns = {c: chunk.table.column(c) for c in kinds}
+        columns |= {"text": pa.array(out, pa.string()), "n_chars": pa.array(counts, chunk.table.column("n_chars").type)}
+        return pa.table(columns)
+
+    return _ranked(docs, threshold, chunk_bytes, names, schema, texts).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _spans(chunk: Chunk, gone: np.ndarray) -> pa.Table:
+    kept, removed, spans = [], [], []
+    cut = np.concatenate([[0], np.cumsum(gone)])
+    whole = chunk.bytes.tobytes()
+    for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist()):
+        n = int(cut[b] - cut[a])
+        removed.append(n)
+        if not n:
+            kept.append(whole[a:b])
+            spans.append([])
+            continue
+        own = gone[a:b]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+        spans.append([{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)])
+        kept.append(chunk.bytes[a:b][~own].tobytes())
+    return pa.table(
+        {
+            "doc_id": chunk.doc_ids,
+            "n_bytes": pa.array(np.diff(chunk.offsets)),
+            "n_removed": pa.array(removed, pa.int64()),
+            "kept": pa.array(kept, pa.binary()),
+            "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        }
+    )
+
+
+def _ranked(docs: DataFrame, threshold: int, chunk_bytes: int, carry: tuple[str, ...], schema: str, give: Callable[[Chunk, np.ndarray], pa.Table]) -> DataFrame:
+    """Both rounds, then ``give`` for each chunk and the bytes that lie in repeats. The texts are dealt out once for all."""
     h = (threshold + 1) // 2
-    dealt, total = in_chunks(docs, chunk_bytes)
+    dealt, total = in_chunks(docs, chunk_bytes, carry)
     pairs = PairRound(bucket_bits(2.0 * total / (threshold - h + 2), 12))
     strings = Round(2, bucket_bits(total / 8, 8), 8)
 
@@ -187,31 +255,8 @@ def repeated_bytes(docs: DataFrame, threshold: int = THRESHOLD, chunk_bytes: int
             np.add.at(steps, first, 1)
             np.add.at(steps, last + threshold, -1)
         gone = np.cumsum(steps[: minima.n]) > 0
-        kept, removed, spans = [], [], []
-        cut = np.concatenate([[0], np.cumsum(gone)])
-        whole = chunk.bytes.tobytes()
-        for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist()):
-            n = int(cut[b] - cut[a])
-            removed.append(n)
-            if not n:
-                kept.append(whole[a:b])
-                spans.append([])
-                continue
-            own = gone[a:b]
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
-            spans.append([{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)])
-            kept.append(chunk.bytes[a:b][~own].tobytes())
-        return pa.table(
-            {
-                "doc_id": chunk.doc_ids,
-                "n_bytes": pa.array(np.diff(chunk.offsets)),
-                "n_removed": pa.array(removed, pa.int64()),
-                "kept": pa.array(kept, pa.binary()),
-                "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            }
-        )
-
-    schema = OUT.format(id=docs.schema["doc_id"].dataType.simpleString())
+        return give(chunk, gone)
+
     first = dealt.groupBy("chunk").applyInArrow(ask_pairs, PAIRS).groupBy("bucket").applyInArrow(PairRound.resolve, ANSWER)
     second = strings.ask(dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(ask_strings, SENT))
     return dealt.groupBy("chunk").cogroup(replies([first, second]).groupBy("chunk")).applyInArrow(finish, schema)
