@@ -235,3 +235,10 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """``doc_id, text, n_entities`` of every row."""
     return replace_entities(columns_of(docs, "doc_id", "text"), key).withColumnRenamed("_n_entities", "n_entities")
+
+
+def with_surrogate_texts(docs: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` with surrogates in ``text``; ``n_chars`` is counted anew where entities were found."""
+    done = replace_entities(docs, key)
+    count = F.when(F.col("_n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", count).drop("_n_entities")
