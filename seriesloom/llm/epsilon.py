@@ -212,7 +212,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leading: int = L
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing, nor
     do vectors of different lengths. Equal vectors are joined once, with their number as weight; they link with each other.
     """
-    width = math.sqrt(2 - 2 * cosine)
+    width = math.sqrt(2 - 2 * cosine) + SLACK
     rows = columns_of(vectors, "vec_id", "embedding")
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))

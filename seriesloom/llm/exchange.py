@@ -92,12 +92,13 @@ class Chunk:
 
 
 def in_chunks(docs: DataFrame, chunk_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """``doc_id, text, chunk`` and the columns of ``carry`` dealt out by chunk; and the bytes of all texts. Rows are dealt by
-    id and text together."""
+    """``doc_id, text, chunk`` dealt out by chunk, with the columns of ``carry`` in a struct ``carried``; and the bytes of all
+    texts. Rows are dealt by id and text together."""
     _, total = sized(docs)
     chunks = max(1, math.ceil(total / chunk_bytes))
     at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
-    dealt = docs.select("doc_id", F.col("text").cast("binary").alias("text"), at, *carry)
+    carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    dealt = docs.select("doc_id", F.col("text").cast("binary").alias("text"), at, *carried)
     return dealt.repartition(max(shuffle_partitions(docs.sparkSession), 1), "chunk"), total
 
 

@@ -32,9 +32,9 @@ def _left(text: Column, dropped: str) -> Column:
 
 def text_statistics(text: Column, words: Column, lines: Column, repeats: Column) -> dict[str, Column]:
     n = F.size(words).cast("bigint")
-    per_word = lambda x: F.coalesce(x / n, F.lit(0.0))
+    per_word = lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))
     word_chars = F.length(text) - _left(text, f"{WORD}+")
-    letters = lambda x: F.coalesce(x / word_chars, F.lit(0.0))
+    letters = lambda x: F.coalesce(F.try_divide(x, word_chars), F.lit(0.0))
     dup_lines = (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint")
     covered = F.aggregate(
         F.sequence(F.lit(1), F.size(repeats)),
@@ -53,7 +53,7 @@ def text_statistics(text: Column, words: Column, lines: Column, repeats: Column)
         "symbol_rate": per_word(symbols),
         "repeat_rate": per_word(repeat_words),
         "line_rate": per_word(F.size(lines)),
-        "dup_line_rate": F.coalesce(dup_lines / F.size(lines), F.lit(0.0)),
+        "dup_line_rate": F.coalesce(F.try_divide(dup_lines, F.size(lines)), F.lit(0.0)),
         "upper_rate": letters(_left(text, r"[^\p{Lu}]+")),
         "digit_rate": letters(_left(text, "[^0-9]+")),
         "shout_rate": per_word(_left(text, "[^!?]+")),

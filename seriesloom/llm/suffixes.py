@@ -179,7 +179,8 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, chunk_bytes: in
 
     def texts(chunk: Chunk, gone: np.ndarray) -> pa.Table:
         gone = whole_characters(chunk.bytes, gone)
-        old, counts = chunk.table.column("text").to_pylist(), chunk.table.column("n_chars").to_pylist()
+        carried = chunk.table.column("carried").chunk(0)
+        old, counts = chunk.table.column("text").to_pylist(), carried.field("n_chars").to_pylist()
         out = []
         for k, (a, b) in enumerate(zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist())):
             own = gone[a:b]
@@ -187,8 +188,8 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, chunk_bytes: in
             if own.any():
                 counts[k] = len(text)
             out.append(text)
-        columns = {c: chunk.table.column(c) for c in kinds}
-        columns |= {"text": pa.array(out, pa.string()), "n_chars": pa.array(counts, chunk.table.column("n_chars").type)}
+        columns = {"doc_id": chunk.doc_ids, "text": pa.array(out, pa.string())} | {c: carried.field(c) for c in names}
+        columns["n_chars"] = pa.array(counts, carried.field("n_chars").type)
         return pa.table(columns)
 
     return _ranked(docs, threshold, chunk_bytes, names, schema, texts).select(*[F.col(f"`{c}`") for c in docs.columns])
