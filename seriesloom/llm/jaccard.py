@@ -30,7 +30,7 @@ from seriesloom.sources.artifacts import settle
 SHINGLE = 4
 PERCENT = 85
 CHUNK_BYTES = 2 << 20
-PART = 2048
+PART = 512
 """documents of a ring that are joined at once"""
 FOUND = "doc_id long, n_shingles long, f1 long, f2 long, score double, hashes binary, rare binary"
 
