@@ -101,8 +101,10 @@ def child_parent_table(spark, d):
 
 @query(
     "children_per_parent",
-    f"""WITH {CLUSTER_SQL} SELECT parent, count(*) AS n_children, 0 AS part,
-string_agg(CAST(child AS VARCHAR), ',' ORDER BY child) AS children FROM cp GROUP BY parent""",
+    f"""WITH {CLUSTER_SQL}, sized AS (SELECT *, count(*) OVER (PARTITION BY parent) AS n_children FROM cp)
+SELECT parent, n_children, CAST(floor(CAST('0x' || substr(md5(concat_ws('|', 'part', child)), 1, 8) AS BIGINT) / 4294967296.0
+  * ceil(n_children / {clusters.LIST_PIECE}.0)) AS INTEGER) AS part,
+string_agg(CAST(child AS VARCHAR), ',' ORDER BY child) AS children FROM sized GROUP BY ALL""",
 )
 def children_per_parent(spark, d):
     lists = clusters.parent_children(customer_child_parent(spark, d))

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from seriesloom.functions.columns import MICROS_PER_DAY, from_micros, micros
 from seriesloom.models import kernels
@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(kernels)
 
 MIN_ROWS = 2
 TREND_ROUNDS = 2
-BASIS = ["_start", "_span", "_scale", "_knots", "_seasons"]
+BASIS = ["_start", "_span", "_level", "_scale", "_knots", "_seasons"]
 
 
 def usable(panel: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,12 +63,12 @@ def series_stats(panel: DataFrame, spec: ModelSpec, keys: list[str]) -> DataFram
     """Rows, ends, scale and seasons of every key, also of keys without a usable row."""
     known = F.col("ds").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y")
     when = F.when(known, micros("ds"))
-    size = F.max(F.when(known, F.abs("y")))
+    low, high = F.min(F.when(known, F.col("y"))), F.max(F.when(known, F.col("y")))
     if "auto" in spec.switches:
         # One row per key and day first: the spacing rules need only the days and what lies within them.
         day = F.floor(when / F.lit(float(MICROS_PER_DAY)))
         daily = panel.groupBy(*keys, day.alias("_day")).agg(
-            F.count_if(known).alias("_rows"), F.min(when).alias("_lo"), F.max(when).alias("_hi"), size.alias("_top")
+            F.count_if(known).alias("_rows"), F.min(when).alias("_lo"), F.max(when).alias("_hi"), low.alias("_low"), high.alias("_high")
         )
         order = Window.partitionBy(*keys).orderBy("_day")
         gap = F.when(F.col("_lo") < F.col("_hi"), F.lit(0).cast("bigint")).otherwise(
@@ -81,7 +81,8 @@ def series_stats(panel: DataFrame, spec: ModelSpec, keys: list[str]) -> DataFram
                 F.sum("_rows").alias("n_obs"),
                 F.min("_lo").alias("_first"),
                 F.max("_hi").alias("_last"),
-                F.max("_top").alias("_top"),
+                F.min("_low").alias("_low"),
+                F.max("_high").alias("_high"),
                 F.min("_gap").alias("_gap"),
             )
         )
@@ -90,9 +91,11 @@ def series_stats(panel: DataFrame, spec: ModelSpec, keys: list[str]) -> DataFram
             F.count_if(known).alias("n_obs"),
             F.min(when).alias("_first"),
             F.max(when).alias("_last"),
-            size.alias("_top"),
+            low.alias("_low"),
+            high.alias("_high"),
             F.lit(None).cast("bigint").alias("_gap"),
         )
+    per_key = per_key.withColumn("_top", F.greatest(F.abs("_low"), F.abs("_high")))
     length = as_days(F.col("_last") - F.col("_first"))
     near = lambda limit: F.coalesce(F.col("_gap") < F.lit(limit * MICROS_PER_DAY), F.lit(False))
     return per_key.select(
@@ -102,6 +105,7 @@ def series_stats(panel: DataFrame, spec: ModelSpec, keys: list[str]) -> DataFram
         from_micros("_last").alias("last_ds"),
         as_days(F.col("_first")).alias("_start"),
         F.when(length > 0, length).otherwise(F.lit(1.0)).alias("_span"),
+        F.coalesce(F.col("_low").cast("double") / 2 + F.col("_high").cast("double") / 2, F.lit(0.0)).alias("_level"),
         F.when(F.col("_top") > 0, F.col("_top")).otherwise(F.lit(1.0)).alias("_scale"),
         knot_count(F.col("n_obs"), spec.n_changepoints, spec.changepoint_range).alias("_knots"),
         season_bits(spec, length, near(7), near(1)).alias("_seasons"),
@@ -142,6 +146,7 @@ def fit_groups(
         StructField("theta", ArrayType(DoubleType())),
         StructField("_theta", BinaryType()),  # the same, in the form the tasks read
         StructField("sigma", DoubleType()),
+        StructField("converged", BooleanType()),
         StructField("train_seconds", DoubleType()),
     ]
     if scored:

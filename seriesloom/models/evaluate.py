@@ -244,7 +244,7 @@ def _fold_basis(
         knot_count(F.col("n_train"), spec.n_changepoints, spec.changepoint_range).alias("_knots"),
     )
     own = [] if params is None else SCALES
-    per_key = each.groupBy(*keys, "n_obs", "_start", "_seasons", "_top", "_folds", *own).agg(
+    per_key = each.groupBy(*keys, "n_obs", "_start", "_level", "_seasons", "_top", "_folds", *own).agg(
         F.sort_array(F.collect_list(fold)).alias("_basis")
     )
     return key_table(

@@ -193,7 +193,8 @@ def sum_products(
         if scaled_by_trend:
             season = season * np.einsum("ij,ij->i", trend, matrix(batch, "_trend"))[:, None]
         x = np.hstack([trend, season])
-        y = numbers(batch, "y") / numbers(batch, "_scale")
+        # the middle of the key's range is taken off, so that sums keep their digits whatever the level
+        y = (numbers(batch, "y") - numbers(batch, "_level")) / numbers(batch, "_scale")
         test = numbers(batch, "_test", bool) if len(parts) == 2 else np.zeros(len(y), dtype=bool)
         share = (time.perf_counter() - began) / max(1, batch.num_rows)
         for first, rows in segments(batch, group):
@@ -245,38 +246,47 @@ def solve(
     season_scale: np.ndarray,
     knots: int,
     rounds: int,
+    shift: np.ndarray | None = None,
     floor: float = 1e-6,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior mode of stacked problems from their sums.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior mode of stacked problems from their sums; the third value tells which problems have settled.
+
+    ``shift`` is what was taken off the values before they were summed: the prior of the offset is about 0 before that.
 
     Priors: Laplace on slope changes, normal on season weights, normal(0, 5) on slope and offset, half-normal(0, 0.5)
     on the noise. The Laplace term is replaced in each round by the quadratic that touches it at the present
     slope changes; the noise scale then has a closed form.
     """
     height, width = b.shape
-    theta, sigma = np.zeros((height, width)), np.zeros(height)
+    theta, sigma, converged = np.zeros((height, width)), np.zeros(height), np.ones(height, dtype=bool)
     # Columns without any weight (blocks that are off, knots a short series lacks) stay 0 and need no work.
     used = np.flatnonzero(np.einsum("ijj->ij", a).max(axis=0, initial=0.0) > 0.0)
     slopes = np.flatnonzero((used >= 2) & (used < 2 + knots))
     a, b = a[:, used[:, None], used], b[:, used]
     precision = np.where(used < 2, 1.0 / 25.0, (1.0 / season_scale**2)[:, None])
     precision[:, slopes] = (1.0 / changepoint_scale**2)[:, None]
-    noise = np.maximum(yy / np.maximum(n, 1.0), 1e-10)
+    # what is left of a sum of squares after it cancels is no noise
+    least = np.maximum(1e-12 * yy / np.maximum(n, 1.0), 1e-24)
+    noise = np.maximum(yy / np.maximum(n, 1.0), least)
+    pull = np.zeros_like(b)
+    if shift is not None and len(used) and used[0] == 0:
+        pull[:, 0] = -shift / 25.0
     present = np.zeros_like(b)
     open_ = np.arange(height)
     diagonal = np.arange(len(used))
     for turn in range(rounds):
         system = a.copy()
         system[:, diagonal, diagonal] += noise[:, None] * precision
-        moved = np.linalg.solve(system, b[..., None])[..., 0]
+        moved = np.linalg.solve(system, (b + noise[:, None] * pull)[..., None])[..., 0]
         # the normal equations give the residual sum without another product
-        rss = yy - np.einsum("ij,ij->i", moved, b) - noise * np.einsum("ij,ij,ij->i", moved, precision, moved)
+        rss = yy - np.einsum("ij,ij->i", moved, b) - noise * np.einsum("ij,ij->i", moved, precision * moved - pull)
         rss = np.maximum(rss, 0.0)
-        noise = np.maximum(2.0 * rss / (n + np.sqrt(n * n + 16.0 * rss)), 1e-10)
+        noise = np.maximum(2.0 * rss / (n + np.sqrt(n * n + 16.0 * rss)), least)
         settled = np.abs(moved - present).max(axis=1, initial=0.0) < 1e-9
         present = moved
         precision[:, slopes] = 1.0 / (changepoint_scale[:, None] * np.maximum(np.abs(moved[:, slopes]), floor))
         if turn == rounds - 1:
+            converged[open_[~settled]] = False
             settled[:] = True
         if settled.any():
             # each problem stops on its own, so its result does not depend on its neighbours
@@ -285,10 +295,10 @@ def solve(
             left = ~settled
             if not left.any():
                 break
-            a, b, yy, n, noise, precision, present, open_, changepoint_scale = (
-                v[left] for v in (a, b, yy, n, noise, precision, present, open_, changepoint_scale)
+            a, b, yy, n, noise, precision, present, open_, changepoint_scale, least, pull = (
+                v[left] for v in (a, b, yy, n, noise, precision, present, open_, changepoint_scale, least, pull)
             )
-    return theta, sigma
+    return theta, sigma, converged
 
 
 def solve_batches(
@@ -319,15 +329,18 @@ def solve_batches(
             pick = np.repeat(np.arange(batch.num_rows), pairs.shape[1])
             pairs = pairs.reshape(-1, 3)
             a, b, yy, n, seconds = (part[pick] for part in train)
-            theta, sigma = solve(a, b, yy, n, pairs[:, 1], pairs[:, 2], knots, rounds)
+            shift = (numbers(batch, "_level") / numbers(batch, "_scale"))[pick]
+            centred, sigma, converged = solve(a, b, yy, n, pairs[:, 1], pairs[:, 2], knots, rounds, shift)
+            theta = centred.copy()
+            theta[:, 0] += shift
             spent = (time.perf_counter() - began) / max(1, len(pick))
             columns = [batch.column(c).take(pa.array(pick)) for c in kept]
             columns += [pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2].copy())]
-            columns += [lists(theta), blobs(theta), pa.array(sigma), pa.array(seconds + spent)]
+            columns += [lists(theta), blobs(theta), pa.array(sigma), pa.array(converged), pa.array(seconds + spent)]
             if scored:
                 ta, tb, tyy, tn, _ = (part[pick] for part in unpack(from_blobs(batch, "_held_out"), width))
-                along = np.matmul(ta, theta[..., None])[..., 0]
-                sse = np.maximum(tyy - 2.0 * np.einsum("ij,ij->i", theta, tb) + np.einsum("ij,ij->i", theta, along), 0.0)
+                along = np.matmul(ta, centred[..., None])[..., 0]
+                sse = np.maximum(tyy - 2.0 * np.einsum("ij,ij->i", centred, tb) + np.einsum("ij,ij->i", centred, along), 0.0)
                 columns += [pa.array(sse * numbers(batch, "_scale")[pick] ** 2), pa.array(tn.astype(np.int64))]
             yield batch_of(columns, schema)
 

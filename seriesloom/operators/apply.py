@@ -24,21 +24,72 @@ def apply_by_key(
 
     With ``totals`` the function needs only aggregates of its key besides the row: Spark computes them
     (combined before the shuffle), attaches them as columns, and ``fn`` sees Arrow batches of rows of any
-    keys; no group is gathered, so a key may have any size. Without ``totals`` the function needs its whole
-    key at once, and each key is gathered; keys above the piece size are refused rather than cut.
+    keys; no group is gathered, so a key may have any size. Without ``totals`` the function gets its whole key
+    at once, in one task; where keys can be large, state it with :func:`fold_by_key` instead.
     """
     keys = list(keys)
-    counts = {"_n": F.count(F.lit(1)), **(totals or {})}
-    table = key_table(df.groupBy(*keys).agg(*[c.alias(n) for n, c in counts.items()]), "_n", "totals")
     if totals is None:
-        if table.largest > limits.rows_per_piece:
-            raise ValueError(
-                f"one key has {table.largest} rows, more than {limits.rows_per_piece}: state the function with totals"
-            )
         return df.groupBy(*keys).applyInPandas(fn, schema)
+    counts = {"_n": F.count(F.lit(1)), **totals}
+    table = key_table(df.groupBy(*keys).agg(*[c.alias(n) for n, c in counts.items()]), "_n", "totals")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield fn(batch)
 
     return attach(df, table, keys, count_col="_n", limits=limits).drop("_n").mapInPandas(run, schema)
+
+
+def fold_by_key(
+    df: DataFrame,
+    keys: list[str],
+    partial: Callable[[pd.DataFrame], bytes],
+    merge: Callable[[list[bytes]], bytes],
+    finish: Callable[[pd.DataFrame, bytes], pd.DataFrame],
+    schema: StructType | str,
+) -> DataFrame:
+    """A function of whole keys of any size, in three parts.
+
+    ``partial`` turns some rows of a key into a state, ``merge`` several states of a key into one, ``finish`` the key (a
+    frame with its one row of key columns) and its state into the output. States are made where the rows lie, merged within
+    the task, then in pieces of a key, then per key: no task holds more states of a key than there are pieces.
+    """
+    keys = list(keys)
+    names = [f"`{k}`" for k in keys]
+    state = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, keys, strict=True)) + ", _piece int, _state binary"
+    pieces = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def rows_to_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for key, rows in batch.groupby(keys, dropna=False, sort=False):
+                made = partial(rows.drop(columns="_piece"))
+                first = rows.iloc[0]
+                name = repr(key)
+                before = held.get(name)
+                held[name] = (first, made if before is None else merge([before[1], made]))
+            if len(held) > 10_000:
+                yield _states(held, keys)
+                held = {}
+        if held:
+            yield _states(held, keys)
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.head(1)[[*keys, "_piece"]].assign(_state=[_merge_all(merge, list(rows["_state"]))])
+
+    def finished(rows: pd.DataFrame) -> pd.DataFrame:
+        return finish(rows.head(1)[keys].reset_index(drop=True), _merge_all(merge, list(rows["_state"])))
+
+    spread = df.withColumn("_piece", F.pmod(F.spark_partition_id(), F.lit(pieces)))
+    partials = spread.mapInPandas(rows_to_states, state)
+    per_piece = partials.groupBy(*keys, "_piece").applyInPandas(merged, state)
+    return per_piece.groupBy(*keys).applyInPandas(finished, schema)
+
+
+def _states(held: dict, keys: list[str]) -> pd.DataFrame:
+    firsts = pd.DataFrame([first for first, _ in held.values()]).reset_index(drop=True)
+    return firsts[[*keys, "_piece"]].assign(_state=[made for _, made in held.values()])
+
+
+def _merge_all(merge: Callable[[list[bytes]], bytes], states: list[bytes]) -> bytes:
+    return states[0] if len(states) == 1 else merge(states)

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from seriesloom.sources.artifacts import settle
+
+
+def _complete(names: list[str]) -> Column:
+    """Whether none of the columns is null or not a number."""
+    return reduce(and_, [F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double")) for n in names], F.lit(True))
+
 
 def feature_columns(df: DataFrame, label: str, drop: list[str] = ()) -> list[str]:
     return [
@@ -18,16 +28,16 @@ def feature_columns(df: DataFrame, label: str, drop: list[str] = ()) -> list[str
 def train_classifier(
     df: DataFrame, label: str, drop: list[str] = (), max_iter: int = 100, strength: float = 1.0
 ) -> tuple[LogisticRegressionModel, list[str]]:
-    """Fit on the distributed frame; rows with a missing feature are skipped.
+    """Fit on the distributed frame; rows with a missing feature or label teach nothing.
 
     ``strength`` is the weight of the summed loss against the squared weights of the raw features; 0 turns
     the penalty off.
     """
     names = feature_columns(df, label, drop)
-    rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(
-        df.select(F.col(label).cast("double").alias("label"), *names)
-    )
-    penalty = 1.0 / (strength * max(1, rows.count())) if strength else 0.0
+    known = df.select(F.col(label).cast("double").alias("label"), *names).where(_complete(["label", *names]))
+    known, seen = settle(known, "labelled", {"rows": F.count(F.lit(1))})
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(known)
+    penalty = 1.0 / (strength * max(1, seen["rows"])) if strength else 0.0
     model = LogisticRegression(maxIter=max_iter, regParam=penalty, standardization=False)
     return model.fit(rows.select("label", "features")), names
 
@@ -40,5 +50,7 @@ def coefficient_table(df: DataFrame, model: LogisticRegressionModel, names: list
 
 
 def predict_labels(df: DataFrame, model: LogisticRegressionModel, names: list[str]) -> DataFrame:
-    rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(df)
-    return model.transform(rows).drop("features", "rawPrediction", "probability")
+    """Add ``prediction`` to every row; it is null where a feature is missing."""
+    rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(df)
+    made = model.transform(rows).drop("features", "rawPrediction", "probability")
+    return made.withColumn("prediction", F.when(_complete(names), F.col("prediction")))

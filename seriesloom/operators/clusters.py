@@ -15,6 +15,17 @@ from seriesloom.sources.artifacts import settle
 LIST_PIECE = 10_000
 
 
+def _usable(value: str) -> Column:
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
+def _unclustered(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys without a value: they belong to no cluster."""
+    none = {"cluster_id": "int", "centroid": "double", "distance": "double"}
+    rows = df.where(~F.coalesce(_usable(value), F.lit(False))).select(key, F.lit(None).cast("double").alias(value))
+    return rows.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()])
+
+
 def _nearest(value: str, centroids: list[float]) -> Column:
     """Struct (gap, id) of the nearest centroid; equal gaps go to the lower id."""
     options = ", ".join(f"struct(abs({value} - ({c!r}D)) AS gap, {i} AS id)" for i, c in enumerate(centroids))
@@ -35,11 +46,11 @@ def lloyd_1d(df: DataFrame, key: str, value: str, k: int, iterations: int) -> Da
     The keys are sorted by value and written once, which gives the exact start ranks. Each round is one aggregate to
     at most ``k`` means; only those means reach the driver. An empty cluster keeps its centroid.
     """
-    values = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias(value))
-    table = sorted_table(values, [value, key])
+    values = df.where(_usable(value)).select(key, F.col(value).cast("double").alias(value))
+    table, lost = sorted_table(values, [value, key]), _unclustered(df, key, value)
     starts = rows_at_ranks(table, lambda n: [(2 * i + 1) * n // (2 * k) for i in range(k)] if n else [])
     if not starts:
-        return _assigned(table, key, value, [0.0])
+        return _assigned(table, key, value, [0.0]).unionByName(lost)
     centroids = [row[value] for row in starts]
     for _ in range(iterations):
         means = dict(
@@ -51,12 +62,12 @@ def lloyd_1d(df: DataFrame, key: str, value: str, k: int, iterations: int) -> Da
         if moved == centroids:
             break
         centroids = moved
-    return _assigned(table, key, value, centroids)
+    return _assigned(table, key, value, centroids).unionByName(lost)
 
 
 def kmeans_keys(df: DataFrame, key: str, value: str, k: int, seed: int = 0) -> DataFrame:
     """The library's k-means on the same one-column feature."""
-    table, _ = settle(df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias(value)), "values")
+    table, _ = settle(df.where(_usable(value)).select(key, F.col(value).cast("double").alias(value)), "values")
     rows = VectorAssembler(inputCols=[value], outputCol="features").transform(table)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(rows)
     centers = F.array(*[F.lit(float(c[0])) for c in model.clusterCenters()])
@@ -64,23 +75,24 @@ def kmeans_keys(df: DataFrame, key: str, value: str, k: int, seed: int = 0) -> D
         model.transform(rows)
         .select(key, value, "cluster_id", F.get(centers, F.col("cluster_id")).alias("centroid"))
         .withColumn("distance", F.abs(F.col(value) - F.col("centroid")))
+        .unionByName(_unclustered(df, key, value))
     )
 
 
 def centroids(assigned: DataFrame) -> DataFrame:
-    return assigned.groupBy("cluster_id").agg(F.first("centroid").alias("centroid"), F.count(F.lit(1)).alias("n_keys"))
+    return assigned.where(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(F.first("centroid").alias("centroid"), F.count(F.lit(1)).alias("n_keys"))
 
 
 def cluster_ranges(assigned: DataFrame) -> DataFrame:
     """Smallest and largest distance of each cluster."""
-    return assigned.groupBy("cluster_id").agg(
+    return assigned.where(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(
         F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance")
     )
 
 
 def pick_parents(assigned: DataFrame, key: str) -> DataFrame:
     """The member nearest to the centroid; equal distances go to the smallest key."""
-    return best_row(assigned, ["cluster_id"], [F.col("distance"), F.col(key)], [key, "distance"])
+    return best_row(assigned.where(F.col("cluster_id").isNotNull()), ["cluster_id"], [F.col("distance"), F.col(key)], [key, "distance"])
 
 
 def with_centroid(df: DataFrame, table: DataFrame) -> DataFrame:
@@ -95,15 +107,15 @@ def with_range(df: DataFrame, ranges: DataFrame) -> DataFrame:
 def build_cluster_table(assigned: DataFrame, key: str) -> DataFrame:
     """Distance, parent flag, scaled distance and sampling rate of every key.
 
-    One aggregate gives range and parent of each cluster (one row per cluster), and one join brings them back.
+    Keys without a cluster stay, with nulls. One aggregate gives range and parent of each cluster (one row per cluster), and one join brings them back.
     """
-    per_cluster = assigned.groupBy("cluster_id").agg(
+    per_cluster = assigned.where(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(
         F.min("distance").alias("_low"),
         F.max("distance").alias("_high"),
         F.min_by(F.col(key), F.struct("distance", key)).alias("_parent"),
     )
     return (
-        attach(assigned, per_cluster, ["cluster_id"])
+        attach(assigned, per_cluster, ["cluster_id"], how="left")
         .withColumn("is_parent", F.when(F.col(key) == F.col("_parent"), F.lit(True)))
         .fillna({"is_parent": False})
         .withColumn("frac_distance", guarded_fraction("distance", F.col("_low"), F.col("_high")))
@@ -118,7 +130,8 @@ def parents_of(clusters: DataFrame, key: str) -> DataFrame:
 
 def assign_parent(clusters: DataFrame, key: str, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """(child, parent) rows of every non-parent key."""
-    children = clusters.where(~F.col("is_parent")).select("cluster_id", F.col(key).alias("child"))
+    known = clusters.where(~F.col("is_parent") & F.col("cluster_id").isNotNull())
+    children = known.select("cluster_id", F.col(key).alias("child"))
     return attach(children, parents_of(clusters, key), ["cluster_id"], limits=limits).select(
         "child", "parent", "cluster_id"
     )
@@ -148,7 +161,7 @@ def as_map(child_parent: DataFrame, piece: int = LIST_PIECE) -> DataFrame:
 
 def top_children(clusters: DataFrame, key: str, k: int = 10) -> DataFrame:
     """At most ``k`` children per cluster, smallest keys first."""
-    children = clusters.where(~F.col("is_parent")).select("cluster_id", key)
+    children = clusters.where(~F.col("is_parent") & F.col("cluster_id").isNotNull()).select("cluster_id", key)
     return top_k_per_group(children, ["cluster_id"], [key], k)
 
 

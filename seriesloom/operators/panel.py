@@ -29,9 +29,14 @@ def pick_metric(long: DataFrame, metric: str) -> DataFrame:
     return long.where(F.col("metric") == F.lit(metric)).drop("metric")
 
 
+def present(y: str) -> Column:
+    """The value, null where it is not a number."""
+    return F.when(~F.isnan(F.col(y).cast("double")), F.col(y))
+
+
 def global_series(df: DataFrame, ds: str, y: str, how: str = "mean", by: list[str] = ()) -> DataFrame:
     """All keys reduced per timestamp. Not-a-number counts as missing; an all-missing sum is 0."""
-    value = F.when(~F.isnan(F.col(y).cast("double")), F.col(y))
+    value = present(y)
     if how == "mean":
         reduced = F.avg(value)
     elif how == "sum":
@@ -42,11 +47,11 @@ def global_series(df: DataFrame, ds: str, y: str, how: str = "mean", by: list[st
 
 
 def key_total(df: DataFrame, key: str, y: str, name: str = "total") -> DataFrame:
-    return df.groupBy(key).agg(F.sum(y).alias(name))
+    return df.groupBy(key).agg(F.sum(present(y)).alias(name))
 
 
 def key_mean(df: DataFrame, key: str, y: str, name: str = "mean") -> DataFrame:
-    return df.groupBy(key).agg(F.avg(y).alias(name))
+    return df.groupBy(key).agg(F.avg(present(y)).alias(name))
 
 
 def key_count(df: DataFrame, key: str, name: str = "n") -> DataFrame:

@@ -58,9 +58,16 @@ def fit_children(
     spec: ModelSpec = ModelSpec(),
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Child models on sampled rows with their parent's scales."""
+    """Child models on sampled rows with their parent's scales.
+
+    A child of a tuned parent whose sample is empty comes back as ``too_short``.
+    """
     rows = sampled_children(panel, clusters, seed, low, high, limits)
-    return fit_transfer(rows, child_params(clusters, trained), spec, limits)
+    params = child_params(clusters, trained)
+    models, _ = settle(fit_transfer(rows, params, spec, limits), "child_models")
+    wanted = band(clusters, low, high).select("key").join(params.select(F.col("child").alias("key")), "key", "left_semi")
+    lost = wanted.join(models.select("key"), "key", "left_anti").select("key", F.lit(0).cast("bigint").alias("n_obs"), F.lit("too_short").alias("status"))
+    return models.unionByName(lost, allowMissingColumns=True)
 
 
 def all_params(clusters: DataFrame, trained: DataFrame) -> DataFrame:
