@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.common import mix64, shuffle_partitions, sized
 
+PARTITION_BYTES = 128 << 20
+"""text in one partition at most, about"""
 SENT = "bucket long, chunk long, keys binary, again binary, asked binary"
 ANSWER = "chunk long, round int, bucket long, bits binary"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -99,7 +101,8 @@ def in_chunks(docs: DataFrame, chunk_bytes: int, carry: tuple[str, ...] = ()) ->
     at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
     carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
     dealt = docs.select("doc_id", F.col("text").cast("binary").alias("text"), at, *carried)
-    return dealt.repartition(max(shuffle_partitions(docs.sparkSession), 1), "chunk"), total
+    partitions = max(shuffle_partitions(docs.sparkSession), math.ceil(total / PARTITION_BYTES))
+    return dealt.repartition(partitions, "chunk"), total
 
 
 def bucket_bits(keys: float, key_bytes: int, bucket_bytes: int = 2 << 20, least: int = 6) -> int:
