@@ -63,7 +63,12 @@ def _bounds(panel: DataFrame, keys: list[str]) -> DataFrame:
     return (
         usable(panel, keys)
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_obs"), F.min("_micros").alias("_first"), F.max("_micros").alias("_last"))
+        .agg(
+            F.count(F.lit(1)).alias("n_obs"),
+            F.min("_micros").alias("_first"),
+            F.max("_micros").alias("_last"),
+            (F.min("y") / 2 + F.max("y") / 2).alias("_level"),
+        )
     )
 
 
@@ -81,7 +86,7 @@ def cv_cutoffs(panel: DataFrame, initial: str, period: str, horizon: str, keys:
 
 
 def _line_terms() -> dict[str, Column]:
-    t, y = F.col("_t"), F.col("y")
+    t, y = F.col("_t"), F.col("_y")
     return {"n": F.lit(1.0), "t": t, "y": y, "tt": t * t, "ty": t * y, "yy": y * y}
 
 
@@ -91,12 +96,14 @@ def fold_sums(
     """Train and test sums of a line per key and fold, and the rows with their folds.
 
     A row is summed once into the segment between two cut-offs; the training part of a fold is the running total
-    of the segments before its cut-off. Test parts are at most horizon / period + 1 copies of a row.
+    of the segments before its cut-off. Test parts are at most horizon / period + 1 copies of a row. Times and values
+    are taken from the middle of the key's ranges, so that the sums keep their digits.
     """
     keys = list(keys)
     table = key_table(_ladder(_bounds(panel, keys), initial, period, horizon).where(F.col("_folds") > 0), "n_obs", "folds")
     rows = _with_folds(attach(usable(panel, keys), table, keys, count_col="n_obs", limits=limits), period, horizon)
-    rows = rows.withColumn("_t", as_days(F.col("_micros") - F.col("_first")))
+    middle = (F.col("_last") - F.col("_first")) / 2
+    rows = rows.withColumn("_t", as_days(F.col("_micros") - F.col("_first") - middle)).withColumn("_y", F.col("y") - F.col("_level"))
     trained = F.when(F.col("_train_to") >= 0, F.array(F.struct(F.col("_train_to").alias("fold"), F.lit(False).alias("test"))))
     tested = F.when(
         F.col("_test_to") > F.col("_train_to"),
@@ -113,7 +120,7 @@ def fold_sums(
         *[F.sum(F.when(test, term)).alias(f"_test_{name}") for name, term in _line_terms().items()],
     )
     ladder = table.frame.withColumn("_fold", F.explode(F.sequence(F.lit(0), F.col("_folds") - 1))).select(
-        *keys, "_fold", "_first", _cutoff(F.col("_fold"), period).alias("_cutoff")
+        *keys, "_fold", "_level", _cutoff(F.col("_fold"), period).alias("_cutoff")
     )
     so_far = Window.partitionBy(*keys).orderBy(F.desc("_fold")).rowsBetween(Window.unboundedPreceding, 0)
     names = list(_line_terms())
@@ -129,7 +136,7 @@ def _line_fit(sums: DataFrame, scale: Column | None = None) -> DataFrame:
     sxy = F.col("_ty") - F.col("_t") * F.col("_y") / n
     return (
         sums.where(n >= MIN_ROWS)
-        .withColumn("slope", ridge_slope(sxy, F.when(sxx > 1e-9, sxx).otherwise(F.lit(0.0)), scale))
+        .withColumn("slope", ridge_slope(sxy, F.when(sxx > 1e-12 * F.col("_tt"), sxx).otherwise(F.lit(0.0)), scale))
         .withColumn("intercept", F.col("_y") / n - F.col("slope") * F.col("_t") / n)
     )
 
@@ -154,7 +161,7 @@ def cv_linear(
     keys = list(keys)
     sums, rows = fold_sums(panel, initial, period, horizon, keys, limits)
     lines = _line_fit(sums, None if scale is None else F.lit(scale)).select(
-        *keys, "_fold", "_cutoff", "slope", "intercept", F.col("_test_n").cast("bigint").alias("_n")
+        *keys, "_fold", "_cutoff", "_level", "slope", "intercept", F.col("_test_n").cast("bigint").alias("_n")
     )
     tests = rows.where(F.col("_test_to") > F.col("_train_to")).select(
         *keys, F.explode(F.sequence(F.col("_train_to") + 1, F.col("_test_to"))).alias("_fold"), "_micros", "_t", "y"
@@ -164,7 +171,7 @@ def cv_linear(
         from_micros("_cutoff").alias("cutoff"),
         from_micros("_micros").alias("ds"),
         "y",
-        (F.col("intercept") + F.col("slope") * F.col("_t")).alias("yhat"),
+        (F.col("_level") + (F.col("intercept") + F.col("slope") * F.col("_t"))).alias("yhat"),
     )
 
 

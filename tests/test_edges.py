@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.models import kernels
 from seriesloom.models.additive import fit_panel
-from seriesloom.models.evaluate import cross_validate, grid_search
+from seriesloom.models.evaluate import cross_validate, cv_linear, grid_search, linear_rmse
 from seriesloom.models.spec import TREND_ONLY, ModelSpec
 from seriesloom.operators.classify import predict_labels, train_classifier
 from seriesloom.operators.clusters import assign_parent, build_cluster_table, kmeans_keys, lloyd_1d, pick_parents
@@ -33,6 +33,16 @@ def test_noise_and_errors_keep_their_size_at_any_level(spark, level):
     assert from_sums == pytest.approx(rows, rel=1e-6 if level < 1e7 else 1e-5)
 
 
+@pytest.mark.parametrize("level", [1e3, 1e6, 1e10])
+def test_errors_of_lines_from_sums_equal_those_from_rows(spark, level):
+    panel = _panel(spark, level)
+    window = ("100 days", "50 days", "20 days")
+    rows = cv_linear(panel, *window).agg(F.sqrt(F.avg((F.col("y") - F.col("yhat")) ** 2)).alias("e")).first()["e"]
+    assert linear_rmse(panel, *window).first()["rmse"] == pytest.approx(rows, rel=1e-5)
+    seconds = panel.select("key", F.timestamp_add("SECOND", F.dayofyear("ds"), F.lit("2020-01-01").cast("timestamp_ntz")).alias("ds"), (F.dayofyear("ds") * 3.0).alias("y"))
+    assert linear_rmse(seconds, "100 seconds", "50 seconds", "20 seconds").first()["rmse"] < 1e-4
+
+
 def test_models_tell_whether_they_settled(spark):
     panel = _panel(spark, 50.0)
     assert fit_panel(panel, ModelSpec(yearly=False, weekly=True, daily=False)).first()["converged"]
