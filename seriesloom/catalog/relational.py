@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.catalog.base import cents, query, table, user_panel
 from seriesloom.functions import columns as C
 from seriesloom.operators import ordering, panel, relations, sampling
-from seriesloom.operators.apply import apply_by_key
+from seriesloom.operators.apply import apply_by_key, fold_by_key
 from seriesloom.operators.skew import attach
 from seriesloom.sources import artifacts, readers
 
@@ -407,3 +409,26 @@ def apply_by_key_query(spark, d):
         "event_id bigint, key bigint, centred double",
         totals={"mean_y": F.avg("y")},
     )
+
+
+@query(
+    "fold_by_key",
+    """SELECT user_id AS key, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event,
+CAST(sum(round(value * 100)) AS BIGINT) AS total_cents FROM events GROUP BY user_id""",
+)
+def fold_by_key_query(spark, d):
+    def part(rows):
+        return struct.pack("<4q", len(rows), rows["event_id"].min(), rows["event_id"].max(), int(rows["y"].sum()))
+
+    def merge(states):
+        n, low, high, total = zip(*[struct.unpack("<4q", s) for s in states], strict=True)
+        return struct.pack("<4q", sum(n), min(low), max(high), sum(total))
+
+    def finish(key, state):
+        n, low, high, total = struct.unpack("<4q", state)
+        return key.assign(n=n, first_event=low, last_event=high, total_cents=total)
+
+    return fold_by_key(
+        table(spark, d, "events").select("event_id", F.col("user_id").alias("key"), cents("value").alias("y")),
+        ["key"], part, merge, finish, "key bigint, n bigint, first_event bigint, last_event bigint, total_cents bigint",
+    )

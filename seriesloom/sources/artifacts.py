@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping
@@ -13,11 +15,13 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
+    """Folder every executor can reach: the session's ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``.
 
-    A temporary folder stands in only where the setting is absent and the session is local.
+    A temporary folder stands in only where both are absent and the session is local; it goes when the process ends.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -25,12 +29,23 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="seriesloom-")
+        atexit.register(shutil.rmtree, _own_folder[app], ignore_errors=True)
     return _own_folder[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/seriesloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below the one of this application."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/seriesloom/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "errorifexists") -> str:

@@ -82,3 +82,16 @@ def test_rows_without_a_feature_get_a_null_prediction(spark):
     model, names = train_classifier(df, "label")
     made = predict_labels(df, model, names).collect()
     assert len(made) == 40 and sum(r["prediction"] is None for r in made) == 2
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from seriesloom.sources.artifacts import clear_scratch, scratch_folder, settle
+
+    settle(spark.range(3), "numbers")
+    folder = Path(scratch_folder(spark).removeprefix("file:"))
+    assert any(folder.iterdir())
+    clear_scratch(spark)
+    assert not folder.exists()
+    assert settle(spark.range(3), "numbers")[0].count() == 3
