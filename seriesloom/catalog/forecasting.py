@@ -19,7 +19,7 @@ from seriesloom.catalog.base import (
 )
 from seriesloom.functions.columns import truncate_ts
 from seriesloom.models import additive, evaluate, linear
-from seriesloom.models.spec import FIXED_PAIRS, ModelSpec
+from seriesloom.models.spec import FIXED_PAIRS, TREND_ONLY, ModelSpec
 from seriesloom.operators import clusters
 from seriesloom.operators.grid import best_params
 from seriesloom.operators.panel import global_series, make_future as future_rows, to_panel
@@ -219,6 +219,110 @@ def fit_status(spark, d):
     return additive.fit_status(to_panel(table(spark, d, "events"), "user_id", "ts", values))
 
 
+# ---- the additive model without seasons and slope changes, which SQL can state ------------------------------------
+
+Z_SQL = f"({TREND_ONLY.z!r})::DOUBLE"
+
+
+def _trend_sql(source: str, per: str, start: str) -> str:
+    """Posterior mode of offset, slope and noise per group of ``source`` (columns of ``per``, ds, y, level): a 2 x 2 system
+    in turn with the closed form of the noise. ``start`` is the first day of a key."""
+    return f"""w AS (SELECT {per}, level, {DAY_SQL} - {start} AS since, y, count(*) OVER g AS n, max(abs(y)) OVER g AS top,
+  max({DAY_SQL}) OVER g - {start} AS length FROM {source} WINDOW g AS (PARTITION BY {per})),
+v AS (SELECT {per}, level, n, CASE WHEN top > 0 THEN top ELSE 1 END AS scale, CASE WHEN length > 0 THEN length ELSE 1 END AS span,
+  since / (CASE WHEN length > 0 THEN length ELSE 1 END) AS t, (y - level) / (CASE WHEN top > 0 THEN top ELSE 1 END) AS v FROM w),
+s AS MATERIALIZED (SELECT {per}, any_value(level) AS level, any_value(scale) AS scale, any_value(span) AS span, any_value(n)::DOUBLE AS n,
+  any_value(level) / any_value(scale) AS shift, sum(t) AS t, sum(t * t) AS tt, sum(v) AS v, sum(t * v) AS tv, sum(v * v) AS vv,
+  greatest(1e-12 * sum(v * v) / any_value(n), 1e-24) AS least FROM v GROUP BY {per} HAVING count(*) >= 2),
+r AS (SELECT {per}, 0 AS turn, greatest(vv / n, least) AS noise, 0::DOUBLE AS a, 0::DOUBLE AS b FROM s
+  UNION ALL
+  SELECT {per}, turn + 1, greatest(2 * rss / (n + sqrt(n * n + 16 * rss)), least), a, b FROM (
+    SELECT *, greatest(vv - a * v - b * tv - noise * (a * (a + shift) + b * b) / 25, 0) AS rss FROM (
+      SELECT *, (x * m22 - m12 * tv) / (m11 * m22 - m12 * m12) AS a, (m11 * tv - m12 * x) / (m11 * m22 - m12 * m12) AS b FROM (
+        SELECT s.*, turn, noise, n + noise / 25 AS m11, t AS m12, tt + noise / 25 AS m22, v - noise * shift / 25 AS x
+        FROM r JOIN s USING ({per}) WHERE turn < 60)))),
+tm AS (SELECT {per}, scale * (a + shift) AS offset_, scale * b / span AS slope, scale * sqrt(noise) AS sigma, n
+  FROM r JOIN s USING ({per}) WHERE turn = 60)"""
+
+
+def _with_level(panel_sql: str) -> str:
+    return f"""p AS ({panel_sql}), e AS (SELECT key, min(y) / 2 + max(y) / 2 AS level, min({DAY_SQL}) AS t0,
+  min(ds) AS first_ds, max(ds) AS last_ds FROM p GROUP BY key),
+q AS (SELECT p.key, ds, y, level, t0, first_ds, last_ds FROM p JOIN e ON e.key = p.key)"""
+
+
+TREND_SQL = f"WITH RECURSIVE {_with_level(PD_SQL)}, {_trend_sql('q', 'key', 't0')}"
+BOUNDS_SQL = f"""round(offset_ + slope * ({DAY_SQL} - t0), 2) AS yhat,
+round(offset_ + slope * ({DAY_SQL} - t0) - {Z_SQL} * sigma, 2) AS yhat_lower,
+round(offset_ + slope * ({DAY_SQL} - t0) + {Z_SQL} * sigma, 2) AS yhat_upper"""
+YHAT_DIGITS = {"yhat": 2, "yhat_lower": 2, "yhat_upper": 2}
+
+
+@query(
+    "fit_trend",
+    f"""{TREND_SQL} SELECT key, CAST(n AS BIGINT) AS n_obs, first_ds, last_ds, round(offset_, 2) AS offset_,
+round(slope, 4) AS slope, round(sigma, 2) AS sigma, true AS converged FROM tm JOIN e USING (key)""",
+)
+def fit_trend(spark, d):
+    models = additive.fit_panel(settled(daily_panel(spark, d)), TREND_ONLY)
+    at = lambda i: F.get("theta", F.lit(i)) * F.col("_scale")
+    found = models.select("key", "n_obs", "first_ds", "last_ds", at(0).alias("offset_"), (at(1) / F.col("_span")).alias("slope"), (F.col("sigma") * F.col("_scale")).alias("sigma"), "converged")
+    return _round(found, offset_=2, slope=4, sigma=2)
+
+
+@query("predict_trend", f"{TREND_SQL} SELECT key, ds, round(y, 2) AS y, {BOUNDS_SQL} FROM q JOIN tm USING (key)")
+def predict_trend(spark, d):
+    panel = settled(daily_panel(spark, d))
+    return _round(additive.predict_panel(additive.fit_panel(panel, TREND_ONLY), panel), y=2, **YHAT_DIGITS)
+
+
+@query("forecast_trend", f"{TREND_SQL}, {FUTURE_SQL} SELECT key, ds, {BOUNDS_SQL} FROM fut JOIN e USING (key) JOIN tm USING (key)")
+def forecast_trend(spark, d):
+    return _round(additive.forecast_panel(settled(daily_panel(spark, d)), 365, "D", TREND_ONLY), **YHAT_DIGITS)
+
+
+CV_TREND_SQL = f"""WITH RECURSIVE {_with_level(PH_SQL)}, {_cutoff_sql(*HOURLY_CV)},
+f AS (SELECT q.key, cutoff, ds, y, level, t0 FROM k JOIN q ON q.key = k.key AND ds <= cutoff),
+{_trend_sql('f', 'key, cutoff', 't0')},
+cv AS (SELECT tm.key, tm.cutoff, ds, y, offset_ + slope * ({DAY_SQL} - t0) AS yhat, sigma
+  FROM tm JOIN q ON q.key = tm.key AND ds > cutoff AND ds <= cutoff + INTERVAL '{HOURLY_CV[2]}')"""
+
+
+@query(
+    "cross_validate_trend",
+    f"""{CV_TREND_SQL} SELECT key, cutoff, ds, round(y, 4) AS y, round(yhat, 4) AS yhat,
+round(yhat - {Z_SQL} * sigma, 4) AS yhat_lower, round(yhat + {Z_SQL} * sigma, 4) AS yhat_upper FROM cv""",
+)
+def cross_validate_trend(spark, d):
+    cv = evaluate.cross_validate(settled(hourly_panel(spark, d)), *HOURLY_CV, spec=TREND_ONLY)
+    return _round(cv, y=4, yhat=4, yhat_lower=4, yhat_upper=4)
+
+
+@query(
+    "grid_search_trend",
+    f"""{CV_TREND_SQL}, g(ordinal, changepoint_prior_scale, seasonality_prior_scale) AS (VALUES
+  {', '.join(f'({i}, ({c!r})::DOUBLE, ({w!r})::DOUBLE)' for i, c, w in FIXED_PAIRS)})
+SELECT key, ordinal, changepoint_prior_scale, seasonality_prior_scale, round(sqrt(avg((y - yhat) ** 2)), 4) AS rmse
+FROM cv CROSS JOIN g GROUP BY ALL""",
+)
+def grid_search_trend(spark, d):
+    return _round(evaluate.grid_search(settled(hourly_panel(spark, d)), *HOURLY_CV, pairs=FIXED_PAIRS, spec=TREND_ONLY), rmse=4)
+
+
+@query("model_rmse_trend", f"{CV_TREND_SQL} SELECT key, round(sqrt(avg((y - yhat) ** 2)), 4) AS rmse, 'non_tl' AS mode FROM cv GROUP BY key")
+def model_rmse_trend(spark, d):
+    return _round(evaluate.model_rmse(settled(hourly_panel(spark, d)), *HOURLY_CV, "non_tl", spec=TREND_ONLY), rmse=4)
+
+
+@query(
+    "timing_measured",
+    f"WITH p AS ({PD_SQL}) SELECT key, 'non_tl' AS mode, true AS measured FROM p GROUP BY key HAVING count(*) >= 2",
+)
+def timing_measured(spark, d):
+    models = additive.fit_panel(settled(daily_panel(spark, d)), TREND_ONLY)
+    return additive.timing_table(models, "non_tl").select("key", "mode", (F.col("train_seconds") > 0).alias("measured"))
+
+
 # ---- the additive model (rows only: no SQL form) -------------------------------------------------------------------
 
 SEASONS = ModelSpec(yearly=True, weekly=True, daily=False)
