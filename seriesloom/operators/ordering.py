@@ -119,7 +119,7 @@ def first_keys(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def best_row(df: DataFrame, group: list[str], order: list[Column], keep: list[str]) -> DataFrame:
-    """The row of each group that comes first by ``order``; a hash aggregate, not a sort."""
+    """The row of each group that comes first by ``order``; combined before the shuffle."""
     picked = F.min_by(F.struct(*keep), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
     return df.groupBy(*group).agg(picked.alias("_best")).select(*group, "_best.*")
 

@@ -33,16 +33,20 @@ def exclude_key(df: DataFrame, key: str, value) -> DataFrame:
 
 def membership_tally(children: DataFrame, child_parent: DataFrame, parents: DataFrame, child: str = "child",
                      parent: str = "parent") -> DataFrame:
-    """How many children have a listed parent (yes), another parent (no) or none in the map (errors)."""
+    """How many children have a listed parent (yes), another parent (no) or none in the map (errors).
+
+    Children are counted per parent before anything is joined by parent, so no parent's children meet in one task.
+    """
     listed = parents.select(parent).distinct().withColumn("_listed", F.lit(True))
     matched = children.select(child).join(child_parent.select(child, parent), child, "left")
-    tagged = matched.join(listed, parent, "left")
+    tagged = matched.groupBy(parent).agg(F.count(F.lit(1)).alias("_n")).join(listed, parent, "left")
     missing = F.col(parent).isNull()
     found = ~missing & F.col("_listed").isNotNull()
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("_n"))), F.lit(0).cast("bigint"))
     return tagged.agg(
-        F.count_if(found).alias("yes"),
-        F.count_if(~missing & F.col("_listed").isNull()).alias("no"),
-        F.count_if(missing).alias("errors"),
+        total(found).alias("yes"),
+        total(~missing & F.col("_listed").isNull()).alias("no"),
+        total(missing).alias("errors"),
     )
 
 

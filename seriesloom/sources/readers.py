@@ -41,10 +41,20 @@ def scan_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, views: Mapping[str, DataFrame], text: str, **params: Any) -> DataFrame:
-    """Register each frame as a temporary view and run a SQL text over them."""
-    for name, frame in views.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(text, args=params or None)
+    """Run a SQL text over frames by their names. Views of the session with such a name are there again afterwards."""
+    hidden = {}
+    for name in views:
+        if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary:
+            hidden[name] = spark.table(name)
+    try:
+        for name, frame in views.items():
+            frame.createOrReplaceTempView(name)
+        return spark.sql(text, args=params or None)
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
+        for name, frame in hidden.items():
+            frame.createOrReplaceTempView(name)
 
 
 def preview(df: DataFrame, n: int, order_by: str | Column | Sequence[str | Column]) -> DataFrame:

@@ -95,3 +95,22 @@ def test_intermediate_tables_can_be_cleared(spark):
     clear_scratch(spark)
     assert not folder.exists()
     assert settle(spark.range(3), "numbers")[0].count() == 3
+
+
+def test_views_of_the_session_survive_a_sql_text(spark):
+    from seriesloom.sources.readers import run_sql
+
+    spark.range(5).createOrReplaceTempView("numbers")
+    assert run_sql(spark, {"numbers": spark.range(2), "others": spark.range(3)}, "SELECT * FROM numbers, others").count() == 6
+    assert spark.table("numbers").count() == 5 and not spark.catalog.tableExists("others")
+    spark.catalog.dropTempView("numbers")
+
+
+def test_children_are_tallied_by_parent(spark):
+    from seriesloom.operators.relations import membership_tally
+
+    children = spark.createDataFrame([(k,) for k in range(10)], "child int")
+    pairs = spark.createDataFrame([(k, "a" if k < 5 else "b") for k in range(8)], "child int, parent string")
+    listed = spark.createDataFrame([("a",), ("a",)], "parent string")
+    assert tuple(membership_tally(children, pairs, listed).first()) == (5, 3, 2)
+    assert tuple(membership_tally(children.where("false"), pairs, listed).first()) == (0, 0, 0)
