@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import blocks, jaccard, sentencepieces, suffixes
+from seriesloom.llm import blocks, jaccard, oracle, sentencepieces, suffixes
 from seriesloom.llm.common import table
 from seriesloom.llm.epsilon import near_duplicates
 from seriesloom.llm.languages import identify
@@ -16,7 +16,7 @@ from seriesloom.llm.surrogates import with_surrogates
 from seriesloom.llm.wordpieces import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracle.SQL)
 
 SURROGATE_KEY = "seriesloom registered query"
 """Key of the registered query and the pipeline; an installation passes its own secret."""
