@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +28,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the tasks of this application a copy of the package, so that executors need none of their own."""
+    context, root = spark.sparkContext, Path(__file__).parents[1]
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="seriesloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/seriesloom-code.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as packed:
+        for source in sorted(root.rglob("*.py")):
+            packed.write(source, f"{root.name}/{source.relative_to(root)}")
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def in_slices(total: int, largest: int, partitions: int, floor: int = 64) -> int:
     """Slices into which a group of ``largest`` of ``total`` rows is cut, so that none outweighs a quarter of a partition."""
     return max(1, math.ceil(largest / max(floor, total / (4 * partitions))))

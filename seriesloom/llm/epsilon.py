@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import columns_of, components
+from seriesloom.llm.common import columns_of, components, ship
 from seriesloom.sources.artifacts import settle
 
 COSINE = 0.9
@@ -212,6 +212,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leading: int = L
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing, nor
     do vectors of different lengths. Equal vectors are joined once, with their number as weight; they link with each other.
     """
+    ship(vectors.sparkSession)
     width = math.sqrt(2 - 2 * cosine) + SLACK
     rows = columns_of(vectors, "vec_id", "embedding")
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))

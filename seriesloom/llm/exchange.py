@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import mix64, shuffle_partitions, sized
+from seriesloom.llm.common import mix64, ship, shuffle_partitions, sized
 
 PARTITION_BYTES = 128 << 20
 """text in one partition at most, about"""
@@ -96,6 +96,7 @@ class Chunk:
 def in_chunks(docs: DataFrame, chunk_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """``doc_id, text, chunk`` dealt out by chunk, with the columns of ``carry`` in a struct ``carried``; and the bytes of all
     texts. Rows are dealt by id and text together."""
+    ship(docs.sparkSession)
     _, total = sized(docs)
     chunks = max(1, math.ceil(total / chunk_bytes))
     at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import columns_of, mix64
+from seriesloom.llm.common import columns_of, mix64, ship
 
 TABLE_BITS = 15
 PENALTY = 12.0
@@ -93,6 +93,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def learn(training: DataFrame) -> LanguageModel:
     """Model from all rows ``text, lang``; null texts or languages teach nothing. Counts of letters are summed where the rows lie."""
+    ship(training.sparkSession)
     size = 1 << TABLE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +180,7 @@ def predict(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY, wit
     span = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
     if with_spans:
         schema += ", spans array<struct<first:bigint,end:bigint,lang:string>>"
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_once = max(1, WORDS_AT_ONCE * 4 // max(4, len(model.names)))
 

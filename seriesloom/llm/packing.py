@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import UnitCache, columns_of, in_slices, shuffle_partitions
+from seriesloom.llm.common import UnitCache, columns_of, in_slices, ship, shuffle_partitions
 from seriesloom.sources.artifacts import settle
 
 CAPACITY = 2048
@@ -106,6 +106,7 @@ def token_pieces(
 
     A null text is an empty one and gives the end id alone. Repeated rows are packed as often as they come.
     """
+    ship(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = PIECES + (", ids binary" if with_ids else "")
 
@@ -199,6 +200,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to settled pieces that have ``doc_id, piece, length``."""
     spark = pieces.sparkSession
+    ship(spark)
     parts = shuffle_partitions(spark)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = np.array(sorted(plan_bins(counts, capacity)), dtype=np.int64).reshape(-1, 6)

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seriesloom.llm.common import UnitCache, columns_of
+from seriesloom.llm.common import UnitCache, columns_of, ship
 
 PREFIX = "##"
 START, CONTINUED = 0, 1
@@ -132,5 +132,6 @@ def token_counts(docs: DataFrame, vocabulary_path: str | None = None) -> DataFra
                 [batch.column(0), *[pa.array(x, pa.int64()) for x in (words, tokens, unknown)]], ["doc_id", "n_words", "n_tokens", "n_unknown"]
             )
 
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return columns_of(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
