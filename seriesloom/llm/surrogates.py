@@ -214,7 +214,8 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     surfaces, _ = settle(hits.select("surface").distinct().withColumn("form", kind_of(F.col("surface"))), "surfaces")
     parts = surfaces.select("surface", F.explode(_parts(F.col("surface"), F.col("form"))).alias("p")).select("surface", "p.i", "p.kind", "p.raw")
     parts = parts.withColumn("norm", F.when(F.col("kind").isNotNull(), _norm(F.col("kind"), F.col("raw"))))
-    made = parts.join(mapping(parts, key), ["kind", "norm"], "left").select(
+    known = parts.join(mapping(parts, key), ["kind", "norm"], "left")
+    made = known.repartition(shuffle_partitions(docs.sparkSession), "surface").select(  # few bytes, much work
         "surface", F.struct("i", _rendered(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("out")).alias("p")
     )
     replacements = made.groupBy("surface").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["out"]), " ").alias("new"))
