@@ -72,7 +72,8 @@ def test_plan_places_every_piece_once(seed):
     assert {k: sum(b - a for a, b in v) for k, v in by.items()} == counts
     assert all(sorted(v)[0][0] == 0 and all(x[1] == y[0] for x, y in zip(sorted(v), sorted(v)[1:])) for v in by.values())
     assert max(load.values()) <= 256
-    assert len(load) <= 1.1 * sum(k * n for k, n in counts.items()) / 256 + 1
+    halves = sum(n for k, n in counts.items() if k > 128)  # no two of these share a bin
+    assert len(load) <= 1.1 * max(halves, sum(k * n for k, n in counts.items()) / 256) + 1
 
 
 def test_counts_equal_the_greedy_library_model(spark):
