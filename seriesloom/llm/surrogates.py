@@ -3,6 +3,9 @@
 Only DataFrame functions are used. The same entity gets the same surrogate in every document and layout (coreference);
 different entities of a kind get different ones, and no surrogate equals a detected original: collisions are searched for
 over all entities and drawn again until there are none (distinctness).
+
+A phone behind +1 has 3-3-4 digits. Behind other country codes it has 7 to 15 digits in groups, and a group that begins an
+address, a card, another phone or a social security number isn't part of it; a plain number that still fits into the 15 is.
 """
 
 from __future__ import annotations
@@ -30,17 +33,24 @@ ENDINGS = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}\p{Ll}++"
 _TITLE = "(?:" + "|".join(sorted(FEMALE_TITLES + MALE_TITLES, key=len, reverse=True)) + ")"
+_IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
+_SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
+_CARD = r"(?:(?:\d{4}[ -]){3}\d{4}|\d{13,19})(?!\d)"
+_LOCAL = r"\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+_DIGIT = r"\d[ .()-]{0,2}"
+_GROUP = rf"(?:[ .-](?!{_IP}|{_SSN}|{_CARD}(?![ -]\d{{4}}(?!\d))|{_LOCAL})|(?<=[\d)]))"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+(?<=[A-Za-z]{2})",
     "password": r"(?<=password=)[0-9A-Za-z]{6,}+",
     "token": r'(?<=token = ")[0-9A-Za-z_-]{16,}+',
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-    r"|(?<![\w)(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "card": r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
+    "ip": rf"(?<![\d.]){_IP}",
+    "ssn": rf"(?<![\d-]){_SSN}",
+    "phone": r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    rf"|(?<![\w+])\+[2-9]\d{{0,2}}(?:[ .-]?\(\d{{1,4}}\))?{_GROUP}\d{{1,4}}(?:{_GROUP}\d{{2,4}}){{1,5}}(?!\d)(?<={_DIGIT * 7})(?<!{_DIGIT * 16})"
+    rf"|(?<![\w)(])\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}(?!\d)|(?<![\d-]){_LOCAL}",
+    "card": rf"(?<!\d){_CARD}",
     "name": rf"(?<![\p{{L}}]){_TITLE}\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())

@@ -118,6 +118,26 @@ def test_surrogates(spark):
         assert got[kept] == 1
 
 
+PHONES = ["+1 (826) 555-4081", "+1 826 555 4081", "+1.826.555.4081", "+18265554081", "+44 20 7946 0958", "+33 1 23 45 67 89", "+49.30.901820", "+442079460958", "(826) 555-4081"]
+
+
+def test_phones_leave_their_neighbours_alone(spark):
+    """A phone directly before an address, a card, a security number, a phone or a plain number."""
+    next_ = ["190.137.223.204", "4041894974608795", "4041 8949 7460 8795", "123-45-6789", "319-555-5132", "2024"]
+    rows = [(f"{p} {x}", p, x) for p in PHONES for x in next_ if x != "2024" or not p.startswith(("+3", "+49"))]
+    texts = spark.createDataFrame(rows, "text string, phone string, next string")
+    got = texts.select("*", F.regexp_extract_all("text", F.lit(surrogates.ANY), F.lit(0)).alias("found")).collect()
+    assert [r.found for r in got] == [[r.phone, r.next] if r.next != "2024" else [r.phone] for r in got]
+
+
+def test_a_phone_before_an_address_keeps_its_surrogate(spark):
+    docs = [(k, t, "en", "s", 1) for k, t in enumerate([PHONES[0] + " 190.137.223.204", PHONES[-1], PHONES[1]])]
+    a, b, c = [r.text for r in surrogates.with_surrogate_texts(spark.createDataFrame(docs, DOCS), "k").orderBy("doc_id").collect()]
+    number, address = a.rsplit(" ", 1)
+    assert number == f"+1 {b}" != PHONES[0] and re.sub(r"\D", "", c) == re.sub(r"\D", "", number)
+    assert re.fullmatch(r"\d{3}\.\d{3}\.\d{3}\.\d{3}", address) and address != "190.137.223.204"
+
+
 def test_surrogates_stay_distinct_when_they_collide(spark):
     """One-digit octets leave 9**4 addresses: thousands of entities collide at first."""
     ips = sorted({".".join(map(str, p)) for p in itertools.product(range(1, 8), repeat=4)})
