@@ -6,6 +6,9 @@ over all entities and drawn again until there are none (distinctness).
 
 A phone behind +1 has 3-3-4 digits. Behind other country codes it has 7 to 15 digits in groups, and a group that begins an
 address, a card, another phone or a social security number isn't part of it; a plain number that still fits into the 15 is.
+
+Secrets are letters and digits (tokens also ``_`` and ``-``) behind ``password =`` or ``token =`` in any case, with or without
+blanks and quotes, and access keys. Names are one or two words behind a title, titles and names written as usual or in capitals.
 """
 
 from __future__ import annotations
@@ -30,9 +33,15 @@ ENDINGS = {
     ("greek", "first_f"): "να", ("greek", "first_m"): "ρος", ("greek", "surname"): "μης",
 }
 
+# Titles as usual and in capitals, those with and without accents.
+_PLAIN = str.maketrans("ÁÉÍÓÚΆΈΉΊΌΎΏ", "AEIOUΑΕΗΙΟΥΩ")
+_raised = lambda titles: sorted({y for t in titles for y in (t, t.upper(), t.upper().translate(_PLAIN))})
+FEMALE_FORMS, MALE_FORMS = _raised(FEMALE_TITLES), _raised(MALE_TITLES)
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}\p{Ll}++"
-_TITLE = "(?:" + "|".join(sorted(FEMALE_TITLES + MALE_TITLES, key=len, reverse=True)) + ")"
+_NAME, _RAISED = r"\p{Lu}\p{Ll}++", r"\p{Lu}{2,}+(?!\p{Ll})"
+_TITLE = "(?:" + "|".join(sorted(FEMALE_FORMS + MALE_FORMS, key=len, reverse=True)) + ")"
+_PASSWORD, _TOKEN = (rf"(?i:{word})\s*+=\s*+[\"']?+" for word in ("password", "token"))
 _IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?:(?:\d{4}[ -]){3}\d{4}|\d{13,19})(?!\d)"
@@ -41,8 +50,8 @@ _DIGIT = r"\d[ .()-]{0,2}"
 _GROUP = rf"(?:[ .-](?!{_IP}|{_SSN}|{_CARD}(?![ -]\d{{4}}(?!\d))|{_LOCAL})|(?<=[\d)]))"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+(?<=[A-Za-z]{2})",
-    "password": r"(?<=password=)[0-9A-Za-z]{6,}+",
-    "token": r'(?<=token = ")[0-9A-Za-z_-]{16,}+',
+    "password": rf"{_PASSWORD}[0-9A-Za-z]{{6,}}+",
+    "token": rf"{_TOKEN}[0-9A-Za-z_-]{{16,}}+",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_IP}",
@@ -51,15 +60,17 @@ PATTERNS = {
     rf"|(?<![\w+])\+[2-9]\d{{0,2}}(?:[ .-]?\(\d{{1,4}}\))?{_GROUP}\d{{1,4}}(?:{_GROUP}\d{{2,4}}){{1,5}}(?!\d)(?<={_DIGIT * 7})(?<!{_DIGIT * 16})"
     rf"|(?<![\w)(])\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}(?!\d)|(?<![\d-]){_LOCAL}",
     "card": rf"(?<!\d){_CARD}",
-    "name": rf"(?<![\p{{L}}]){_TITLE}\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<![\p{{L}}]){_TITLE}\.? (?:{_NAME}(?: {_NAME})?|{_RAISED}(?: {_RAISED})?)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-MAY_HOLD = "[0-9@=]|(?=[" + "".join(sorted({t[0] for t in FEMALE_TITLES + MALE_TITLES})) + "])" + _TITLE + r"\.? \p{Lu}"
+MAY_HOLD = "[0-9@=]|AKIA|(?=[" + "".join(sorted({t[0] for t in FEMALE_FORMS + MALE_FORMS})) + "])" + _TITLE + r"\.? \p{Lu}"
+ANNOUNCED = f"^(?:{_PASSWORD}|{_TOKEN})"
 SHAPED = {k: f"^(?:{PATTERNS[k]})$" for k in ("email", "ip", "ssn", "phone", "access_key", "card", "iban", "name")}
 
 
 def kind_of(surface: Column) -> Column:
-    """The first kind whose pattern matches the whole surface; what is left stood after a secret's announcement."""
+    """The first kind whose pattern matches the whole surface, without its announcement; what is left stood after one."""
+    surface = F.regexp_replace(surface, ANNOUNCED, "")
     out = F.when(surface.rlike(SHAPED["email"]), "email")
     for kind in ("access_key", "ip", "ssn", "phone", "card", "iban", "name"):
         out = out.when(surface.rlike(SHAPED[kind]), kind)
@@ -67,23 +78,27 @@ def kind_of(surface: Column) -> Column:
 
 
 def _parts(surface: Column, kind: Column) -> Column:
-    """What a surface is made of: titles stay (null kind), names are first names by gender and surnames, all else is one part."""
+    """What a surface is made of: titles and announcements stay (null kind), names are first names by gender and surnames, all
+    else is one part. Parts begin with their ``glue``."""
     tokens = F.split(surface, " ")
-    first = F.when(F.regexp_replace(tokens[0], r"\.$", "").isin(FEMALE_TITLES), "first_f").otherwise("first_m")
+    first = F.when(F.regexp_replace(tokens[0], r"\.$", "").isin(FEMALE_FORMS), "first_f").otherwise("first_m")
     role = lambda i: F.when(i == 0, F.lit(None)).when((i == 1) & (F.size(tokens) == 3), first).otherwise("surname")
-    named = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), role(i).alias("kind"), t.alias("raw")))
-    whole = F.array(F.struct(F.lit(0).alias("i"), kind.alias("kind"), surface.alias("raw")))
+    named = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), role(i).alias("kind"), t.alias("raw"), F.when(i > 0, " ").otherwise("").alias("glue")))
+    whole = F.array(
+        F.struct(F.lit(0).alias("i"), kind.alias("kind"), F.regexp_replace(surface, ANNOUNCED, "").alias("raw"), F.regexp_extract(surface, ANNOUNCED, 0).alias("glue"))
+    )
     return F.when(kind == "name", named).otherwise(whole)
 
 
 def _norm(kind: Column, raw: Column) -> Column:
-    """What makes two surfaces the same entity: letters without case, numbers without layout or the +1 of a country."""
+    """What makes two surfaces the same entity: letters without case (those of secrets only if they are hexadecimal), numbers
+    without layout or the +1 of a country."""
     digits = F.regexp_replace(raw, r"\D", "")
     phone = F.when(raw.startswith("+1") & (F.length(digits) == 11), F.substring(digits, 2, 10)).otherwise(digits)
     return (
         F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
-        .when(kind.isin("ip", "secret", "access_key"), raw).otherwise(F.lower(raw))
+        .when((kind == "secret") & ~raw.rlike("^(?:[0-9a-f]{8,}|[0-9A-F]{8,})$"), raw).when(kind.isin("ip", "access_key"), raw).otherwise(F.lower(raw))
     )
 
 
@@ -184,7 +199,7 @@ def _rendered(kind: Column, raw: Column, made: Column) -> Column:
         F.when(kind.isin("first_f", "first_m", "surname"), F.initcap(made)).otherwise(made)
     )
     return F.when(kind.isNull(), raw).when(kind.isin("phone", "card", "ssn", "iban"), laid).when(
-        kind.isin("secret", "access_key", "ip"), made
+        ((kind == "secret") & (made != F.lower(made))) | kind.isin("access_key", "ip"), made
     ).otherwise(cased)
 
 
@@ -222,13 +237,13 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     found, _ = settle(found, "found")
     hits = found.where(F.size("_found") > 0).select("_row", F.posexplode("_found").alias("pos", "surface"))
     surfaces, _ = settle(hits.select("surface").distinct().withColumn("form", kind_of(F.col("surface"))), "surfaces")
-    parts = surfaces.select("surface", F.explode(_parts(F.col("surface"), F.col("form"))).alias("p")).select("surface", "p.i", "p.kind", "p.raw")
+    parts = surfaces.select("surface", F.explode(_parts(F.col("surface"), F.col("form"))).alias("p")).select("surface", "p.i", "p.kind", "p.raw", "p.glue")
     parts = parts.withColumn("norm", F.when(F.col("kind").isNotNull(), _norm(F.col("kind"), F.col("raw"))))
     known = parts.join(mapping(parts, key), ["kind", "norm"], "left")
     made = known.repartition(shuffle_partitions(docs.sparkSession), "surface").select(  # few bytes, much work
-        "surface", F.struct("i", _rendered(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("out")).alias("p")
+        "surface", F.struct("i", F.concat("glue", _rendered(F.col("kind"), F.col("raw"), F.col("surrogate"))).alias("out")).alias("p")
     )
-    replacements = made.groupBy("surface").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["out"]), " ").alias("new"))
+    replacements = made.groupBy("surface").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["out"]), "").alias("new"))
     replacements, _ = settle(replacements, "replacements")
     per_row = (
         hits.join(replacements, "surface").groupBy("_row")
