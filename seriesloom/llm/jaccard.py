@@ -92,7 +92,7 @@ class FrequencyRound(Round):
 
 def _sets(docs: DataFrame, width: int, percent: int, chunk_bytes: int) -> DataFrame:
     """A row per document with the size of its set; those that may be linked also have a fingerprint of the set, and the
-    first of each set in a chunk carries the set, its commonness and the rare shingles that it may share."""
+    row with the smallest id of each set in a chunk carries the set, its commonness and the rare shingles that it may share."""
     dealt, total = in_chunks(docs, chunk_bytes)
     ask = FrequencyRound(1, bucket_bits(total / 6, 4), 4)
 
@@ -116,7 +116,7 @@ def _sets(docs: DataFrame, width: int, percent: int, chunk_bytes: int) -> DataFr
             mixed = mix64(mine)
             f1[k], f2[k] = int(mixed.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(mixed + np.uint64(1))).view(np.int64))
             first = seen.setdefault((f1[k], f2[k]), k)
-            if ids[k] is not None and ids[first] is not None and ids[k] < ids[first]:
+            if first != k and ids[k] is not None and (ids[first] is None or ids[k] < ids[first]):
                 for column in (score, held, rare):
                     column[k], column[first] = column[first], None
                 seen[f1[k], f2[k]] = k

@@ -1,6 +1,7 @@
 """Jaccard groups and embedding groups against brute force."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from seriesloom.llm import jaccard
 from seriesloom.llm.common import components
 from seriesloom.llm.epsilon import near_duplicates
-from tests.llm.corpus import SCHEMA, corpus
+from tests.llm.corpus import SCHEMA, corpus, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,6 +63,15 @@ def test_one_of_each_group_stays(spark):
     assert got.count(None) == 2
 
 
+@pytest.mark.parametrize("ids", [(None, 7, 3), (None, 3, 7), (7, None, 3), (None, None, 3)])
+def test_a_row_without_id_before_its_equals(spark, ids):
+    text = " ".join(prose(random.Random(4), 60))
+    docs = spark.createDataFrame([(k, text, "en", "s", 1, 1, "c", "r") for k in ids], SCHEMA).coalesce(1)
+    want = Counter((k, 57, None if k is None else 3) for k in ids)
+    assert Counter(map(tuple, jaccard.groups(docs).collect())) == want
+    assert Counter(r.doc_id for r in jaccard.one_of_each(docs).collect()) == Counter([3, *(k for k in ids if k is None)])
+
+
 def test_no_documents(spark):
     assert jaccard.groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
