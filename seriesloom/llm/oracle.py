@@ -53,9 +53,49 @@ l AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.ve
 nodes AS (SELECT vec_id AS node FROM embeddings), {_components("nodes", "l")}
 SELECT node AS vec_id, CAST((SELECT count(*) FROM l WHERE a = node) AS BIGINT) AS n_links, component_id, node = component_id AS kept FROM comp"""
 
+FILTER_AUDIT = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+  regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+f AS (SELECT doc_id, part, concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+  CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+  CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 'E' END) AS fails FROM d),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+  count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic FROM f GROUP BY part, fails),
+o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o CROSS JOIN (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) l(x) WHERE NOT contains(o, x)),
+s AS (SELECT o AS filter_order, CAST(k AS INTEGER) AS step, substr(o, k, 1) AS here, substr(o, 1, k - 1) AS before
+  FROM o CROSS JOIN range(1, 6) t(k) WHERE length(o) = 5),
+r AS (SELECT part, filter_order, step, here, sum(n) FILTER (WHERE translate(fails, before || here, '') = fails) AS kept,
+  sum(n) FILTER (WHERE contains(fails, here) AND translate(fails, before, '') = fails) AS removed,
+  sum(n) FILTER (WHERE contains(fails, here) AND translate(fails, before, '') <> fails) AS redundant, sum(n) FILTER (WHERE fails = here) AS unique_fails,
+  sum(good) FILTER (WHERE contains(fails, here) AND translate(fails, before, '') = fails) AS good_lost,
+  sum(toxic) FILTER (WHERE contains(fails, here) AND translate(fails, before, '') = fails) AS toxic_lost FROM m CROSS JOIN s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+coalesce(sum(removed) OVER (PARTITION BY part, here), 0)::BIGINT AS shapley FROM r"""
+
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS ln FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(ln) AS lt FROM k GROUP BY lang),
+x AS (SELECT g.lang, g.source, k.term, ln, coalesce(n, 0) AS n FROM g JOIN k ON k.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS MATERIALIZED (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p,
+  1 + 1000000000::HUGEINT * (ln + 5)::HUGEINT // (lt + 5 * v)::HUGEINT AS q FROM x JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term
+  AND a.source <> b.source GROUP BY ALL),
+e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e QUALIFY part = 'pair' OR rank <= 50"""
+
 SQL = {
     "op3_block_anchors": BLOCKS,
     "op5_suffix_dedup": SUFFIXES,
     "op6_jaccard_join": JACCARD,
     "op10_epsilon_grid": EPSILON,
+    "op11_filter_audit": FILTER_AUDIT,
+    "op12_source_divergence": DIVERGENCE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import blocks, jaccard, oracle, sentencepieces, suffixes
+from seriesloom.llm import blocks, bytepairs, divergence, filteraudit, jaccard, oracle, sentencepieces, suffixes
 from seriesloom.llm.common import table
 from seriesloom.llm.epsilon import near_duplicates
 from seriesloom.llm.languages import identify
@@ -75,3 +75,18 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.digest(bytepairs.encode(table(spark, sf_dir, "documents"), decoded=True))

@@ -29,7 +29,7 @@ def test_query_has_a_row_per_document(spark, name):
 
 def test_all_are_registered():
     names = [n for n in entry_module.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry_module.queries()
 
 
