@@ -32,7 +32,7 @@ class ByteBpe:
     """Token ids of whole texts as little-endian 32-bit words, equal to the tokenizers library's for the same vocabulary file.
 
     A blank after a visible character always starts a new token, so a text is cut there and the ids of each unit are
-    kept. Units within Latin script go to tiktoken, which has the same vocabulary as ranks and is faster; all others go to
+    kept. A text that holds an added token goes to the tokenizers library as a whole. Units within Latin script go to tiktoken, which has the same vocabulary as ranks and is faster; all others go to
     the tokenizers library, so that differences between the libraries' Unicode tables can't matter.
     """
 
@@ -45,11 +45,11 @@ class ByteBpe:
 
         path = path or public_tokenizers.path("byte_bpe_50k.json")
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             stated = json.load(f)
         printable = self._byte_characters()
         special = {t["content"] for t in stated.get("added_tokens", [])}
+        self.added = sorted(special)
         ranks = {bytes(printable[c] for c in t): i for t, i in stated["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.first = UnitCache(self._encode, 50_000)
@@ -73,6 +73,8 @@ class ByteBpe:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(content in text for content in self.added):
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if SPACE_AFTER_SPACE.search(text):
             units = UNIT_START.split(text)
             return b"".join([self.first[units[0]], *[self.later[u[1:]] for u in units[1:]]])

@@ -14,12 +14,10 @@ from tests.llm.corpus import SCHEMA, corpus
 
 @pytest.fixture(scope="module")
 def bpe():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-ODD = ["", " ", "  a  b ", "\n\n x", "a b   c", "don't we'll  x", "<|endoftext|> end", "Привет мир 你好 😀", "x́ é", " \t\n", "tab\t tab \n  two", "123 4567 ...!!"]
+ODD = ["", " ", "  a  b ", "\n\n x", "a b   c", "don't we'll  x", "<|endoftext|> end", "a <|endoftext|>", "x<|endoftext|><|endoftext|>  y", "Привет мир 你好 😀", "x́ é", " \t\n", "tab\t tab \n  two", "123 4567 ...!!"]
 
 
 def test_ids_equal_the_tokenizers_library(bpe):
