@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm.blocks import Words
 from seriesloom.llm.common import columns_of, components, mix64
 from seriesloom.llm.exchange import SENT, Chunk, Round, bucket_bits, in_chunks
+from seriesloom.operators.skew import DEFAULT_LIMITS, Limits, attach, key_table
 from seriesloom.sources.artifacts import settle
 
 SHINGLE = 4
@@ -249,9 +250,20 @@ def groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, chunk_
     return settled.unionByName(open_)
 
 
-def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group; of repeated rows one, and all rows without an id."""
-    keep = groups(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
-    keep, _ = settle(keep, "kept")
-    chosen = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return chosen.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group; of repeated rows one, and all rows without an id.
+
+    Only ids that go or that come more than once are brought to the documents, so texts stay where they lie as long as
+    that list is small; beyond, the join splits hot ids. Texts are compared for repeated ids alone.
+    """
+    again, rows = (name + "_" * len("".join(docs.columns)) for name in ("again", "rows"))  # longer than any column's name
+    found, _ = settle(groups(docs, width, percent).where("doc_id is not null"), "grouped")
+    ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias(again), F.count(F.lit(1)).alias(rows))
+    told = key_table(ids.where(~F.col(again) | (F.col(rows) > 1)), rows, "told")
+    known = docs.where("doc_id is not null")
+    marked = attach(known, told, ["doc_id"], "left", rows, limits)
+    repeated = told.narrowed(told.frame.where(again).select("doc_id", rows))
+    several = attach(known, repeated, ["doc_id"], "left_semi", rows, limits).dropDuplicates(["doc_id", "text"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = marked.where(F.col(again).isNull()).select(*columns)
+    return out.unionByName(several.select(*columns)).unionByName(docs.where("doc_id is null"))

@@ -63,6 +63,15 @@ def test_one_of_each_group_stays(spark):
     assert got.count(None) == 2
 
 
+def test_one_of_each_with_hot_ids_and_clashing_names(spark, tight):
+    rows = [(k % 3 if k < 30 else k, "same words in all of these rows" if k < 60 else f"own words number {k} here", k % 2) for k in range(90)] + [(None, None, 1)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n int")
+    once = sorted(map(tuple, jaccard.one_of_each(docs, 4, 85).select("doc_id", "text").collect()), key=repr)
+    want = sorted([(0, rows[0][1]), *[(k, rows[k][1]) for k in range(60, 90)], *[(None, None)] * 9], key=repr)
+    assert once == want
+    assert sorted(map(tuple, jaccard.one_of_each(docs, 4, 85, tight).select("doc_id", "text").collect()), key=repr) == want
+
+
 @pytest.mark.parametrize("ids", [(None, 7, 3), (None, 3, 7), (7, None, 3), (None, None, 3)])
 def test_a_row_without_id_before_its_equals(spark, ids):
     text = " ".join(prose(random.Random(4), 60))
