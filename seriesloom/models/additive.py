@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, In
 
 from seriesloom.functions.columns import MICROS_PER_DAY, from_micros, micros
 from seriesloom.models import kernels
+from seriesloom.models.segmented import MODEL_FIELDS, SCALES, fit_folds, fold_table
 from seriesloom.models.spec import SEASONAL_BLOCKS, ModelSpec
 from seriesloom.operators.panel import future_steps, global_series
 from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table, split_pieces, work_partitions
@@ -25,14 +26,19 @@ from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach,
 cloudpickle.register_pickle_by_value(kernels)
 
 MIN_ROWS = 2
-TREND_ROUNDS = 2
+TOO_SHORT, NOT_FINITE = f"fewer than {MIN_ROWS} usable rows", "no finite solution"
 BASIS = ["_start", "_span", "_level", "_scale", "_knots", "_seasons"]
 
 
+def _known() -> Column:
+    """Whether a row can be fitted: it has a time and a finite value."""
+    value = F.col("y").cast("double")
+    return F.col("ds").isNotNull() & value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+
+
 def usable(panel: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that can be fitted, with the time in microseconds."""
-    known = F.col("ds").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y")
-    return panel.where(known).select(*keys, micros("ds").alias("_micros"), F.col("y").cast("double").alias("y"))
+    return panel.where(_known()).select(*keys, micros("ds").alias("_micros"), F.col("y").cast("double").alias("y"))
 
 
 def as_days(value: Column) -> Column:
@@ -61,7 +67,7 @@ def season_bits(spec: ModelSpec, span: Column, closer_than_week: Column, closer_
 
 def series_stats(panel: DataFrame, spec: ModelSpec, keys: list[str]) -> DataFrame:
     """Rows, ends, scale and seasons of every key, also of keys without a usable row."""
-    known = F.col("ds").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y")
+    known = _known()
     when = F.when(known, micros("ds"))
     low, high = F.min(F.when(known, F.col("y"))), F.max(F.when(known, F.col("y")))
     if "auto" in spec.switches:
@@ -112,9 +118,6 @@ def series_stats(panel: DataFrame, spec: ModelSpec, keys: list[str]) -> DataFram
     )
 
 
-SCALES = ["changepoint_prior_scale", "seasonality_prior_scale"]
-
-
 def fit_groups(
     rows: DataFrame,
     groups: int,
@@ -123,38 +126,21 @@ def fit_groups(
     spec: ModelSpec,
     settings: list[tuple[int, float, float]],
     own: bool = False,
-    scored: bool = False,
-    by_trend: bool = False,
 ) -> DataFrame:
     """Sum the products of each group's rows and fit the group under every setting.
 
-    ``rows`` carry the basis of their key and, with ``own``, its two prior scales; there are at most ``groups``
-    groups. With ``scored`` the rows marked ``_test`` are summed apart and give the squared test error of each fit.
+    ``rows`` carry the basis of their key and, with ``own``, its two prior scales; there are at most ``groups`` groups.
     """
-    parts = ["_train", "_held_out"] if scored else ["_train"]
+    parts = ["_train"]
     carried = kept + (SCALES if own else [])
     sums = StructType([rows.schema[c] for c in carried] + [StructField(p, BinaryType()) for p in parts])
     arrow = to_arrow_schema(sums)
     shape = {"knots": spec.n_changepoints, "layout": spec.layout}
-    add_up = partial(
-        kernels.sum_products, schema=arrow, group=group, carried=carried, parts=parts,
-        reach=spec.changepoint_range, scaled_by_trend=by_trend, **shape,
-    )
-    fields = [rows.schema[c] for c in kept] + [
-        StructField("ordinal", IntegerType()),
-        *[StructField(name, DoubleType()) for name in SCALES],
-        StructField("theta", ArrayType(DoubleType())),
-        StructField("_theta", BinaryType()),  # the same, in the form the tasks read
-        StructField("sigma", DoubleType()),
-        StructField("converged", BooleanType()),
-        StructField("train_seconds", DoubleType()),
-    ]
-    if scored:
-        fields += [StructField("sse", DoubleType()), StructField("n_test", LongType())]
-    fitted = StructType(fields)
+    add_up = partial(kernels.sum_products, schema=arrow, group=group, carried=carried, reach=spec.changepoint_range, **shape)
+    fitted = StructType([rows.schema[c] for c in kept] + MODEL_FIELDS)
     fit = partial(
         kernels.merge_and_solve, sums_schema=arrow, group=group, carried=carried, parts=parts,
-        schema=to_arrow_schema(fitted), kept=kept, settings=settings, own=own, rounds=spec.rounds, scored=scored, **shape,
+        schema=to_arrow_schema(fitted), kept=kept, settings=settings, own=own, **shape,
     )
     return (
         rows.mapInArrow(add_up, sums)
@@ -168,10 +154,10 @@ def fit_groups(
 FEW_GROUPS = 128
 
 
-def sums_fit_task(groups: int, spec: ModelSpec, parts: int = 1) -> bool:
+def sums_fit_task(groups: int, spec: ModelSpec) -> bool:
     """True if rows need not be brought together by key before they are summed: the groups are few, and the open sums
     of all of them fit one task."""
-    held = groups * parts * kernels.packed_width(spec.width) * 8
+    held = groups * kernels.packed_width(spec.width) * 8
     return groups <= FEW_GROUPS and held <= kernels.ACCUMULATOR_BYTES
 
 
@@ -228,30 +214,44 @@ def fit_panel(
     kept = [*keys, "n_obs", "first_ds", "last_ds", *BASIS]
     own = params is not None
     settings = pairs or ([] if own else one_setting(spec))
-    together = not sums_fit_task(table.keys, spec)
-    rows = rows_with_basis(usable(panel, keys), good, keys, "n_obs", together, limits).withColumn(
-        "_day", as_days(F.col("_micros"))
-    )
-    rows = rows.drop("_micros")
-    solved = fit_groups(rows, table.keys, keys, kept, spec, settings, own)
-    if pairs and (params is not None or spec.seasonality_mode != "additive"):
-        raise ValueError("pairs go with the additive mode and without params")
     if spec.seasonality_mode == "multiplicative" and spec.layout:
-        # Seasons multiply the trend: fit them on columns scaled by the trend of the round before.
-        for _ in range(TREND_ROUNDS):
-            trend = solved.select(
-                *keys, F.col("n_obs").alias("_n"), F.slice("theta", 1, 2 + spec.n_changepoints).alias("_trend")
-            )
-            scaled = attach(rows, trend, keys, count_col="_n", limits=limits)
-            solved = fit_groups(scaled, table.keys, keys, kept, spec, settings, own, by_trend=True)
-    models = _described(solved, spec).withColumn("status", F.lit("ok"))
-    models = models if pairs else models.drop("ordinal")
+        solved = _fit_times(panel, good, keys, kept, spec, settings, own, limits)
+    else:
+        together = not sums_fit_task(table.keys, spec)
+        rows = rows_with_basis(usable(panel, keys), good, keys, "n_obs", together, limits)
+        rows = rows.withColumn("_day", as_days(F.col("_micros"))).drop("_micros")
+        solved = fit_groups(rows, table.keys, keys, kept, spec, settings, own)
+    models = _described(solved, spec)
+    models = with_status(models if pairs else models.drop("ordinal"))
     short = table.frame.where(F.col("n_obs") < MIN_ROWS).select(
-        *keys, "n_obs", "first_ds", "last_ds", F.lit("too_short").alias("status")
+        *keys, "n_obs", "first_ds", "last_ds", F.lit("too_short").alias("status"), F.lit(TOO_SHORT).alias("error")
     )
     return models.unionByName(short, allowMissingColumns=True)
 
 
+def with_status(models: DataFrame) -> DataFrame:
+    """Add ``status`` and, for models that came out without finite numbers, ``error``; their numbers become null."""
+    finite = lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+    good = finite(F.col("sigma")) & F.forall("theta", finite)
+    numbers = ["theta", "_theta", "sigma"]
+    return models.withColumn("status", F.when(good, "ok").otherwise("failed")).withColumn("error", F.when(~good, NOT_FINITE)).withColumns(
+        {c: F.when(F.col("status") == "ok", F.col(c)) for c in numbers}
+    )
+
+
+def _fit_times(
+    panel: DataFrame, good: KeyTable, keys: list[str], kept: list[str], spec: ModelSpec, settings: list, own: bool, limits: Limits
+) -> DataFrame:
+    """Models whose seasons multiply the trend: a fit is one fold that ends with the history."""
+    facts = ["first_ds", "last_ds", "_first", "_whole", "_start", "_level", "_size", "_seasons", *(SCALES if own else [])]
+    fold = good.frame.select(
+        "*", micros("first_ds").alias("_first"), F.col("_span").alias("_whole"), F.col("_scale").alias("_size"),
+        F.lit(0).alias("_fold"), micros("last_ds").alias("_cut"), F.col("n_obs").alias("_trained"),
+        F.col("_span").alias("_spans"), F.col("_scale").alias("_scales"), F.col("_knots").alias("_counts"),
+    )
+    return fit_folds(usable(panel, keys), fold_table(fold, keys, facts), keys, kept, spec, settings, own, limits=limits)
+
+
 def fit_global(
     df: DataFrame, ds: str, y: str, spec: ModelSpec = ModelSpec(), how: str = "mean", key: str = "global"
 ) -> DataFrame:
@@ -352,8 +352,7 @@ def timing_table(models: DataFrame, mode: str, keys: list[str] = ("key",)) -> Da
 
 def fit_status(panel: DataFrame, keys: list[str] = ("key",)) -> DataFrame:
     """Number of keys that can be fitted and of those that cannot."""
-    known = F.col("ds").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double"))
-    per_key = panel.groupBy(*keys).agg(F.count_if(known).alias("n_obs"))
+    per_key = panel.groupBy(*keys).agg(F.count_if(_known()).alias("n_obs"))
     return per_key.groupBy(
         F.when(F.col("n_obs") >= MIN_ROWS, F.lit("ok")).otherwise(F.lit("too_short")).alias("status")
     ).agg(F.count(F.lit(1)).alias("n_keys"))

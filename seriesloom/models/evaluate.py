@@ -1,7 +1,7 @@
 """Rolling-origin cross-validation, error metrics and grid search.
 
 Cut-offs of a key lie on a regular ladder below its last timestamp, so the folds of a row follow from arithmetic
-on its own time. Nothing is matched by range joins, and a grid never multiplies rows: every setting is
+on its own time. Nothing is matched by range joins, and neither folds nor a grid multiply rows: every fold and setting is
 scored from the sums of its fold.
 """
 
@@ -18,21 +18,19 @@ from seriesloom.models.additive import (
     SCALES,
     _described,
     as_days,
-    fit_groups,
     knot_count,
     one_setting,
     predict_rows,
-    rows_with_basis,
     series_stats,
-    sums_fit_task,
     usable,
     with_params,
 )
 from seriesloom.models.linear import ridge_slope
+from seriesloom.models.segmented import fit_folds, fold_table
 from seriesloom.models.spec import ModelSpec
 from seriesloom.operators.grid import best_params, settings
 from seriesloom.operators.panel import offset_micros, summary
-from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table, row_bytes
+from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table
 from seriesloom.sources.artifacts import settle
 
 
@@ -220,10 +218,8 @@ def linear_rmse(
 def _fold_basis(
     panel: DataFrame, spec: ModelSpec, initial: str, period: str, horizon: str, keys: list[str], limits: Limits,
     params: DataFrame | None,
-) -> KeyTable:
-    """Per key: its ladder and the basis of every fold, from one summary per key and segment."""
-    if spec.seasonality_mode != "additive":
-        raise ValueError("cross-validation covers the additive mode")
+) -> tuple[KeyTable, KeyTable]:
+    """Per key its ladder; per key and block of folds the basis of every fold, from one summary per key and segment."""
     stats = with_params(series_stats(panel, spec, keys).where(F.col("n_obs") >= MIN_ROWS), params, keys)
     ends = stats.withColumn("_first", micros("first_ds")).withColumn("_last", micros("last_ds"))
     ladder = key_table(_ladder(ends, initial, period, horizon).where(F.col("_folds") > 0), "n_obs", "folds")
@@ -231,76 +227,45 @@ def _fold_basis(
     parts = (
         rows.where(F.col("_train_to") >= 0)
         .groupBy(*keys, F.col("_train_to").alias("_fold"))
-        .agg(F.count(F.lit(1)).alias("_rows"), F.max("_micros").alias("_to"), F.max(F.abs("y")).alias("_size"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.max("_micros").alias("_to"), F.max(F.abs("y")).alias("_tall"))
     )
     so_far = Window.partitionBy(*keys).orderBy(F.desc("_fold")).rowsBetween(Window.unboundedPreceding, 0)
     each = (
-        ladder.frame.withColumn("_fold", F.explode(F.sequence(F.lit(0), F.col("_folds") - 1)))
+        ladder.frame.withColumnsRenamed({"_span": "_whole", "_scale": "_size"})
+        .withColumn("_fold", F.explode(F.sequence(F.lit(0), F.col("_folds") - 1)))
         .join(parts, [*keys, "_fold"], "left")
-        .withColumn("n_train", F.coalesce(F.sum("_rows").over(so_far), F.lit(0).cast("bigint")))
+        .withColumn("_trained", F.coalesce(F.sum("_rows").over(so_far), F.lit(0).cast("bigint")))
         .withColumn("_to", F.max("_to").over(so_far))
-        .withColumn("_size", F.max("_size").over(so_far))
+        .withColumn("_tall", F.max("_tall").over(so_far))
     )
     span = as_days(F.col("_to") - F.col("_first"))
-    fold = F.struct(
-        F.col("_fold"),
-        from_micros(_cutoff(F.col("_fold"), period)).alias("cutoff"),
-        "n_train",
-        F.when(span > 0, span).otherwise(F.lit(1.0)).alias("_span"),
-        F.when(F.col("_size") > 0, F.col("_size")).otherwise(F.lit(1.0)).alias("_scale"),
-        knot_count(F.col("n_train"), spec.n_changepoints, spec.changepoint_range).alias("_knots"),
-    )
-    own = [] if params is None else SCALES
-    per_key = each.groupBy(*keys, "n_obs", "_start", "_level", "_seasons", "_top", "_folds", *own).agg(
-        F.sort_array(F.collect_list(fold)).alias("_basis")
-    )
-    return key_table(
-        per_key,
-        "n_obs",
-        "fold_basis",
+    folds = each.withColumns(
         {
-            "folds": F.coalesce(F.sum("_folds"), F.lit(0)),
-            "fold_bytes": F.coalesce(
-                F.sum(F.col("_folds") * row_bytes(per_key.schema, keys) + row_bytes(per_key.schema, ["_basis"])), F.lit(0)
-            ),
-        },
+            "_cut": _cutoff(F.col("_fold"), period),
+            "_spans": F.when(span > 0, span).otherwise(F.lit(1.0)),
+            "_scales": F.when(F.col("_tall") > 0, F.col("_tall")).otherwise(F.lit(1.0)),
+            "_counts": knot_count(F.col("_trained"), spec.n_changepoints, spec.changepoint_range),
+        }
     )
+    facts = ["_first", "_whole", "_start", "_level", "_size", "_seasons", *([] if params is None else SCALES)]
+    return ladder, fold_table(folds, keys, facts)
 
 
 def _scored(
     panel: DataFrame, spec: ModelSpec, initial: str, period: str, horizon: str, keys: list[str], limits: Limits,
     params: DataFrame | None = None, settings: list[tuple[int, float, float]] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Fitted folds with their squared test error, and the rows with their folds.
+) -> tuple[DataFrame, KeyTable]:
+    """Fitted folds with their squared test error, and the ladders of the keys.
 
     Each fold is fitted under the settings and, with ``params``, under the key's own scales; by default under the
-    scales of ``spec`` or the key's own.
+    scales of ``spec`` or the key's own. A row is summed once, whatever the number of folds that use it.
     """
-    table = _fold_basis(panel, spec, initial, period, horizon, keys, limits, params)
-    folds, own = table.extra["folds"], [] if params is None else SCALES
-    together = not sums_fit_task(folds, spec, 2)
-    each = table.frame.select(*keys, F.explode("_basis").alias("_each")).select(*keys, "_each.*")
-    if table.extra["fold_bytes"] <= limits.broadcast_bytes:
-        # The rows carry the ladder only; the basis of a fold joins them after they are spread over their folds.
-        slim = table.narrowed(table.frame.drop("_basis"))
-        rows = _with_folds(rows_with_basis(usable(panel, keys), slim, keys, "n_obs", together, limits), period, horizon)
-        spread = rows.where(F.col("_test_to") >= 0).withColumn("_fold", F.explode(F.sequence(F.lit(0), F.col("_test_to"))))
-        used = spread.join(F.broadcast(each), [*keys, "_fold"])
-    else:
-        rows = _with_folds(rows_with_basis(usable(panel, keys), table, keys, "n_obs", together, limits), period, horizon)
-        inside = F.slice("_basis", F.lit(1), F.col("_test_to") + 1)
-        used = rows.where(F.col("_test_to") >= 0).withColumn("_each", F.explode(inside)).select("*", "_each.*")
-    used = used.where(F.col("n_train") >= MIN_ROWS).select(
-        *keys,
-        *["_fold", "cutoff", "n_train", *BASIS, *own],
-        as_days(F.col("_micros")).alias("_day"),
-        "y",
-        (F.col("_fold") > F.col("_train_to")).alias("_test"),
-    )
+    ladder, table = _fold_basis(panel, spec, initial, period, horizon, keys, limits, params)
     if settings is None:
         settings = one_setting(spec) if params is None else []
     kept = [*keys, "_fold", "cutoff", "n_train", *BASIS]
-    return fit_groups(used, folds, [*keys, "_fold"], kept, spec, settings, bool(own), scored=True), rows
+    rows = usable(panel, keys)
+    return fit_folds(rows, table, keys, kept, spec, settings, params is not None, offset_micros(horizon), limits), ladder
 
 
 def cross_validate(
@@ -315,7 +280,8 @@ def cross_validate(
 ) -> DataFrame:
     """Rows (keys, cutoff, ds, y, yhat, yhat_lower, yhat_upper) of every test part."""
     keys = list(keys)
-    solved, rows = _scored(panel, spec, initial, period, horizon, keys, limits, params)
+    solved, ladder = _scored(panel, spec, initial, period, horizon, keys, limits, params)
+    rows = _with_folds(attach(usable(panel, keys), ladder, keys, count_col="n_obs", limits=limits), period, horizon)
     models = key_table(
         _described(solved, spec).select(*keys, "_fold", "cutoff", "n_test", *MODEL_COLUMNS), "n_test", "fold_models"
     )

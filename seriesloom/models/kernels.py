@@ -178,33 +178,24 @@ def sum_products(
     schema: pa.Schema,
     group: list[str],
     carried: list[str],
-    parts: list[str],
     knots: int,
     layout: int,
     reach: float,
-    scaled_by_trend: bool,
 ) -> Iterator[pa.RecordBatch]:
-    """Products of the design rows summed per group. With two parts, ``_test`` tells to which a row belongs."""
+    """Products of the design rows summed per group."""
     width = 2 + knots + block_columns(layout)
     sums = Sums(schema, carried, packed_width(width))
     for batch in batches:
         began = time.perf_counter()
-        trend, season = design(batch, knots, layout, reach)
-        if scaled_by_trend:
-            season = season * np.einsum("ij,ij->i", trend, matrix(batch, "_trend"))[:, None]
-        x = np.hstack([trend, season])
+        x = np.hstack(design(batch, knots, layout, reach))
         # the middle of the key's range is taken off, so that sums keep their digits whatever the level
         y = (numbers(batch, "y") - numbers(batch, "_level")) / numbers(batch, "_scale")
-        test = numbers(batch, "_test", bool) if len(parts) == 2 else np.zeros(len(y), dtype=bool)
         share = (time.perf_counter() - began) / max(1, batch.num_rows)
         for first, rows in segments(batch, group):
             began = time.perf_counter()
-            vectors = []
-            for part in range(len(parts)):
-                mine = rows[test[rows] == bool(part)] if len(parts) == 2 else rows
-                vectors.append(pack(x[mine], y[mine], 0.0))
-            vectors[0][-1] = share * len(rows) + time.perf_counter() - began
-            sums.add(batch, first, group, vectors)
+            vector = pack(x[rows], y[rows], 0.0)
+            vector[-1] = share * len(rows) + time.perf_counter() - began
+            sums.add(batch, first, group, [vector])
         if sums.full():
             yield from sums.drain()
     yield from sums.drain()
@@ -237,6 +228,60 @@ def merge_sums(
         yield sums_batch(done, schema, carried)
 
 
+def lasso(s: np.ndarray, c: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Minimum of x'Sx/2 - c'x + weight |x| for stacked problems, by an active set that begins with the signs of ``start``.
+
+    With the signs given, the minimum is that of a linear system. On the way there the first entry that would change its sign is
+    set to 0 and leaves the set; once there, the entry at 0 whose slope exceeds the weight most enters it. Every step
+    lowers the objective and there are finitely many sets, so this ends.
+    """
+    x = start.copy()
+    height, width = x.shape
+    if not width:
+        return x
+    places = np.arange(width)
+    s = s.copy()
+    largest = np.einsum("ijj->ij", s).max(axis=1)
+    s[:, places, places] += np.where(largest > 0, 1e-13 * largest, 1.0)[:, None]  # columns may be tied where there are no rows
+    sign, blocked = np.sign(x), np.zeros(x.shape, bool)
+    best = np.full(height, np.inf)
+    open_ = np.arange(height)
+    while len(open_):
+        so, co, lo, xo, signs, shut = s[open_], c[open_], weight[open_, None], x[open_], sign[open_], blocked[open_]
+        active = signs != 0
+        system = np.where(active[:, :, None] & active[:, None, :], so, 0.0)
+        system[:, places, places] += ~active
+        goal = np.linalg.solve(system, np.where(active, co - lo * signs, 0.0)[..., None])[..., 0]
+        crossing = active & (goal * signs <= 0)
+        ahead = np.where(crossing, np.abs(xo) / np.maximum(np.abs(xo - goal), 1e-300), 1.0)
+        share = np.where(crossing.any(axis=1), np.minimum(ahead, 1.0).min(axis=1), 1.0)
+        leaving = crossing & (ahead <= share[:, None])
+        there = ~leaving.any(axis=1)
+        shut = shut & ~(share > 0)[:, None] | leaving & (share == 0)[:, None]
+        xo = np.where(leaving | ~active, 0.0, xo + share[:, None] * (goal - xo))
+        signs = np.where(leaving, 0.0, signs)
+        along = np.matmul(so, xo[..., None])[..., 0]
+        slope = co - along
+        worth = np.einsum("ij,ij->i", xo, along / 2 - co) + lo[:, 0] * np.abs(xo).sum(axis=1)
+        excess = np.where(shut | (signs != 0), -1.0, np.abs(slope) - lo)
+        enter = excess.argmax(axis=1)
+        rows = np.arange(len(open_))
+        noise = 1e-10 * lo[:, 0] + 1e-14 * np.abs(co).max(axis=1)
+        # rounding ends the search too: from a set that was reached, the next one must be better
+        ends = there & ((excess[rows, enter] <= noise) | (worth >= best[open_]))
+        grows = there & ~ends
+        signs[rows[grows], enter[grows]] = np.sign(slope[rows[grows], enter[grows]])
+        best[open_[there]] = np.minimum(best[open_[there]], worth[there])
+        x[open_], sign[open_], blocked[open_] = xo, signs, shut
+        open_ = open_[~ends]
+    return x
+
+
+def noise_level(rss: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Most likely square of the noise scale under its prior, half-normal(0, 0.5)."""
+    return 2.0 * rss / (n + np.sqrt(n * n + 16.0 * rss))
+
+
 def solve(
     a: np.ndarray,
     b: np.ndarray,
@@ -245,59 +290,90 @@ def solve(
     changepoint_scale: np.ndarray,
     season_scale: np.ndarray,
     knots: int,
-    rounds: int,
     shift: np.ndarray | None = None,
-    floor: float = 1e-6,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior mode of stacked problems from their sums; the third value tells which problems have settled.
+    """Posterior mode of stacked problems from their sums; the third value tells which fulfil the conditions of a mode.
 
     ``shift`` is what was taken off the values before they were summed: the prior of the offset is about 0 before that.
 
     Priors: Laplace on slope changes, normal on season weights, normal(0, 5) on slope and offset, half-normal(0, 0.5)
-    on the noise. The Laplace term is replaced in each round by the quadratic that touches it at the present
-    slope changes; the noise scale then has a closed form.
+    on the noise. For a given noise the columns with normal priors are eliminated and an active set finds the slope changes
+    exactly. More noise means a larger residual, which in turn means more noise: so the noise that agrees with its own
+    residual is a root of one rising function and is found between brackets, from above.
     """
     height, width = b.shape
-    theta, sigma, converged = np.zeros((height, width)), np.zeros(height), np.ones(height, dtype=bool)
+    theta, sigma, converged = np.zeros((height, width)), np.zeros(height), np.zeros(height, dtype=bool)
+    if not height:
+        return theta, sigma, converged
     # Columns without any weight (blocks that are off, knots a short series lacks) stay 0 and need no work.
-    used = np.flatnonzero(np.einsum("ijj->ij", a).max(axis=0, initial=0.0) > 0.0)
-    slopes = np.flatnonzero((used >= 2) & (used < 2 + knots))
+    used = np.flatnonzero(np.nan_to_num(np.einsum("ijj->ij", a)).max(axis=0, initial=0.0) > 0.0)
+    bent = (used >= 2) & (used < 2 + knots)
+    l, r = np.flatnonzero(bent), np.flatnonzero(~bent)
     a, b = a[:, used[:, None], used], b[:, used]
-    precision = np.where(used < 2, 1.0 / 25.0, (1.0 / season_scale**2)[:, None])
-    precision[:, slopes] = (1.0 / changepoint_scale**2)[:, None]
+    precision = np.where(used[r] < 2, 1.0 / 25.0, (1.0 / season_scale**2)[:, None])
+    pull = np.zeros((height, len(r)))
+    if shift is not None and len(used) and used[0] == 0:
+        pull[:, 0] = -shift / 25.0
     # what is left of a sum of squares after it cancels is no noise
     least = np.maximum(1e-12 * yy / np.maximum(n, 1.0), 1e-24)
     noise = np.maximum(yy / np.maximum(n, 1.0), least)
-    pull = np.zeros_like(b)
-    if shift is not None and len(used) and used[0] == 0:
-        pull[:, 0] = -shift / 25.0
-    present = np.zeros_like(b)
-    open_ = np.arange(height)
-    diagonal = np.arange(len(used))
-    for turn in range(rounds):
-        system = a.copy()
-        system[:, diagonal, diagonal] += noise[:, None] * precision
-        moved = np.linalg.solve(system, (b + noise[:, None] * pull)[..., None])[..., 0]
-        # the normal equations give the residual sum without another product
-        rss = yy - np.einsum("ij,ij->i", moved, b) - noise * np.einsum("ij,ij->i", moved, precision * moved - pull)
-        rss = np.maximum(rss, 0.0)
-        noise = np.maximum(2.0 * rss / (n + np.sqrt(n * n + 16.0 * rss)), least)
-        settled = np.abs(moved - present).max(axis=1, initial=0.0) < 1e-9
-        present = moved
-        precision[:, slopes] = 1.0 / (changepoint_scale[:, None] * np.maximum(np.abs(moved[:, slopes]), floor))
-        if turn == rounds - 1:
-            converged[open_[~settled]] = False
-            settled[:] = True
-        if settled.any():
-            # each problem stops on its own, so its result does not depend on its neighbours
-            theta[open_[settled][:, None], used] = present[settled]
-            sigma[open_[settled]] = np.sqrt(noise[settled])
-            left = ~settled
-            if not left.any():
-                break
-            a, b, yy, n, noise, precision, present, open_, changepoint_scale, least, pull = (
-                v[left] for v in (a, b, yy, n, noise, precision, present, open_, changepoint_scale, least, pull)
-            )
+    low, high = least.copy(), np.full(height, np.inf)
+    tie = 1e-13 * np.einsum("ijj->ij", a).max(axis=1, initial=0.0)  # columns may be tied where rows are few
+    bends = np.zeros((height, len(l)))
+    sound = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=1) & np.isfinite(yy)
+    theta[~sound], sigma[~sound] = np.nan, np.nan
+    before = np.column_stack([np.full(height, np.nan), noise])
+    open_ = np.flatnonzero(sound)
+    diagonal = np.arange(len(r))
+    turn = 0
+    while len(open_):
+        turn += 1
+        ao, bo, v = a[open_], b[open_], noise[open_]
+        system = ao[:, r[:, None], r]
+        system[:, diagonal, diagonal] += v[:, None] * precision[open_] + tie[open_, None]
+        right = np.concatenate([(bo[:, r] + v[:, None] * pull[open_])[..., None], ao[:, r[:, None], l]], axis=2)
+        part = np.linalg.solve(system, right)
+        across = ao[:, l[:, None], r]
+        s = ao[:, l[:, None], l] - across @ part[..., 1:]
+        c = bo[:, l] - np.matmul(across, part[..., :1])[..., 0]
+        weight = v / changepoint_scale[open_]
+        own = lasso((s + s.transpose(0, 2, 1)) / 2, c, weight, bends[open_])
+        bends[open_] = own
+        whole = np.zeros((len(open_), len(used)))
+        whole[:, l] = own
+        whole[:, r] = part[..., 0] - np.matmul(part[..., 1:], own[..., None])[..., 0]
+        along = np.matmul(ao, whole[..., None])[..., 0]
+        rss = np.maximum(yy[open_] - 2.0 * np.einsum("ij,ij->i", whole, bo) + np.einsum("ij,ij->i", whole, along), 0.0)
+        new = np.maximum(noise_level(rss, n[open_]), least[open_])
+        settled = np.abs(new - v) <= 1e-9 * v
+        high[open_] = np.where(new <= v, v, high[open_])
+        low[open_] = np.where(new >= v, v, low[open_])
+        closed = high[open_] <= low[open_] * (1 + 1e-9)
+        done = settled | closed | ~np.isfinite(new)
+        if done.any():
+            at = open_[done]
+            theta[at[:, None], used] = whole[done]
+            sigma[at] = np.sqrt(new[done])
+            slope = bo[done][:, l] - along[done][:, l]
+            lambdas = weight[done][:, None]
+            fine = np.where(own[done] == 0, np.abs(slope) - lambdas, np.abs(slope - lambdas * np.sign(own[done])))
+            size = np.abs(bo[done]).max(axis=1, initial=0.0) + np.einsum("ij,ij->i", np.abs(ao[done]).max(axis=2, initial=0.0), np.abs(whole[done]))
+            converged[at] = fine.max(axis=1, initial=0.0) <= 1e-6 * lambdas[:, 0] + 1e-11 * size
+        # three values in a row tell where a steady approach ends
+        first, second = before[open_].T
+        bend = new - 2 * second + first
+        with np.errstate(all="ignore"):
+            guess = new - (new - second) ** 2 / bend
+        bounded = np.isfinite(high[open_])
+        inside = lambda v: np.isfinite(v) & (v > low[open_]) & (v < high[open_])
+        following = np.where(inside(guess), guess, new)
+        halve = bounded & (~inside(following) | (turn > 20 and turn % 2 == 1))
+        following = np.where(halve, np.sqrt(low[open_] * np.where(bounded, high[open_], 1.0)), following)
+        jumped = following != new
+        before[open_] = np.where(jumped[:, None], np.nan, np.column_stack([second, new]))
+        before[open_[jumped], 1] = following[jumped]
+        noise[open_] = following
+        open_ = open_[~done]
     return theta, sigma, converged
 
 
@@ -309,13 +385,8 @@ def solve_batches(
     own: bool,
     knots: int,
     layout: int,
-    rounds: int,
-    scored: bool,
 ) -> Iterator[pa.RecordBatch]:
-    """Solve every row of sums under each numbered pair of prior scales, with ``own`` also under the row's own pair (number 0).
-
-    With ``scored`` the squared error on the test rows follows from their sums, without going back to the rows.
-    """
+    """Solve every row of sums under each numbered pair of prior scales, with ``own`` also under the row's own pair (number 0)."""
     width = 2 + knots + block_columns(layout)
     for whole in batches:
         for start in range(0, whole.num_rows, 64):
@@ -330,18 +401,13 @@ def solve_batches(
             pairs = pairs.reshape(-1, 3)
             a, b, yy, n, seconds = (part[pick] for part in train)
             shift = (numbers(batch, "_level") / numbers(batch, "_scale"))[pick]
-            centred, sigma, converged = solve(a, b, yy, n, pairs[:, 1], pairs[:, 2], knots, rounds, shift)
+            centred, sigma, converged = solve(a, b, yy, n, pairs[:, 1], pairs[:, 2], knots, shift)
             theta = centred.copy()
             theta[:, 0] += shift
             spent = (time.perf_counter() - began) / max(1, len(pick))
             columns = [batch.column(c).take(pa.array(pick)) for c in kept]
             columns += [pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2].copy())]
             columns += [lists(theta), blobs(theta), pa.array(sigma), pa.array(converged), pa.array(seconds + spent)]
-            if scored:
-                ta, tb, tyy, tn, _ = (part[pick] for part in unpack(from_blobs(batch, "_held_out"), width))
-                along = np.matmul(ta, centred[..., None])[..., 0]
-                sse = np.maximum(tyy - 2.0 * np.einsum("ij,ij->i", centred, tb) + np.einsum("ij,ij->i", centred, along), 0.0)
-                columns += [pa.array(sse * numbers(batch, "_scale")[pick] ** 2), pa.array(tn.astype(np.int64))]
             yield batch_of(columns, schema)
 
 

@@ -28,8 +28,6 @@ class ModelSpec:
     seasonality_prior_scale: float = 10.0
     seasonality_mode: Literal["additive", "multiplicative"] = "additive"
     interval_width: float = 0.8
-    rounds: int = 2000
-    """most rounds of the solver; ``converged`` tells which models needed more"""
     growth: Literal["linear"] = "linear"
 
     def __post_init__(self) -> None:

@@ -1,4 +1,4 @@
-"""Levels far above the noise, settings that need many rounds, keys and rows without values."""
+"""Levels far above the noise, keys and rows without values."""
 
 import math
 
@@ -6,10 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.models import kernels
 from seriesloom.models.additive import fit_panel
 from seriesloom.models.evaluate import cross_validate, cv_linear, grid_search, linear_rmse
-from seriesloom.models.spec import TREND_ONLY, ModelSpec
+from seriesloom.models.spec import TREND_ONLY
 from seriesloom.operators.classify import predict_labels, train_classifier
 from seriesloom.operators.clusters import assign_parent, build_cluster_table, kmeans_keys, lloyd_1d, pick_parents
 from seriesloom.operators.panel import key_mean, key_total
@@ -43,24 +42,6 @@ def test_errors_of_lines_from_sums_equal_those_from_rows(spark, level):
     assert linear_rmse(seconds, "100 seconds", "50 seconds", "20 seconds").first()["rmse"] < 1e-4
 
 
-def test_models_tell_whether_they_settled(spark):
-    panel = _panel(spark, 50.0)
-    assert fit_panel(panel, ModelSpec(yearly=False, weekly=True, daily=False)).first()["converged"]
-    assert not fit_panel(panel, ModelSpec(yearly=False, weekly=True, daily=False, rounds=2)).first()["converged"]
-
-
-def test_more_rounds_do_not_move_a_settled_problem():
-    rng = np.random.default_rng(1)
-    t = np.linspace(0, 1, 400)
-    x = kernels.trend_rows(t, np.full(400, 25), 25, 0.8)
-    y = np.where(t > 0.4, 0.4 + 2 * (t - 0.4), t) / 2 + rng.normal(size=400) * 0.02
-    a, b = (x.T @ x)[None], (x.T @ y)[None]
-    one = (a, b, np.array([y @ y]), np.array([400.0]), np.array([0.05]), np.array([10.0]), 25)
-    theta, sigma, settled = kernels.solve(*one, 2000)
-    again, sigma_again, _ = kernels.solve(*one, 20000)
-    assert settled.all() and np.abs(theta - again).max() < 1e-6 and sigma == pytest.approx(sigma_again)
-
-
 def test_missing_values_do_not_swallow_their_key(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", math.nan), ("b", math.nan), ("c", None)], "key string, y double")
     assert dict(key_total(df, "key", "y").collect()) == {"a": 1.0, "b": None, "c": None}

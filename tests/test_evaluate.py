@@ -127,11 +127,6 @@ def test_grid_does_not_multiply_rows(panel):
     assert "Cartesian" not in text and "NestedLoop" not in text
 
 
-def test_multiplicative_cv_is_refused(panel):
-    with pytest.raises(ValueError):
-        evaluate.cross_validate(panel, *CV, spec=ModelSpec(seasonality_mode="multiplicative"))
-
-
 @pytest.fixture(scope="module")
 def scored(spark):
     rng = np.random.default_rng(4)
