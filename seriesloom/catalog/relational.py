@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import struct
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from seriesloom.catalog.base import cents, query, table, user_panel
 from seriesloom.functions import columns as C
 from seriesloom.operators import ordering, panel, relations, sampling
 from seriesloom.operators.apply import apply_by_key, fold_by_key
+from seriesloom.operators.scan import CHUNK_BITS, scan_by_key
 from seriesloom.operators.skew import attach
 from seriesloom.sources import artifacts, readers
 
@@ -432,3 +436,60 @@ def fold_by_key_query(spark, d):
         table(spark, d, "events").select("event_id", F.col("user_id").alias("key"), cents("value").alias("y")),
         ["key"], part, merge, finish, "key bigint, n bigint, first_event bigint, last_event bigint, total_cents bigint",
     )
+
+
+# ---- functions of rows in order ------------------------------------------------------------------------------------
+
+PAUSE = 12 * 3_600_000_000
+"""microseconds without an event after which a new session begins"""
+
+
+def _session_state(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), rows["value"].to_numpy(dtype=float)
+
+
+def _fold_sessions(rows: pd.DataFrame) -> bytes:
+    at, value = _session_state(rows)
+    return struct.pack("<qqqd", at[0], at[-1], int((np.diff(at) > PAUSE).sum()), value.max())
+
+
+def _combine_sessions(a: bytes, b: bytes) -> bytes:
+    (first, end, n, best), (start, last, m, other) = struct.unpack("<qqqd", a), struct.unpack("<qqqd", b)
+    return struct.pack("<qqqd", first, last, n + m + (start - end > PAUSE), max(best, other))
+
+
+def _finish_sessions(rows: pd.DataFrame, before: bytes | None) -> pd.DataFrame:
+    at, value = _session_state(rows)
+    _, end, n, best = struct.unpack("<qqqd", before) if before else (0, at[0], 0, -math.inf)
+    gap = np.diff(at, prepend=end)
+    known = pd.array(gap, dtype="Int64")
+    if before is None:
+        known[0] = pd.NA
+    return pd.DataFrame(
+        {"key": rows["key"], "event_id": rows["event_id"], "gap": known, "session": 1 + n + np.cumsum(gap > PAUSE), "best": np.maximum(np.maximum.accumulate(value), best)}
+    )
+
+
+def _sessions(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    rows = events.select("key", "ts", "event_id", "value")
+    schema = "key long, event_id long, gap long, session long, best double"
+    return scan_by_key(rows, ["key"], ["ts", "event_id"], _fold_sessions, _combine_sessions, _finish_sessions, schema, chunk_bits)
+
+
+def _sessions_sql(key: str) -> str:
+    return f"""WITH g AS (SELECT {key} AS key, event_id, ts, value, date_diff('microsecond', lag(ts) OVER w, ts) AS gap FROM events
+  WINDOW w AS (PARTITION BY {key} ORDER BY ts, event_id))
+SELECT key, event_id, gap, 1 + CAST(count(*) FILTER (WHERE gap > {PAUSE}) OVER w AS BIGINT) AS session, max(value) OVER w AS best FROM g
+WINDOW w AS (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("ordered_scan", _sessions_sql("user_id"))
+def ordered_scan(spark, d):
+    """Gap to the event before, session number and best value so far of each user."""
+    return _sessions(table(spark, d, "events").withColumn("key", F.col("user_id")))
+
+
+@query("ordered_scan_one_key", _sessions_sql("0::BIGINT"))
+def ordered_scan_one_key(spark, d):
+    """The same over all events as one key, in small chunks: state is carried through all of them."""
+    return _sessions(table(spark, d, "events").withColumn("key", F.lit(0).cast("long")), 8)

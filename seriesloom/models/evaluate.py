@@ -30,6 +30,7 @@ from seriesloom.models.segmented import fit_folds, fold_table
 from seriesloom.models.spec import ModelSpec
 from seriesloom.operators.grid import best_params, settings
 from seriesloom.operators.panel import offset_micros, summary
+from seriesloom.operators.selection import DOUBLE_CUTS, bits_digit, select_rank, with_ordered_bits
 from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table
 from seriesloom.sources.artifacts import settle
 
@@ -385,38 +386,22 @@ def _errors(cv: DataFrame) -> DataFrame:
 
 
 def grouped_median(df: DataFrame, by: list[str], value: str, name: str, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """Exact median per group.
+    """Exact median per group of any size, for any number of groups at once: the middle is found by counting leading bits.
 
-    Groups up to the piece size use the built-in. A larger group is cut at approximate quantiles, the slices are
-    counted, and only the slices that hold the middle ranks are looked at.
+    Nulls are left out; a group without a value has no row. ``df`` is read a few times, so settle it first.
     """
-    known = df.where(F.col(value).isNotNull()).select(*by, value)
-    table = key_table(known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "_n", "median")
-    if table.largest <= limits.rows_per_piece:
-        return known.groupBy(*by).agg(F.median(value).alias(name))
-    tagged = attach(known, table, by, count_col="_n", limits=limits)
-    large = F.col("_n") > limits.rows_per_piece
-    small = tagged.where(~large).groupBy(*by).agg(F.median(value).alias(name))
-    cuts = [i / 256 for i in range(1, 256)]
-    # Equal values are counted first: a group of copies becomes one row.
-    counted = tagged.where(large).groupBy(*by, "_n", value).agg(F.count(F.lit(1)).alias("_copies"))
-    marks = tagged.where(large).groupBy(*by).agg(F.percentile_approx(value, cuts, 10_000).alias("_marks"))
-    sliced = attach(counted, marks, by, limits=limits).withColumn(
-        "_slice", F.size(F.filter("_marks", lambda m: m < F.col(value)))
-    ).drop("_marks")
-    sizes = sliced.groupBy(*by, "_slice").agg(F.sum("_copies").alias("_rows"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0).cast("bigint")))
-    first, second = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
-    middle = attach(sliced, offsets, [*by, "_slice"], limits=limits).where(
-        (F.col("_before") <= second) & (F.col("_before") + F.col("_rows") > first)
-    )
-    inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = middle.withColumn("_upto", F.col("_before") + F.sum("_copies").over(inside))
-    start = F.col("_upto") - F.col("_copies")
-    holds = lambda rank: F.max(F.when((start <= rank) & (F.col("_upto") > rank), F.col(value)))
-    big = ranked.groupBy(*by).agg(((holds(first) + holds(second)) / 2.0).alias(name))
-    return small.unionByName(big)
+    known = with_ordered_bits(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value)), value, "_bits")
+    counts = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_rank", F.floor((F.col("_n") + 1) / 2))
+    table = key_table(counts, "_n", "median")
+    lower = select_rank(known, by, table.frame, "_bits", bits_digit("_bits"), len(DOUBLE_CUTS), limits)
+    # with an even number of rows the upper middle is the same value or the next one
+    two = (F.col("_n") % 2 == 0) & (F.col("_left") == F.col("_same"))
+    middle = key_table(lower.join(table.frame, by).select(*by, "_n", "_cut", two.alias("_two")), "_n", "middle")
+    near = attach(known, middle, by, count_col="_n", limits=limits)
+    first = F.max(F.when(F.col("_bits") == F.col("_cut"), F.col(value)))
+    second = F.min(F.when(F.col("_bits") > F.col("_cut"), F.col(value)))
+    found = near.groupBy(*by, "_two").agg(first.alias("_a"), second.alias("_b"))
+    return found.select(*by, F.when(F.col("_two"), 0.5 * F.col("_a") + 0.5 * F.col("_b")).otherwise(F.col("_a")).alias(name))
 
 
 def cv_metrics(cv: DataFrame, by: list[str] = ("key",), limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -425,7 +410,7 @@ def cv_metrics(cv: DataFrame, by: list[str] = ("key",), limits: Limits = DEFAULT
     The relative errors are missing where an observed value is (almost) zero.
     """
     by = list(by)
-    errors = _errors(cv)
+    errors, _ = settle(_errors(cv), "errors")
     clean = F.max(F.col("_zero")) == F.lit(False)
     columns = [
         F.count(F.lit(1)).alias("n"),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +18,8 @@ from seriesloom.operators.skew import DEFAULT_LIMITS, Limits, attach
 from seriesloom.sources.artifacts import settle
 
 LIST_PIECE = 10_000
+BLOCKS = 16_384
+"""stretches of the sorted values whose sums the driver holds"""
 
 
 def _usable(value: str) -> Column:
@@ -26,25 +33,49 @@ def _unclustered(df: DataFrame, key: str, value: str) -> DataFrame:
     return rows.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()])
 
 
-def _nearest(value: str, centroids: list[float]) -> Column:
-    """Struct (gap, id) of the nearest centroid; equal gaps go to the lower id."""
-    options = ", ".join(f"struct(abs({value} - ({c!r}D)) AS gap, {i} AS id)" for i, c in enumerate(centroids))
-    return F.expr(f"least({options})" if len(centroids) > 1 else options)
+def nearest(values: np.ndarray, centroids: list[float]) -> np.ndarray:
+    """Number of the nearest centroid; equal gaps go to the lower number."""
+    places = np.array(centroids, dtype=float)
+    order = np.lexsort((np.arange(len(places)), places))
+    own = order[np.concatenate([[True], np.diff(places[order]) > 0])]  # of equal ones the first
+    sorted_places = places[own]
+    right = np.minimum(np.searchsorted(sorted_places, values), len(own) - 1)
+    left = np.maximum(right - 1, 0)
+    a, b = np.abs(values - sorted_places[left]), np.abs(values - sorted_places[right])
+    return own[np.where((b < a) | ((b == a) & (own[right] < own[left])), right, left)]
 
 
 def _assigned(table: DataFrame, key: str, value: str, centroids: list[float]) -> DataFrame:
-    centers = F.array(*[F.lit(c) for c in centroids])
-    near = table.select(key, value, _nearest(value, centroids)["id"].alias("cluster_id"))
-    return near.withColumn("centroid", F.get(centers, F.col("cluster_id"))).withColumn(
-        "distance", F.abs(F.col(value) - F.col("centroid"))
+    kind = table.schema[key].dataType.simpleString()
+    names = [key, value, "cluster_id", "centroid", "distance"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1).to_numpy(zero_copy_only=False)
+            near = nearest(values, centroids)
+            centre = np.array(centroids)[near]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(centre), pa.array(np.abs(values - centre))], names)
+
+    return table.select(key, value).mapInArrow(run, f"`{key}` {kind}, `{value}` double, cluster_id int, centroid double, distance double")
+
+
+def _block_sums(table: DataFrame, value: str, most: int) -> tuple[int, np.ndarray]:
+    """Bits of a row's slot inside a block, and per block of the sorted rows its number, ends, sum and rows: ``most`` blocks and
+    one more per range partition, whatever the table."""
+    shift = max(0, math.ceil(math.log2(max(1, table.count()) / most)))
+    blocks = table.groupBy(F.shiftright("_slot", shift).alias("_block")).agg(
+        F.min(value), F.max(value), F.sum(value), F.count(F.lit(1)).cast("double")
     )
+    return shift, np.array(sorted(tuple(r) for r in blocks.collect()), dtype=object).reshape(-1, 5)
 
 
-def lloyd_1d(df: DataFrame, key: str, value: str, k: int, iterations: int) -> DataFrame:
+def lloyd_1d(df: DataFrame, key: str, value: str, k: int, iterations: int, blocks: int = BLOCKS) -> DataFrame:
     """One-dimensional k-means from quantile starts with a fixed number of rounds; the result is repeatable.
 
-    The keys are sorted by value and written once, which gives the exact start ranks. Each round is one aggregate to
-    at most ``k`` means; only those means reach the driver. An empty cluster keeps its centroid.
+    The keys are sorted by value and written once, which gives the exact start ranks and the sums of blocks of
+    neighbours. In sorted order a cluster is a stretch, so a round needs the block sums, and rows only of the blocks that a
+    border between two centroids cuts: at most k - 1 of them. Only block sums and means reach the driver, ``blocks`` and k of them.
+    An empty cluster keeps its centroid.
     """
     values = df.where(_usable(value)).select(key, F.col(value).cast("double").alias(value))
     table, lost = sorted_table(values, [value, key]), _unclustered(df, key, value)
@@ -52,13 +83,19 @@ def lloyd_1d(df: DataFrame, key: str, value: str, k: int, iterations: int) -> Da
     if not starts:
         return _assigned(table, key, value, [0.0]).unionByName(lost)
     centroids = [row[value] for row in starts]
+    shift, held = _block_sums(table, value, blocks)
+    low, high, total, rows = (held[:, i].astype(float) for i in range(1, 5))
     for _ in range(iterations):
-        means = dict(
-            table.groupBy(_nearest(value, centroids)["id"].alias("cluster_id"))
-            .agg(F.avg(value).alias("mean"))
-            .collect()
-        )
-        moved = [means.get(i, c) for i, c in enumerate(centroids)]
+        first, last = nearest(low, centroids), nearest(high, centroids)
+        whole = first == last
+        sums, counts = (np.bincount(first[whole], weights=v[whole], minlength=k) for v in (total, rows))
+        cut = [int(b) for b in held[~whole, 0]]
+        if cut:
+            inside = _assigned(table.where(F.shiftright("_slot", shift).isin(cut)), key, value, centroids)
+            for r in inside.groupBy("cluster_id").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n")).collect():
+                sums[r["cluster_id"]] += r["s"]
+                counts[r["cluster_id"]] += r["n"]
+        moved = [float(s / n) if n else c for s, n, c in zip(sums, counts, centroids)]
         if moved == centroids:
             break
         centroids = moved

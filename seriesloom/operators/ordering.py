@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import hash_unit, order_hash
-from seriesloom.operators.skew import DEFAULT_LIMITS, Limits, attach, key_table
+from seriesloom.operators.skew import DEFAULT_LIMITS, Limits, attach
 from seriesloom.sources.artifacts import settle
 
-HASH_BUCKETS = 65_536
+LEAST_BUCKETS, ROWS_PER_BUCKET = 1024, 100_000
 
 
 def running_total(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
@@ -75,28 +75,22 @@ def with_index(df: DataFrame, order: list[str | Column], name: str = "index", st
     )
 
 
-def with_hash_rank(
-    df: DataFrame, seed: int | str, ids: list[str], name: str, first: int | None = None, start: int = 1
-) -> DataFrame:
-    """Number all rows in seeded hash order; with ``first`` keep the leading rows only.
+def with_hash_rank(df: DataFrame, seed: int | str, ids: list[str], name: str, start: int = 1, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Number all rows in seeded hash order.
 
-    Buckets of the hash range are counted, and each row is ranked inside its bucket: buckets are even
-    by construction, and buckets past ``first`` are dropped before the shuffle.
+    Buckets of the hash range are counted, and each row is ranked inside its bucket: buckets are even by construction, and
+    there are as many as the rows need.
     """
+    buckets = max(LEAST_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
     hashed = df.withColumn("_hash", order_hash(seed, *ids)).withColumn(
-        "_bucket", F.floor(hash_unit(F.col("_hash")) * HASH_BUCKETS).cast("int")
+        "_bucket", F.floor(hash_unit(F.col("_hash")) * buckets).cast("int")
     )
     sizes = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = running_total(sizes, [], "_bucket", "_rows", "_before").drop("_rows")
-    if first is not None:
-        offsets = offsets.where(F.col("_before") < F.lit(first))
     within = Window.partitionBy("_bucket").orderBy("_hash", *ids)
-    # at most HASH_BUCKETS rows, by construction
-    ranked = hashed.join(F.broadcast(offsets), "_bucket").withColumn(
+    ranked = attach(hashed, offsets, ["_bucket"], limits=limits).withColumn(
         name, F.col("_before") + F.row_number().over(within) + F.lit(start - 1)
     )
-    if first is not None:
-        ranked = ranked.where(F.col(name) < F.lit(first + start))
     return ranked.drop("_hash", "_bucket", "_before")
 
 
@@ -122,44 +116,3 @@ def best_row(df: DataFrame, group: list[str], order: list[Column], keep: list[st
     """The row of each group that comes first by ``order``; combined before the shuffle."""
     picked = F.min_by(F.struct(*keep), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
     return df.groupBy(*group).agg(picked.alias("_best")).select(*group, "_best.*")
-
-
-def rank_in_key(
-    df: DataFrame,
-    keys: list[str],
-    position: Column,
-    order: list[str | Column],
-    name: str,
-    quota: DataFrame,
-    limits: Limits = DEFAULT_LIMITS,
-) -> DataFrame:
-    """Keep the rows of each key whose rank is at most the key's quota.
-
-    ``quota`` has one row per key: the keys, ``_n`` (rows), ``_quota``, and, if known, ``_limit``: a position past which
-    no row can be taken. ``position`` is a number in [0, 1)
-    that grows with ``order``. Keys above the piece size are ranked inside even slices of that range, so
-    that a key with a third of all rows is ranked by many tasks.
-    """
-    table = key_table(quota, "_n", "quota")
-    floor = table.piece_floor(limits)
-    wide = attach(df, table, keys, count_col="_n", limits=limits)
-    if "_limit" in quota.columns:
-        wide = wide.where(position < F.col("_limit")).drop("_limit")
-    if table.largest <= floor:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        kept = wide.withColumn(name, F.row_number().over(window)).where(F.col(name) <= F.col("_quota"))
-        return kept.drop("_n", "_quota")
-    slices = F.ceil(F.col("_n") / floor)
-    sliced = wide.withColumn("_slice", F.floor(position * slices).cast("int"))
-    split = F.col("_n") > floor
-    sizes = sliced.where(split).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = running_total(sizes, keys, "_slice", "_rows", "_before").drop("_rows")
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    shifted = attach(sliced, offsets, [*keys, "_slice"], how="left", limits=limits)
-    before = F.coalesce(F.col("_before"), F.lit(0).cast("bigint"))
-    return (
-        shifted.where(before < F.col("_quota"))
-        .withColumn(name, before + F.row_number().over(inside))
-        .where(F.col(name) <= F.col("_quota"))
-        .drop("_n", "_quota", "_slice", "_before")
-    )

@@ -1,22 +1,20 @@
-"""Samples that do not depend on partitioning: rows are taken in the order of a seeded hash."""
+"""Samples that do not depend on partitioning: rows are taken up to a cut-off of a seeded hash, found by counting."""
 
 from __future__ import annotations
 
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.columns import hash_unit, order_hash
-from seriesloom.operators.ordering import rank_in_key, with_hash_rank
+from seriesloom.functions.columns import order_hash
+from seriesloom.operators.selection import HEX_DIGITS, hex_digit, take_smallest
 from seriesloom.operators.skew import DEFAULT_LIMITS, Limits
 
-SLICES = 16
-
 
 def sample_n(df: DataFrame, n: int, seed: int, ids: list[str]) -> DataFrame:
     """Exactly ``n`` rows (all rows if there are fewer). ``ids`` identify a row."""
-    return with_hash_rank(df, seed, ids, "_sample_rank", first=n).drop("_sample_rank")
+    hashed = df.withColumn("_hash", order_hash(seed, *ids)).withColumn("_all", F.lit(0))
+    quota = hashed.groupBy("_all").agg(F.count(F.lit(1)).alias("_n"), F.lit(n).cast("long").alias("_quota"))
+    return take_smallest(hashed, ["_all"], quota, "_hash", hex_digit("_hash"), HEX_DIGITS).drop("_hash", "_all")
 
 
 def sample_one_in(df: DataFrame, every: int, seed: int, ids: list[str]) -> DataFrame:
@@ -43,20 +41,7 @@ def sample_frac_by_key(
     Keys without a rate are left out. ``ids`` identify a row within its key.
     """
     hashed = panel.withColumn("_hash", order_hash(seed, key, *ids))
-    position = hash_unit(F.col("_hash"))
-    # One pass counts the rows of each key and of each slice of the hash range. Rows in slices past the one that fills
-    # the quota cannot be taken, so they are left behind before the shuffle.
-    inside = F.floor(position * SLICES)
-    counts = hashed.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.array(*[F.count_if(inside == i) for i in range(SLICES)]).alias("_filled")
-    )
-    quota = counts.join(rates.select(key, rate), key).withColumn(
-        "_quota", F.bround(F.col(rate) * F.col("_n"), 0).cast("bigint")
-    )
-    reached = F.filter(
-        F.sequence(F.lit(1), F.lit(SLICES)),
-        lambda i: F.aggregate(F.slice("_filled", F.lit(1), i), F.lit(0).cast("bigint"), add) >= F.col("_quota"),
-    )
-    limit = F.get(reached, F.lit(0)) / F.lit(float(SLICES))
-    quota = quota.select(key, "_n", "_quota", limit.alias("_limit"))
-    return rank_in_key(hashed, [key], position, ["_hash", *ids], "_rank", quota, limits).drop("_hash", "_rank")
+    counts = panel.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.bround(F.col(rate) * F.col("_n"), 0).cast("bigint")
+    quota = counts.join(rates.select(key, rate), key).select(key, "_n", share.alias("_quota"))
+    return take_smallest(hashed, [key], quota, "_hash", hex_digit("_hash"), HEX_DIGITS, limits).drop("_hash")
