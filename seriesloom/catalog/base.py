@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import truncate_ts
 from seriesloom.operators.clusters import assign_parent, build_cluster_table, lloyd_1d
+from seriesloom.operators.grid import CHANGEPOINT_SCALES, SEASONALITY_SCALES
 from seriesloom.operators.panel import key_total
 from seriesloom.sources.artifacts import settle
 
@@ -135,15 +136,19 @@ ct AS MATERIALIZED (SELECT key, cust.cluster_id, centroid, distance, key = paren
 cp AS (SELECT ct.key AS child, parent, ct.cluster_id FROM ct JOIN pr ON pr.cluster_id = ct.cluster_id WHERE NOT is_parent)"""
 )
 
-CHANGEPOINT_SQL = "(CASE cluster_id % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 0.01 WHEN 2 THEN 0.1 ELSE 0.5 END)::DOUBLE"
-SEASONALITY_SQL = "(CASE cluster_id % 4 WHEN 0 THEN 10.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.1 ELSE 0.01 END)::DOUBLE"
+def _pick_sql(values: tuple[float, ...]) -> str:
+    return f"list_extract({list(values)}, cluster_id % {len(values)} + 1)::DOUBLE"
+
+
+STAND_IN = (CHANGEPOINT_SCALES, SEASONALITY_SCALES[::-1])
+"""scales that stand in for tuned ones, by cluster id"""
+CHANGEPOINT_SQL, SEASONALITY_SQL = map(_pick_sql, STAND_IN)
 
 
 def stand_in_params(clusters: DataFrame) -> DataFrame:
     """A stand-in for the tuned table: each parent's scales follow from its cluster id."""
-    pick = F.pmod(F.col("cluster_id"), F.lit(4))
-    changepoint = F.array(*[F.lit(v) for v in (0.001, 0.01, 0.1, 0.5)])
-    seasonality = F.array(*[F.lit(v) for v in (10.0, 1.0, 0.1, 0.01)])
+    pick = F.pmod(F.col("cluster_id"), F.lit(len(CHANGEPOINT_SCALES)))
+    changepoint, seasonality = (F.array(*map(F.lit, values)) for values in STAND_IN)
     return clusters.where("is_parent").select(
         "key",
         F.get(changepoint, pick).alias("changepoint_prior_scale"),

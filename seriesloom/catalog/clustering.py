@@ -160,9 +160,9 @@ def membership_tally(spark, d):
     )
 
 
-GRID_SQL = """g AS (SELECT CAST(i * 4 + j AS INTEGER) AS ordinal,
-  list_extract([0.001, 0.01, 0.1, 0.5], i + 1)::DOUBLE AS changepoint_prior_scale,
-  list_extract([0.01, 0.1, 1.0, 10.0], j + 1)::DOUBLE AS seasonality_prior_scale
+GRID_SQL = f"""g AS (SELECT CAST(i * 4 + j AS INTEGER) AS ordinal,
+  list_extract({list(grid.CHANGEPOINT_SCALES)}, i + 1)::DOUBLE AS changepoint_prior_scale,
+  list_extract({list(grid.SEASONALITY_SCALES)}, j + 1)::DOUBLE AS seasonality_prior_scale
   FROM range(4) a(i) CROSS JOIN range(4) b(j))"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from seriesloom.catalog.base import (
@@ -18,12 +20,13 @@ from seriesloom.catalog.base import (
     table,
 )
 from seriesloom.functions.columns import truncate_ts
-from seriesloom.models import additive, evaluate, linear
+from seriesloom.models import additive, evaluate, linear, store
 from seriesloom.models.spec import FIXED_PAIRS, TREND_ONLY, ModelSpec
 from seriesloom.operators import clusters
-from seriesloom.operators.grid import best_params
+from seriesloom.operators.grid import CHANGEPOINT_SCALES, SEASONALITY_SCALES, best_params
 from seriesloom.operators.panel import global_series, make_future as future_rows, to_panel
 from seriesloom.plans import transfer
+from seriesloom.sources.artifacts import settle
 
 DAY_SQL = "(epoch_us(ds) / 86400000000.0::DOUBLE)"
 LINE_SQL = f"""f AS (SELECT key, count(*) AS n_obs, min(ds) AS first_ds, max(ds) AS last_ds,
@@ -185,11 +188,11 @@ def model_rmse_linear(spark, d):
     return _round(evaluate.linear_rmse(settled(hourly_panel(spark, d)), *HOURLY_CV), rmse=5)
 
 
-RIDGE_SCALES = [0.001, 0.01, 0.1, 0.5]
+RIDGE_SCALES = list(CHANGEPOINT_SCALES)
 RIDGE_SQL = f"""WITH p AS ({PD_SQL}), {_cutoff_sql(*YEARLY_CV)},
 s AS (SELECT k.key, cutoff, avg(y) AS my, avg({DAY_SQL}) AS mt, count(*) * covar_pop(y, {DAY_SQL}) AS sxy,
   count(*) * var_pop({DAY_SQL}) AS sxx FROM k JOIN p ON p.key = k.key AND ds <= cutoff GROUP BY 1, 2 HAVING count(*) >= 2),
-g AS (SELECT CAST(i AS INTEGER) AS ordinal, list_extract([0.001, 0.01, 0.1, 0.5], i + 1)::DOUBLE AS scale FROM range(4) t(i)),
+g AS (SELECT CAST(i AS INTEGER) AS ordinal, list_extract({RIDGE_SCALES}, i + 1)::DOUBLE AS scale FROM range(4) t(i)),
 r AS (SELECT s.key, ordinal, scale, sqrt(avg((y - (my + sxy / (sxx + 1 / (scale * scale)) * ({DAY_SQL} - mt))) ** 2)) AS rmse
   FROM s CROSS JOIN g JOIN p ON p.key = s.key AND ds > cutoff AND ds <= cutoff + INTERVAL '{YEARLY_CV[2]}' GROUP BY 1, 2, 3)"""
 
@@ -224,11 +227,11 @@ def fit_status(spark, d):
 Z_SQL = f"({TREND_ONLY.z!r})::DOUBLE"
 
 
-def _trend_sql(source: str, per: str, start: str) -> str:
+def _trend_sql(source: str, per: str, start: str, known: str = "true") -> str:
     """Posterior mode of offset, slope and noise per group of ``source`` (columns of ``per``, ds, y, level): a 2 x 2 system
-    in turn with the closed form of the noise. ``start`` is the first day of a key."""
-    return f"""w AS (SELECT {per}, level, {DAY_SQL} - {start} AS since, y, count(*) OVER g AS n, max(abs(y)) OVER g AS top,
-  max({DAY_SQL}) OVER g - {start} AS length FROM {source} WINDOW g AS (PARTITION BY {per})),
+    in turn with the closed form of the noise. ``start`` is the first day of a key; scale and span come from the ``known`` rows."""
+    return f"""w AS (SELECT {per}, level, {DAY_SQL} - {start} AS since, y, count(*) OVER g AS n, max(abs(y)) FILTER (WHERE {known}) OVER g AS top,
+  max({DAY_SQL}) FILTER (WHERE {known}) OVER g - {start} AS length FROM {source} WINDOW g AS (PARTITION BY {per})),
 v AS (SELECT {per}, level, n, CASE WHEN top > 0 THEN top ELSE 1 END AS scale, CASE WHEN length > 0 THEN length ELSE 1 END AS span,
   since / (CASE WHEN length > 0 THEN length ELSE 1 END) AS t, (y - level) / (CASE WHEN top > 0 THEN top ELSE 1 END) AS v FROM w),
 s AS MATERIALIZED (SELECT {per}, any_value(level) AS level, any_value(scale) AS scale, any_value(span) AS span, any_value(n)::DOUBLE AS n,
@@ -245,8 +248,8 @@ tm AS (SELECT {per}, scale * (a + shift) AS offset_, scale * b / span AS slope,
   FROM r JOIN s USING ({per}) WHERE turn = 60)"""
 
 
-def _with_level(panel_sql: str) -> str:
-    return f"""p AS ({panel_sql}), e AS (SELECT key, min(y) / 2 + max(y) / 2 AS level, min({DAY_SQL}) AS t0,
+def _with_level(panel_sql: str, known: str = "true") -> str:
+    return f"""p AS ({panel_sql}), e AS (SELECT key, min(y) FILTER (WHERE {known}) / 2 + max(y) FILTER (WHERE {known}) / 2 AS level, min({DAY_SQL}) AS t0,
   min(ds) AS first_ds, max(ds) AS last_ds FROM p GROUP BY key),
 q AS (SELECT p.key, ds, y, level, t0, first_ds, last_ds FROM p JOIN e ON e.key = p.key)"""
 
@@ -309,6 +312,98 @@ def grid_search_trend(spark, d):
     return _round(evaluate.grid_search(settled(hourly_panel(spark, d)), *HOURLY_CV, pairs=FIXED_PAIRS, spec=TREND_ONLY), rmse=4)
 
 
+@query(
+    "cv_metrics_coverage",
+    f"""{CV_TREND_SQL}, {ERROR_SQL.replace('e AS', 'er AS', 1)}
+SELECT key, count(*) AS n, round(avg(se), 4) AS mse, round(sqrt(avg(se)), 4) AS rmse, round(avg(ae), 4) AS mae, round(avg(ape), 4) AS mape,
+round(median(ape), 4) AS mdape, round(avg(sape), 5) AS smape,
+round(avg(CASE WHEN y >= yhat - {Z_SQL} * sigma AND y <= yhat + {Z_SQL} * sigma THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage FROM er GROUP BY key""",
+)
+def cv_metrics_coverage(spark, d):
+    """All metrics of a model with bounds: how many observed values lie inside them too."""
+    cv = evaluate.cross_validate(settled(hourly_panel(spark, d)), *HOURLY_CV, spec=TREND_ONLY)
+    return _round(evaluate.cv_metrics(cv), mse=4, rmse=4, mae=4, mape=4, mdape=4, smape=5, coverage=6)
+
+
+def _bend_sql(source: str, per: str, start: str, pairs: list[tuple[int, float, float]]) -> str:
+    """Posterior mode of offset, slope, one slope change at 80 % of the history and noise, per group and changepoint scale: the
+    line is eliminated, and a single slope change under a Laplace prior has a closed form."""
+    values = ", ".join(f"({i}, ({c!r})::DOUBLE, ({w!r})::DOUBLE)" for i, c, w in pairs)
+    return f"""g(ordinal, changepoint_prior_scale, seasonality_prior_scale) AS (VALUES {values}),
+w AS (SELECT {per}, level, {DAY_SQL} - {start} AS since, y, count(*) OVER g AS n, max(abs(y)) OVER g AS top,
+  max({DAY_SQL}) OVER g - {start} AS length FROM {source} WINDOW g AS (PARTITION BY {per})),
+v AS (SELECT {per}, level, n, top AS scale, length AS span, since / length AS t, greatest(since / length - 0.8::DOUBLE, 0) AS h,
+  (y - level) / top AS v FROM w),
+s AS MATERIALIZED (SELECT {per}, any_value(scale) AS scale, any_value(span) AS span, any_value(n)::DOUBLE AS n, any_value(level) / any_value(scale) AS shift,
+  sum(t) AS t, sum(t * t) AS tt, sum(h) AS h, sum(t * h) AS th, sum(h * h) AS hh, sum(v) AS v, sum(t * v) AS tv, sum(h * v) AS hv, sum(v * v) AS vv
+  FROM v GROUP BY {per} HAVING count(*) >= 3),
+r AS (SELECT {per}, ordinal, changepoint_prior_scale AS cps, 0 AS turn, vv / n AS noise, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS d FROM s CROSS JOIN g
+  UNION ALL
+  SELECT {per}, ordinal, cps, turn + 1, 2 * rss / (n + sqrt(n * n + 16 * rss)), a, b, d FROM (
+    SELECT *, vv - 2 * (a * v + b * tv + d * hv) + a * a * n + b * b * tt + d * d * hh + 2 * (a * b * t + a * d * h + b * d * th) AS rss FROM (
+      SELECT *, a0 - p * d AS a, b0 - q * d AS b FROM (
+        SELECT *, sign(hv - h * a0 - th * b0) * greatest(abs(hv - h * a0 - th * b0) - noise / cps, 0) / (hh - h * p - th * q) AS d FROM (
+          SELECT *, (x * m22 - t * tv) / det AS a0, (m11 * tv - t * x) / det AS b0, (h * m22 - t * th) / det AS p, (m11 * th - t * h) / det AS q FROM (
+            SELECT s.*, ordinal, cps, turn, noise, n + noise / 25 AS m11, tt + noise / 25 AS m22, v - noise * shift / 25 AS x,
+            (n + noise / 25) * (tt + noise / 25) - t * t AS det FROM r JOIN s USING ({per}) WHERE turn < 80))))) ),
+tm AS (SELECT {per}, ordinal, scale * (a + shift) AS offset_, scale * b / span AS slope, scale * d / span AS bend, span, scale * sqrt(noise) AS sigma
+  FROM r JOIN s USING ({per}) WHERE turn = 80)"""
+
+
+BEND = ModelSpec(n_changepoints=1, yearly=False, weekly=False, daily=False)
+BEND_GRID = [(i, c, SEASONALITY_SCALES[-1]) for i, c in enumerate(CHANGEPOINT_SCALES)]
+
+
+@query(
+    "fit_bend",
+    f"""WITH RECURSIVE {_with_level(PD_SQL)}, {_bend_sql('q', 'key', 't0', BEND_GRID)}
+SELECT key, ordinal, round(offset_, 1) AS offset_, round(slope, 2) AS slope, round(bend, 2) AS bend, round(sigma, 1) AS sigma FROM tm""",
+)
+def fit_bend(spark, d):
+    """One slope change under each changepoint scale, from the same sums: small scales hold it at 0."""
+    models = additive.fit_panel(settled(daily_panel(spark, d)), BEND, pairs=BEND_GRID)
+    at = lambda i: F.get("theta", F.lit(i)) * F.col("_scale")
+    found = models.select(
+        "key", "ordinal", at(0).alias("offset_"), (at(1) / F.col("_span")).alias("slope"), (at(2) / F.col("_span")).alias("bend"), (F.col("sigma") * F.col("_scale")).alias("sigma")
+    )
+    return _round(found, offset_=1, slope=2, bend=2, sigma=1)
+
+
+@query(
+    "grid_search_bend",
+    f"""WITH RECURSIVE {_with_level(PH_SQL)}, {_cutoff_sql(*HOURLY_CV)},
+f AS (SELECT q.key, cutoff, ds, y, level, t0 FROM k JOIN q ON q.key = k.key AND ds <= cutoff),
+{_bend_sql('f', 'key, cutoff', 't0', BEND_GRID)},
+cv AS (SELECT tm.key, ordinal, y, offset_ + slope * ({DAY_SQL} - t0) + bend * greatest({DAY_SQL} - t0 - 0.8::DOUBLE * span, 0) AS yhat
+  FROM tm JOIN q ON q.key = tm.key AND ds > cutoff AND ds <= cutoff + INTERVAL '{HOURLY_CV[2]}')
+SELECT key, ordinal, changepoint_prior_scale, seasonality_prior_scale, round(sqrt(avg((y - yhat) ** 2)), 4) AS rmse
+FROM cv JOIN g USING (ordinal) GROUP BY ALL""",
+)
+def grid_search_bend(spark, d):
+    """A grid whose settings matter: each scale gives other slope changes in every fold."""
+    return _round(evaluate.grid_search(settled(hourly_panel(spark, d)), *HOURLY_CV, pairs=BEND_GRID, spec=BEND), rmse=4)
+
+
+REFRESHED = "ds < TIMESTAMP '2000-01-01'"
+
+
+@query(
+    "refresh_trend",
+    f"""WITH RECURSIVE {_with_level(PD_SQL, REFRESHED)}, {_trend_sql('q', 'key', 't0', REFRESHED)}
+SELECT key, CAST(n AS BIGINT) AS n_obs, first_ds, last_ds, round(offset_, 1) AS offset_, round(slope, 3) AS slope, round(sigma, 1) AS sigma FROM tm JOIN e USING (key)""",
+)
+def refresh_trend(spark, d):
+    """Models of the rows before 2000, brought up to date with the later ones from stored sums."""
+    panel = settled(daily_panel(spark, d))
+    early = F.col("ds") < F.lit("2000-01-01").cast("timestamp_ntz")
+    sums, _ = settle(store.panel_sums(panel.where(early), TREND_ONLY), "base_sums")
+    models, _ = settle(store.solve_sums(sums, TREND_ONLY), "base_models")
+    models, _ = store.refresh_models(models, sums, panel.where(~early), TREND_ONLY)
+    at = lambda i: F.get("theta", F.lit(i)) * F.col("_scale")
+    found = models.select("key", "n_obs", "first_ds", "last_ds", at(0).alias("offset_"), (at(1) / F.col("_span")).alias("slope"), (F.col("sigma") * F.col("_scale")).alias("sigma"))
+    return _round(found, offset_=1, slope=3, sigma=1)
+
+
 @query("model_rmse_trend", f"{CV_TREND_SQL} SELECT key, round(sqrt(avg((y - yhat) ** 2)), 4) AS rmse, 'non_tl' AS mode FROM cv GROUP BY key")
 def model_rmse_trend(spark, d):
     return _round(evaluate.model_rmse(settled(hourly_panel(spark, d)), *HOURLY_CV, "non_tl", spec=TREND_ONLY), rmse=4)
@@ -447,3 +542,16 @@ def timing_table(spark, d):
     """Fit times with transfer and without, side by side."""
     panel, known, params = _nation_params(spark, d)
     return transfer.times_by_mode(panel, known, params, spec=SEASONS)
+
+
+@query("forecast_transfer")
+def forecast_transfer(spark, d):
+    """The whole chain with tuned parents: clusters, grid search, children on their samples, forecasts."""
+    return transfer.forecast_transfer(settled(daily_panel(spark, d)), 5, 5, YEARLY_CV, 30, spec=SEASONS)
+
+
+@query("model_rmse_times")
+def model_rmse_times(spark, d):
+    """Cross-validated error with seasons that multiply the trend."""
+    spec = replace(HOURLY, seasonality_mode="multiplicative")
+    return evaluate.model_rmse(settled(hourly_panel(spark, d)), *HOURLY_CV, "times", spec=spec)
