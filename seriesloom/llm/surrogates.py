@@ -135,9 +135,14 @@ def _luhn_digit(body: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
-def _octet(octet: Column, b: Column) -> Column:
-    """As many digits as before."""
-    drawn = F.when(F.length(octet) == 1, b % 9 + 1).when(F.length(octet) == 2, b % 90 + 10).otherwise(b % 150 + 100)
+PATIENCE = 4
+"""attempts within the entity's own form; further ones draw from a wider one, since short forms have few values"""
+MOST_ATTEMPTS = 64
+
+
+def _octet(octet: Column, b: Column, wide: Column) -> Column:
+    """As many digits as before, or three."""
+    drawn = F.when(~wide & (F.length(octet) == 1), b % 9 + 1).when(~wide & (F.length(octet) == 2), b % 90 + 10).otherwise(b % 150 + 100)
     return drawn.cast("string")
 
 
@@ -167,12 +172,13 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     tld = F.substring_index(domain, ".", -1)
     label = F.substring_index(domain, ".", 1)
+    longer = F.substring(inner, F.lit(1), F.floor(attempt / PATIENCE).cast("int"))
     mail = F.concat(
-        _alike(F.concat(local, F.lit("@"), label), digests), F.lit(".example."), F.when(tld.isin("com", "net", "org"), tld).otherwise("com"),
+        longer, _alike(F.concat(local, F.lit("@"), label), digests), F.lit(".example."), F.when(tld.isin("com", "net", "org"), tld).otherwise("com"),
     )
     rest = F.substring(norm, F.lit(2), F.length(norm))
     body = F.concat(F.substring(norm, 1, 1), _alike(F.substring(norm, F.lit(2), F.length(norm) - 2), digests))
-    octets = F.transform(F.split(norm, r"\."), lambda o, i: _octet(o, _byte(digests, i)))
+    octets = F.transform(F.split(norm, r"\."), lambda o, i: _octet(o, _byte(digests, i), attempt >= PATIENCE))
     return (
         F.when(kind == "email", mail)
         .when(kind == "ip", F.array_join(octets, "."))
@@ -181,7 +187,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         .when(kind == "phone", F.concat(_pick("23456789", _byte(digests, F.lit(31))), _alike(rest, digests)))
         .when(kind == "access_key", F.concat(F.lit("AKIA"), _alike(F.substring(norm, F.lit(5), F.length(norm)), digests)))
         .when(kind == "iban", F.concat(F.substring(norm, 1, 2), _alike(F.substring(norm, F.lit(3), F.length(norm)), digests)))
-        .when(kind == "secret", _alike(norm, digests, secret=True))
+        .when(kind == "secret", F.concat(_alike(norm, digests, secret=True), longer))
         .otherwise(_invented(kind, norm, digests, attempt))
     )
 
@@ -204,11 +210,16 @@ def _rendered(kind: Column, raw: Column, made: Column) -> Column:
 
 
 def mapping(parts: DataFrame, key: str) -> DataFrame:
-    """``kind, norm, surrogate`` for the distinct entities of ``kind, norm``, free of collisions."""
+    """``kind, norm, surrogate`` for the distinct entities of ``kind, norm``, free of collisions.
+
+    Surrogates that collide are drawn again, after ``PATIENCE`` attempts from wider forms: longer names, mail addresses and secrets,
+    octets of three digits. The forms left are phones, cards, social security numbers, bank accounts and access keys, which keep their
+    length: a corpus that holds more distinct ones than the form has values is refused with an error.
+    """
     entities = parts.where("kind is not null").select("kind", "norm").distinct()
     drawn, _ = settle(entities.withColumn("attempt", F.lit(0)).withColumn("ok", F.lit(False)), "entities")
     originals = drawn.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("is_original"))
-    while True:
+    for _ in range(MOST_ATTEMPTS):
         spread = drawn.repartition(shuffle_partitions(drawn.sparkSession), "kind", "norm")  # few bytes, much work
         made = spread.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
         rank = F.struct(~F.col("ok"), F.col("norm"))
@@ -222,6 +233,8 @@ def mapping(parts: DataFrame, key: str) -> DataFrame:
         if not seen["left"]:
             return checked.select("kind", "norm", "surrogate")
         drawn = checked.select("kind", "norm", F.when(F.col("ok"), F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"), "ok")
+    full = checked.where(~F.col("ok")).groupBy("kind").count().collect()
+    raise ValueError(f"no free surrogates left for {sorted((r['kind'], r['count']) for r in full)}")
 
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -239,3 +239,14 @@ def test_pipeline(spark, tmp_path):
     assert not any(r.text and "bob@" in r.text for r in by["pii_surrogates"])
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in by["pii_surrogates"]}
+
+
+def test_short_forms_that_run_out_are_widened(spark):
+    """All 6,561 addresses of one-digit octets, and all mail addresses of one letter at one letter."""
+    ips = [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    mails = [("email", f"{a}@{b}.com") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = surrogates.mapping(spark.createDataFrame(ips + mails, "kind string, norm string"), "k").collect()
+    assert {(r.kind, r.norm) for r in got} == {*ips, *mails} and len(got) == len(ips) + len(mails)
+    made = [(r.kind, r.surrogate) for r in got]
+    assert len(set(made)) == len(made) and not {*made} & {*ips, *mails}
+    assert all(re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", s) if k == "ip" else re.fullmatch(r"[0-9a-f]*[a-z]@[a-z]\.example\.com", s) for k, s in made)
