@@ -390,10 +390,10 @@ def grouped_median(df: DataFrame, by: list[str], value: str, name: str, limits:
 
     Nulls are left out; a group without a value has no row. ``df`` is read a few times, so settle it first.
     """
-    known = with_ordered_bits(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value)), value, "_bits")
+    known, _ = settle(with_ordered_bits(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value)), value, "_bits"), "bits")
     counts = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_rank", F.floor((F.col("_n") + 1) / 2))
     table = key_table(counts, "_n", "median")
-    lower = select_rank(known, by, table.frame, "_bits", bits_digit("_bits"), len(DOUBLE_CUTS), limits)
+    lower = select_rank(known, by, table, "_bits", bits_digit("_bits"), len(DOUBLE_CUTS), limits)
     # with an even number of rows the upper middle is the same value or the next one
     two = (F.col("_n") % 2 == 0) & (F.col("_left") == F.col("_same"))
     middle = key_table(lower.join(table.frame, by).select(*by, "_n", "_cut", two.alias("_two")), "_n", "middle")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.skew import DEFAULT_LIMITS, Limits, attach
+from seriesloom.operators.skew import DEFAULT_LIMITS, KeyTable, Limits, attach, key_table
 from seriesloom.sources.artifacts import settle
 
 HEX_DIGITS = 11
@@ -59,17 +59,17 @@ def with_ordered_bits(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def select_rank(
-    rows: DataFrame, keys: list[str], wanted: DataFrame, value: str, digit: Callable[[int], Column], digits: int, limits: Limits = DEFAULT_LIMITS
+    rows: DataFrame, keys: list[str], wanted: KeyTable, value: str, digit: Callable[[int], Column], digits: int, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """The value at a 1-based rank of each key: ``keys, _cut, _left, _same``.
 
     ``wanted`` has one row per key with ``_n`` rows and ``_rank``. ``_cut`` is the value there; of the ``_same`` rows that
     hold it, the first ``_left`` are within the rank. Rounds end where all rows left of a key are equal.
     """
-    state, found = wanted.select(*keys, "_n", F.col("_rank").alias("_left")), []
+    table, found = wanted.narrowed(wanted.frame.select(*keys, "_n", F.col("_rank").alias("_left"))), []
     rows = rows.select(*keys, value)
     for j in range(digits):
-        near = attach(rows, state, keys, count_col="_n", limits=limits)
+        near = attach(rows, table, keys, count_col="_n", limits=limits)
         if j:
             near = near.where(digit(j - 1) == F.col("_digit")).drop("_digit")
         near, _ = settle(near.drop("_n"), "near_ranks") if j else (near.drop("_n"), None)
@@ -90,11 +90,11 @@ def select_rank(
             *keys, F.col("_at.left").alias("_left"), F.col("_at.hit.n").alias("_n"), F.col("_at.hit._digit").alias("_digit"),
             F.col("_at.hit.low").alias("_cut"), F.col("_at.hit.high").alias("_high"),
         )
-        picked, left = settle(picked, "ranks", {"n": F.count_if(F.col("_cut") != F.col("_high"))})
-        found.append(picked.where("_cut = _high").select(*keys, "_cut", "_left", F.col("_n").alias("_same")))
-        if not left["n"]:
+        table = key_table(picked, "_n", "ranks", {"open": F.count_if(F.col("_cut") != F.col("_high"))})
+        found.append(table.frame.where("_cut = _high").select(*keys, "_cut", "_left", F.col("_n").alias("_same")))
+        if not table.extra["open"]:
             break
-        state, rows = picked.where("_cut != _high").select(*keys, "_n", "_left", "_digit"), near.drop("_left")
+        table, rows = table.narrowed(table.frame.where("_cut != _high").select(*keys, "_n", "_left", "_digit")), near.drop("_left")
     out = found[0]
     for other in found[1:]:
         out = out.unionByName(other)
@@ -114,21 +114,21 @@ def take_smallest(
     ``quota`` has one row per key with ``_n`` rows and ``_quota``; keys without a row, and those with a quota of 0, are left
     out. Where rows are equal at the cut-off and only some of them fit, a running number of theirs decides.
     """
-    quota, size = settle(quota.where("_quota > 0"), "quota", {"cut": F.count_if(F.col("_quota") < F.col("_n"))})
-    whole = quota.where("_quota >= _n").select(*keys, "_n")
-    if not size["cut"]:
+    table = key_table(quota.where("_quota > 0"), "_n", "quota", {"cut": F.count_if(F.col("_quota") < F.col("_n"))})
+    whole = table.narrowed(table.frame.where("_quota >= _n").select(*keys, "_n"))
+    if not table.extra["cut"]:
         return attach(df, whole, keys, count_col="_n", limits=limits).select(*df.columns)
-    part = quota.where("_quota < _n").select(*keys, "_n", F.col("_quota").alias("_rank"))
-    cuts = select_rank(df, keys, part, value, digit, digits, limits).join(part.select(*keys, "_n"), keys)
-    none = F.lit(None).cast(df.schema[value].dataType)
-    told = cuts.unionByName(whole.withColumns({"_cut": none, "_left": F.lit(0).cast("long"), "_same": F.lit(0).cast("long")}))
-    told, ties = settle(told, "cut_offs", {"n": F.count_if(F.col("_left") < F.col("_same"))})
+    part = table.narrowed(table.frame.where("_quota < _n").select(*keys, "_n", F.col("_quota").alias("_rank")))
+    cuts = select_rank(df, keys, part, value, digit, digits, limits).join(part.frame.select(*keys, "_n"), keys)
+    none, zero = F.lit(None).cast(df.schema[value].dataType), F.lit(0).cast("long")
+    every = cuts.unionByName(whole.frame.withColumns({"_cut": none, "_left": zero, "_same": zero}))
+    told = key_table(every, "_n", "cut_offs", {"ties": F.count_if(F.col("_left") < F.col("_same"))})
     near = attach(df, told, keys, count_col="_n", limits=limits)
     inside = F.col("_cut").isNull() | (F.col(value) < F.col("_cut")) | ((F.col(value) == F.col("_cut")) & (F.col("_left") == F.col("_same")))
     taken = near.where(inside).select(*df.columns)
-    if not ties["n"]:
+    if not told.extra["ties"]:
         return taken
     tied, _ = settle(near.where((F.col(value) == F.col("_cut")) & (F.col("_left") < F.col("_same"))).withColumn("_tie", F.monotonically_increasing_id()), "ties")
-    shares = told.where("_left < _same").select(*keys, F.col("_same").alias("_n"), F.col("_left").alias("_quota"))
+    shares = told.frame.where("_left < _same").select(*keys, F.col("_same").alias("_n"), F.col("_left").alias("_quota"))
     numbered = tied.select(*df.columns, "_tie")
     return taken.unionByName(take_smallest(numbered, keys, shares, "_tie", bits_digit("_tie"), len(DOUBLE_CUTS), limits).select(*df.columns))
