@@ -17,6 +17,7 @@ from seriesloom.operators.apply import apply_by_key, fold_by_key
 from seriesloom.operators.scan import CHUNK_BITS, scan_by_key
 from seriesloom.operators.skew import attach
 from seriesloom.sources import artifacts, readers
+from seriesloom.sources.jsonarrays import read_json_objects
 
 # ---- sources and sinks ---------------------------------------------------------------------------------------------
 
@@ -54,6 +55,17 @@ def json_roundtrip(spark, d):
     return readers.read_source(spark, "json", path, schema=orders.schema)
 
 
+@query("json_array_splits", "SELECT * FROM orders")
+def json_array_splits(spark, d):
+    """Orders as JSON arrays of up to 256 objects, many arrays in a file, read in splits that cut objects apart."""
+    orders = table(spark, d, "orders")
+    written = F.to_json(F.collect_list(F.struct(*orders.columns)), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    arrays = orders.groupBy(F.floor(F.col("o_orderkey") / 256)).agg(written.alias("value"))
+    path = artifacts.scratch_path(spark, "orders_arrays")
+    arrays.select("value").write.text(path)
+    return read_json_objects(spark, path, orders.schema)
+
+
 @query("csv_roundtrip", "SELECT * FROM orders")
 def csv_roundtrip(spark, d):
     orders = table(spark, d, "orders")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -423,12 +424,70 @@ def merge_and_solve(
     return solve_batches(merge_sums(batches, sums_schema, group, carried, parts), **how)
 
 
+NODES = 600
+"""points of the numerical inversion of a characteristic function"""
+CHANGES = np.logspace(-4, 3, 57)
+NOISE = np.linspace(0.0, 1.0, 41) ** 2
+
+
+def walk_bound(changes: np.ndarray, noise: np.ndarray, z: float) -> np.ndarray:
+    """Half-width, in standard deviations, of the central interval of noise plus a walk of slope changes.
+
+    ``changes`` is the expected number of changes so far, ``noise`` the share of the normal noise in the whole variance, and z
+    the normal quantile of the interval's upper end. Changes come at even times with Laplace sizes, so the walk's
+    characteristic function is exp(c (atan(bu) / (bu) - 1)). Its distribution has mass exp(-c) without any change, which is
+    taken apart; the rest is inverted by quadrature over u, and the quantile found by halving.
+    """
+    c, a = np.asarray(changes, float)[:, None], np.clip(np.asarray(noise, float), 1e-8, 1.0)[:, None]
+    b = np.sqrt(np.maximum(1.5 * (1.0 - a) / c, 1e-12))
+    v = (np.arange(NODES) + 0.5) * np.pi / (12.0 / b + 16.0)  # v = b u
+    still = np.exp(-c)
+    weight = np.exp(-0.5 * a * (v / b) ** 2) * (np.exp(c * (np.arctan(v) / v - 1.0)) - still) / v * (v[:, :1] * 2.0) / np.pi
+    level = 2.0 * _normal_cdf(np.array(z)) - 1.0
+    low, high = np.zeros_like(c), np.full_like(c, 1.0 / np.sqrt(1.0 - level))
+    for _ in range(24):
+        x = 0.5 * (low + high)
+        below = 0.5 * (1.0 - still) + still * _normal_cdf(x / np.sqrt(a)) + (weight * np.sin(v * (x / b))).sum(axis=1, keepdims=True)
+        high, low = np.where(below > 0.5 + 0.5 * level, x, high), np.where(below > 0.5 + 0.5 * level, low, x)
+    return np.where(a[:, 0] >= 1.0, z, 0.5 * (low + high)[:, 0])
+
+
+def walk_bounds(changes: np.ndarray, noise: np.ndarray, z: np.ndarray, tables: dict[float, np.ndarray]) -> np.ndarray:
+    """``walk_bound`` of each row, between the points of a table over ``CHANGES`` and ``NOISE``.
+
+    ``tables`` keeps the points computed so far by level, so a task inverts each point once, whatever its rows. Rows without
+    changes ahead take the normal quantile.
+    """
+    out = np.array(z, float)
+    moved = (changes > 0) & (noise < 1.0)
+    for level in np.unique(out[moved]):
+        rows = moved & (z == level)
+        i = np.interp(np.log(changes[rows]), np.log(CHANGES), np.arange(len(CHANGES)))
+        j = np.sqrt(noise[rows]) * (len(NOISE) - 1)
+        i0, j0 = np.minimum(i.astype(int), len(CHANGES) - 2), np.minimum(j.astype(int), len(NOISE) - 2)
+        i, j = i - i0, j - j0
+        known = tables.setdefault(level, np.full((len(CHANGES), len(NOISE)), np.nan))
+        wanted = np.zeros(known.shape, bool)
+        for down, right in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            wanted[i0 + down, j0 + right] = True
+        at, of = np.nonzero(wanted & np.isnan(known))
+        known[at, of] = walk_bound(CHANGES[at], NOISE[of], float(level))
+        near = (1 - j) * known[i0, j0] + j * known[i0, j0 + 1]
+        out[rows] = (1 - i) * near + i * ((1 - j) * known[i0 + 1, j0] + j * known[i0 + 1, j0 + 1])
+    return out
+
+
+def _normal_cdf(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(erfc, otypes=[float])(-x / sqrt(2.0)) / 2.0
+
+
 def predict_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, kept: list[str]) -> Iterator[pa.RecordBatch]:
     """Prediction and bounds of rows that carry their key's model.
 
-    Past the history the bounds widen by the variance of further slope changes, arriving at the rate and with the
+    Past the history the bounds are quantiles of the noise plus further slope changes, arriving at the rate and with the
     mean size of those fitted.
     """
+    tables: dict[float, np.ndarray] = {}
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -447,7 +506,10 @@ def predict_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, kept:
         ahead = np.maximum((numbers(batch, "_day") - numbers(batch, "_start")) / numbers(batch, "_span") - 1.0, 0.0)
         walk = np.where(count > 0, count * 2.0 * size**2 * ahead**3 / 3.0, 0.0)
         walk = walk * np.where(times, 1.0 + season, 1.0) ** 2
-        half = numbers(batch, "_z") * np.sqrt(numbers(batch, "sigma") ** 2 + walk)
+        noise = numbers(batch, "sigma") ** 2
+        whole = noise + walk
+        share = np.divide(noise, whole, out=np.ones_like(whole), where=whole > 0)
+        half = walk_bounds(count * ahead, share, numbers(batch, "_z"), tables) * np.sqrt(whole)
         columns = [batch.column(c) for c in kept]
         columns += [pa.array(scale * v) for v in (level, level - half, level + half)]
         yield batch_of(columns, schema)

@@ -11,11 +11,13 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from seriesloom.functions.columns import guarded_fraction, hash_unit, in_band, order_hash, sample_percent
 from seriesloom.operators.ordering import best_row, rows_at_ranks, sorted_table, top_k_per_group
 from seriesloom.operators.skew import DEFAULT_LIMITS, Limits, attach
 from seriesloom.sources.artifacts import settle
+from seriesloom.sources.jsonarrays import read_json_objects
 
 LIST_PIECE = 10_000
 BLOCKS = 16_384
@@ -213,20 +215,34 @@ def with_parent_params(child_parent: DataFrame, params: DataFrame, key: str = "k
     return attach(child_parent, scales, ["parent"])
 
 
-def read_legacy_clusters(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of (cluster_id, gis_join, is_center as text) as (key, cluster_id, is_parent)."""
-    raw = spark.read.schema("cluster_id int, gis_join string, is_center string").json(path, multiLine=True)
-    return raw.select(F.col("gis_join").alias("key"), "cluster_id", (F.col("is_center") == "true").alias("is_parent"))
+def read_legacy_clusters(
+    spark: SparkSession, path: str, key: str = "gis_join", cluster: str = "cluster_id", center: str = "is_center"
+) -> DataFrame:
+    """A JSON array of objects with key, cluster and a flag as text as (key, cluster_id, is_parent), read in splits."""
+    names = StructType().add(cluster, IntegerType()).add(key, StringType()).add(center, StringType())
+    raw = read_json_objects(spark, path, names)
+    return raw.select(
+        F.col(f"`{key}`").alias("key"), F.col(f"`{cluster}`").alias("cluster_id"), (F.col(f"`{center}`") == "true").alias("is_parent")
+    )
 
 
-def read_clusters_csv(spark: SparkSession, path: str, key: str = "GISJOIN") -> DataFrame:
+def read_clusters_csv(
+    spark: SparkSession,
+    path: str,
+    key: str = "GISJOIN",
+    cluster: str = "cluster_id",
+    distance: str = "distance",
+    parent: str = "is_parent",
+    fraction: str = "frac_distance",
+    rate: str = "sample_percent",
+) -> DataFrame:
     """A cluster table from CSV, where the flag is 0/1 and an unnamed index column may lead."""
     raw = spark.read.option("header", True).csv(path)
     return raw.select(
-        F.col(key).alias("key"),
-        F.col("cluster_id").cast("int"),
-        F.col("distance").cast("double"),
-        (F.col("is_parent").cast("double") == 1).alias("is_parent"),
-        F.col("frac_distance").cast("double"),
-        F.col("sample_percent").cast("double"),
+        F.col(f"`{key}`").alias("key"),
+        F.col(f"`{cluster}`").cast("int").alias("cluster_id"),
+        F.col(f"`{distance}`").cast("double").alias("distance"),
+        (F.col(f"`{parent}`").cast("double") == 1).alias("is_parent"),
+        F.col(f"`{fraction}`").cast("double").alias("frac_distance"),
+        F.col(f"`{rate}`").cast("double").alias("sample_percent"),
     )
