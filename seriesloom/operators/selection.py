@@ -2,7 +2,8 @@
 
 A round counts the rows of each key by the next digit of their value, picks the digit that holds the wanted rank, and goes on
 with the rows that share it. Counts combine before the shuffle, so a key with a third of all rows sends one count per digit and
-task; after the first round hardly any rows are left.
+task; after the first round hardly any rows are left. Once every key has few rows left (``Limits.listed_rows``), their values are
+listed and sorted, which spares the rounds their jobs.
 """
 
 from __future__ import annotations
@@ -64,14 +65,17 @@ def select_rank(
     """The value at a 1-based rank of each key: ``keys, _cut, _left, _same``.
 
     ``wanted`` has one row per key with ``_n`` rows and ``_rank``. ``_cut`` is the value there; of the ``_same`` rows that
-    hold it, the first ``_left`` are within the rank. Rounds end where all rows left of a key are equal.
+    hold it, the first ``_left`` are within the rank. Rounds end where all rows left of a key are equal, or few.
     """
     table, found = wanted.narrowed(wanted.frame.select(*keys, "_n", F.col("_rank").alias("_left"))), []
-    rows = rows.select(*keys, value)
+    rows, most = rows.select(*keys, value), wanted.largest
     for j in range(digits):
         near = attach(rows, table, keys, count_col="_n", limits=limits)
         if j:
             near = near.where(digit(j - 1) == F.col("_digit")).drop("_digit")
+        if most <= limits.listed_rows:
+            found.append(_from_lists(near, keys, value))
+            break
         near, _ = settle(near.drop("_n"), "near_ranks") if j else (near.drop("_n"), None)
         counts = near.groupBy(*keys, "_left", digit(j).alias("_digit")).agg(
             F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")
@@ -90,9 +94,10 @@ def select_rank(
             *keys, F.col("_at.left").alias("_left"), F.col("_at.hit.n").alias("_n"), F.col("_at.hit._digit").alias("_digit"),
             F.col("_at.hit.low").alias("_cut"), F.col("_at.hit.high").alias("_high"),
         )
-        table = key_table(picked, "_n", "ranks", {"open": F.count_if(F.col("_cut") != F.col("_high"))})
+        table = key_table(picked, "_n", "ranks", {"open": F.max(F.when(F.col("_cut") != F.col("_high"), F.col("_n")))})
         found.append(table.frame.where("_cut = _high").select(*keys, "_cut", "_left", F.col("_n").alias("_same")))
-        if not table.extra["open"]:
+        most = table.extra["open"]
+        if most is None:
             break
         table, rows = table.narrowed(table.frame.where("_cut != _high").select(*keys, "_n", "_left", "_digit")), near.drop("_left")
     out = found[0]
@@ -101,6 +106,17 @@ def select_rank(
     return out
 
 
+def _from_lists(near: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``select_rank`` of keys with few rows: their values in order, as a list."""
+    cut = F.element_at("_listed", F.col("_left").cast("int"))
+    before = F.array_position("_listed", cut) - 1
+    listed = near.groupBy(*keys, "_left").agg(F.sort_array(F.collect_list(value)).alias("_listed"))
+    return listed.select(
+        *keys, cut.alias("_cut"), (F.col("_left") - before).alias("_left"),
+        F.size(F.filter("_listed", lambda v: v == cut)).cast("long").alias("_same"),
+    )
+
+
 def _entry(counts: DataFrame, value: str) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in counts.schema}
     return f"struct<_digit:{kinds['_digit']},n:bigint,low:{kinds['low']},high:{kinds['high']}>"

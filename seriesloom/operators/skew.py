@@ -24,6 +24,8 @@ class Limits:
     """a key with more rows than this is split into pieces"""
     max_split_keys: int = 100_000
     """bound on the number of split keys, so that their list can always be broadcast"""
+    listed_rows: int = 65_536
+    """a key with no more rows left than this may have its values in one list"""
 
 
 DEFAULT_LIMITS = Limits()

@@ -18,5 +18,5 @@ def spark():
 
 @pytest.fixture
 def tight():
-    """Limits so low that every join splits its keys and nothing is broadcast as a whole."""
-    return Limits(broadcast_bytes=0, rows_per_piece=7, max_split_keys=1000)
+    """Limits so low that every join splits its keys, nothing is broadcast as a whole and no values are listed."""
+    return Limits(broadcast_bytes=0, rows_per_piece=7, max_split_keys=1000, listed_rows=0)
