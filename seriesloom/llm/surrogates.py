@@ -7,6 +7,9 @@ over all entities and drawn again until there are none (distinctness).
 A phone behind +1 has 3-3-4 digits. Behind other country codes it has 7 to 15 digits in groups, and a group that begins an
 address, a card, another phone or a social security number isn't part of it; a plain number that still fits into the 15 is.
 
+A number of 13 to 19 digits counts as a card only if its check digit is right (Luhn); others stay as they are. Surrogates of cards
+and bank accounts have right check digits too, bank accounts keep their country and phones the first two digits behind a +.
+
 Secrets are letters and digits (tokens also ``_`` and ``-``) behind ``password =`` or ``token =`` in any case, with or without
 blanks and quotes, and access keys. Names are one or two words behind a title, titles and names written as usual or in capitals.
 """
@@ -69,11 +72,15 @@ SHAPED = {k: f"^(?:{PATTERNS[k]})$" for k in ("email", "ip", "ssn", "phone", "ac
 
 
 def kind_of(surface: Column) -> Column:
-    """The first kind whose pattern matches the whole surface, without its announcement; what is left stood after one."""
-    surface = F.regexp_replace(surface, ANNOUNCED, "")
-    out = F.when(surface.rlike(SHAPED["email"]), "email")
+    """The first kind whose pattern matches the whole surface, without its announcement; what is left stood after one. Null for
+    numbers that only look like a card."""
+    bare = F.regexp_replace(surface, ANNOUNCED, "")
+    digits = F.regexp_replace(bare, r"\D", "")
+    checked = _luhn_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1)
+    out = F.when(bare.rlike(SHAPED["email"]), "email")
     for kind in ("access_key", "ip", "ssn", "phone", "card", "iban", "name"):
-        out = out.when(surface.rlike(SHAPED[kind]), kind)
+        known = F.when((bare != surface) | checked, kind) if kind == "card" else F.lit(kind)
+        out = out.when(bare.rlike(SHAPED[kind]), known)
     return out.otherwise("secret")
 
 
@@ -92,9 +99,12 @@ def _parts(surface: Column, kind: Column) -> Column:
 
 def _norm(kind: Column, raw: Column) -> Column:
     """What makes two surfaces the same entity: letters without case (those of secrets only if they are hexadecimal), numbers
-    without layout or the +1 of a country."""
+    without layout or the +1 of a country; the + of others stays."""
     digits = F.regexp_replace(raw, r"\D", "")
-    phone = F.when(raw.startswith("+1") & (F.length(digits) == 11), F.substring(digits, 2, 10)).otherwise(digits)
+    phone = (
+        F.when(raw.startswith("+1") & (F.length(digits) == 11), F.substring(digits, 2, 10))
+        .when(raw.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
+    )
     return (
         F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
@@ -135,6 +145,13 @@ def _luhn_digit(body: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
+def _iban_digits(country: Column, body: Column) -> Column:
+    """The two check digits: 98 less the rest by 97 of the number in which letters count from 10 and the country comes last."""
+    step = lambda s, c: F.when(c.rlike("[0-9]"), (s * 10 + F.ascii(c) - 48) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
+    rest = F.aggregate(_chars(F.concat(body, country, F.lit("00"))), F.lit(0), step)
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
 PATIENCE = 4
 """attempts within the entity's own form; further ones draw from a wider one, since short forms have few values"""
 MOST_ATTEMPTS = 64
@@ -179,14 +196,17 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     rest = F.substring(norm, F.lit(2), F.length(norm))
     body = F.concat(F.substring(norm, 1, 1), _alike(F.substring(norm, F.lit(2), F.length(norm) - 2), digests))
     octets = F.transform(F.split(norm, r"\."), lambda o, i: _octet(o, _byte(digests, i), attempt >= PATIENCE))
+    account = _alike(F.substring(norm, F.lit(5), F.length(norm)), digests)
+    prefix = F.when(F.length(norm) > 10, 3).otherwise(2)  # the +, and two digits behind it unless the number is short
     return (
         F.when(kind == "email", mail)
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", F.concat(body, _luhn_digit(body)))
         .when(kind == "ssn", F.concat(F.lit("9"), _alike(rest, digests)))
+        .when((kind == "phone") & norm.startswith("+"), F.concat(F.substring(norm, F.lit(1), prefix), _alike(F.substring(norm, prefix + 1, F.length(norm)), digests)))
         .when(kind == "phone", F.concat(_pick("23456789", _byte(digests, F.lit(31))), _alike(rest, digests)))
         .when(kind == "access_key", F.concat(F.lit("AKIA"), _alike(F.substring(norm, F.lit(5), F.length(norm)), digests)))
-        .when(kind == "iban", F.concat(F.substring(norm, 1, 2), _alike(F.substring(norm, F.lit(3), F.length(norm)), digests)))
+        .when(kind == "iban", F.concat(F.substring(norm, 1, 2), _iban_digits(F.substring(norm, 1, 2), account), account))
         .when(kind == "secret", F.concat(_alike(norm, digests, secret=True), longer))
         .otherwise(_invented(kind, norm, digests, attempt))
     )
@@ -194,8 +214,8 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
 def _rendered(kind: Column, raw: Column, made: Column) -> Column:
     """The surrogate in the layout of the surface."""
-    digits = F.length(F.regexp_replace(raw, "[^0-9A-Za-z]", ""))
-    source = F.concat(F.when(digits > F.length(made), F.lit("1")).otherwise(F.lit("")), made)
+    digits, plain = F.length(F.regexp_replace(raw, "[^0-9A-Za-z]", "")), F.ltrim(made, F.lit("+"))
+    source = F.concat(F.when(digits > F.length(plain), F.lit("1")).otherwise(F.lit("")), plain)
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
     step = lambda s, c: F.when(
         c.rlike("[0-9A-Za-z]"), F.struct(F.concat(s["out"], F.substring(source, s["k"], F.lit(1))).alias("out"), (s["k"] + 1).alias("k"))
@@ -254,19 +274,22 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     parts = parts.withColumn("norm", F.when(F.col("kind").isNotNull(), _norm(F.col("kind"), F.col("raw"))))
     known = parts.join(mapping(parts, key), ["kind", "norm"], "left")
     made = known.repartition(shuffle_partitions(docs.sparkSession), "surface").select(  # few bytes, much work
-        "surface", F.struct("i", F.concat("glue", _rendered(F.col("kind"), F.col("raw"), F.col("surrogate"))).alias("out")).alias("p")
+        "surface", F.struct("i", F.concat("glue", _rendered(F.col("kind"), F.col("raw"), F.col("surrogate"))).alias("out")).alias("p"), F.col("kind").isNotNull().alias("is_entity")
     )
-    replacements = made.groupBy("surface").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["out"]), "").alias("new"))
+    replacements = made.groupBy("surface").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["out"]), "").alias("new"), F.max("is_entity").alias("is_entity"))
     replacements, _ = settle(replacements, "replacements")
     per_row = (
         hits.join(replacements, "surface").groupBy("_row")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "new"))), lambda p: p["new"]).alias("_new"))
+        .agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("pos", "new"))), lambda p: p["new"]).alias("_new"),
+            F.sum(F.col("is_entity").cast("int")).cast("int").alias("_entities"),
+        )
     )
     gaps = F.split(body, ANY, -1)
     rebuilt = F.array_join(F.zip_with(gaps, F.col("_new"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     done = found.join(per_row, "_row", "left").select(
         *[F.when(F.col("_new").isNull(), F.col(f"`{c}`")).otherwise(rebuilt).alias(c) if c == text else F.col(f"`{c}`") for c in names],
-        F.size("_found").alias("_n_entities"),
+        F.coalesce("_entities", F.lit(0)).alias("_n_entities"),
     )
     return rest.unionByName(done)
 

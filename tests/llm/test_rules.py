@@ -159,6 +159,32 @@ def test_upper_cased_copies_are_replaced_alike(spark):
     assert got[0].text.startswith('so token = "') and got[1].text.startswith('so TOKEN = "')
 
 
+def _luhn(number):
+    digits = [int(c) for c in reversed(number)]
+    return (sum(digits[::2]) + sum(d * 2 - 9 * (d > 4) for d in digits[1::2])) % 10 == 0
+
+
+def test_check_digits(spark):
+    """Numbers with a wrong check digit are no cards; surrogates of cards and bank accounts have right ones."""
+    rng = random.Random(8)
+    numbers = ["".join(rng.choice("0123456789") for _ in range(n)) for n in range(13, 20) for _ in range(30)]
+    accounts = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606"]
+    phones = ["+44 20 7946 0958", "+353 1 679 1200", "+4912345"]
+    rows = [(k, f"a {x} b", "en", "s", 1) for k, x in enumerate(numbers + accounts + phones)]
+    got = surrogates.with_surrogates(spark.createDataFrame(rows, DOCS), "k").orderBy("doc_id").collect()
+    for number, r in zip(numbers, got):
+        new = r.text[2:-2]
+        assert r.n_entities == _luhn(number) and len(new) == len(number) and (_luhn(new) and new != number if _luhn(number) else new == number)
+    assert 5 < sum(map(_luhn, numbers)) < 60
+    for old, r in zip(accounts, got[len(numbers) :]):
+        new, plain = r.text[2:-2], r.text[2:-2].replace(" ", "")
+        assert new[:2] == old[:2] and new != old and [c == " " for c in new] == [c == " " for c in old]
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    for old, r in zip(phones, got[-3:]):
+        new = r.text[2:-2]
+        assert new != old and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old) and new[: 3 if len(old) > 10 else 2] == old[: 3 if len(old) > 10 else 2]
+
+
 def test_surrogates_stay_distinct_when_they_collide(spark):
     """One-digit octets leave 9**4 addresses: thousands of entities collide at first."""
     ips = sorted({".".join(map(str, p)) for p in itertools.product(range(1, 8), repeat=4)})
