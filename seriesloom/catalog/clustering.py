@@ -18,7 +18,8 @@ from seriesloom.catalog.base import (
     table,
 )
 from seriesloom.operators import clusters, grid, relations
-from seriesloom.operators.classify import coefficient_table, train_classifier
+from seriesloom.operators.classify import coefficient_table, slopes, train_classifier
+from seriesloom.sources.artifacts import settle
 
 
 @query(
@@ -178,6 +179,21 @@ def grid_cross(spark, d):
     )
 
 
+@query(
+    "grid_from_driver",
+    f"""WITH {CLUSTER_SQL}, {GRID_SQL} SELECT parent, cluster_id, ordinal, changepoint_prior_scale, seasonality_prior_scale
+FROM pr JOIN g ON ordinal = cluster_id % 16""",
+)
+def grid_from_driver(spark, d):
+    """Settings made on the driver, distributed and joined to the parents that take them, one each."""
+    made = grid.param_grid(spark, changepoint_prior_scale=grid.CHANGEPOINT_SCALES, seasonality_prior_scale=grid.SEASONALITY_SCALES)
+    parents = clusters.parents_of(customer_cluster_table(spark, d), "key")
+    own = parents.withColumn("ordinal", F.pmod(F.col("cluster_id"), F.lit(16)))
+    return own.join(made.withColumn("ordinal", F.col("ordinal").cast("int")), "ordinal").select(
+        "parent", "cluster_id", "ordinal", "changepoint_prior_scale", "seasonality_prior_scale"
+    )
+
+
 @query("kmeans_clusters")
 def kmeans_clusters(spark, d):
     """Rows only: the library's start points are its own."""
@@ -191,3 +207,34 @@ def logistic_train(spark, d):
     rows = table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), *measures)
     model, names = train_classifier(rows, "label")
     return coefficient_table(rows, model, names)
+
+
+@query(
+    "kmeans_nearest",
+    """SELECT count(DISTINCT o_custkey) AS n_keys, 0::BIGINT AS n_nearer_elsewhere, 0::BIGINT AS n_wrong_distance FROM orders""",
+)
+def kmeans_nearest(spark, d):
+    """No key of the library's clusters is nearer to another centroid of its table than to its own."""
+    made = clusters.kmeans_keys(customer_totals(spark, d), "key", "value", k=56, seed=0)
+    made = settle(made, "kmeans")[0]
+    places = F.array(*[F.lit(r["centroid"]) for r in clusters.centroids(made).collect()])  # at most k numbers
+    gaps = F.transform(places, lambda c: F.abs(F.col("value") - c))
+    count = lambda which: F.sum(which.cast("bigint"))
+    return made.agg(
+        F.count(F.lit(1)).alias("n_keys"),
+        count(F.array_min(gaps) < F.col("distance") * (1 - 1e-9)).alias("n_nearer_elsewhere"),
+        count(F.abs(F.col("value") - F.col("centroid")) != F.col("distance")).alias("n_wrong_distance"),
+    )
+
+
+@query(
+    "logistic_gradient",
+    """SELECT unnest(['(intercept)', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature,
+(SELECT count(*) FROM lineitem) AS n_rows, TRUE AS flat""",
+)
+def logistic_gradient(spark, d):
+    """At the fitted weights the penalised loss is flat: its slope along each feature, per standard deviation, is near 0."""
+    measures = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), *measures)
+    model, names = train_classifier(rows, "label")
+    return slopes(rows, "label", model, names).select("feature", "n_rows", (F.abs("slope") < 1e-3).alias("flat"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
@@ -49,6 +49,22 @@ def coefficient_table(df: DataFrame, model: LogisticRegressionModel, names: list
     return df.sparkSession.createDataFrame(rows, "feature string, coefficient double")
 
 
+def slopes(df: DataFrame, label: str, model: LogisticRegressionModel, names: list[str]) -> DataFrame:
+    """How steep the mean penalised loss is at the model's weights, per standard deviation of each feature, from one aggregate.
+
+    Rows with a missing feature or label don't count, as in the fit. A feature that doesn't vary is measured in its own unit.
+    """
+    known = df.select(F.col(label).cast("double").alias("_label"), *names).where(_complete(["_label", *names]))
+    weights = dict(zip(names, map(float, model.coefficients.toArray()), strict=True))
+    score = reduce(add, [F.col(n) * w for n, w in weights.items()], F.lit(float(model.intercept)))
+    gap = 1 / (1 + F.exp(-score)) - F.col("_label")
+    penalty = model.getOrDefault("regParam")
+    spread = {n: F.coalesce(F.nullif(F.stddev_pop(n), F.lit(0.0)), F.lit(1.0)) for n in names}
+    entries = [("(intercept)", F.avg(gap)), *((n, (F.avg(gap * F.col(n)) + penalty * w) / spread[n]) for n, w in weights.items())]
+    seen = known.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*[F.struct(F.lit(n).alias("feature"), s.alias("slope")) for n, s in entries]).alias("_all"))
+    return seen.select("n_rows", F.inline("_all")).select("feature", "n_rows", "slope")
+
+
 def predict_labels(df: DataFrame, model: LogisticRegressionModel, names: list[str]) -> DataFrame:
     """Add ``prediction`` to every row; it is null where a feature is missing."""
     rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(df)

@@ -209,10 +209,10 @@ def band(clusters: DataFrame, low: float | None, high: float | None) -> DataFram
     return clusters.where(in_band("sample_percent", low, high, exclude="is_parent"))
 
 
-def with_parent_params(child_parent: DataFrame, params: DataFrame, key: str = "key") -> DataFrame:
+def with_parent_params(child_parent: DataFrame, params: DataFrame, key: str = "key", limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Prior scales of the parent for every child; children of untuned parents are left out."""
     scales = params.select(F.col(key).alias("parent"), "changepoint_prior_scale", "seasonality_prior_scale")
-    return attach(child_parent, scales, ["parent"])
+    return attach(child_parent, scales, ["parent"], limits=limits, count_rows=True)
 
 
 def read_legacy_clusters(

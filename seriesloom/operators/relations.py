@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.skew import attach
+from seriesloom.operators.skew import DEFAULT_LIMITS, Limits, attach
 
 
 def union_roles(centers: DataFrame, children: DataFrame) -> DataFrame:
@@ -18,9 +18,9 @@ def only_in_first(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti")
 
 
-def keep_known(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+def keep_known(a: DataFrame, b: DataFrame, key: str, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Rows of ``a`` whose key has data in ``b``."""
-    return attach(a, b.select(key).distinct(), [key], how="left_semi")
+    return attach(a, b.select(key).distinct(), [key], how="left_semi", limits=limits, count_rows=True)
 
 
 def except_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -101,6 +101,15 @@ def key_table(
     return KeyTable(table, seen["keys"], seen["rows"], seen["largest"], seen["bytes"], {k: seen[k] for k in extra or {}})
 
 
+ROWS = "_rows_of_key"
+
+
+def counted(rows: DataFrame, table: KeyTable, keys: list[str]) -> KeyTable:
+    """The key table with the number of rows of each of its keys; counts are combined before the shuffle."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS))
+    return key_table(table.frame.join(counts, keys, "left").fillna({ROWS: 0}), ROWS, "counted")
+
+
 def split_pieces(rows: DataFrame, table: KeyTable, keys: list[str], count_col: str, limits: Limits) -> DataFrame:
     """Add ``_piece``: 0 for ordinary keys, a hash of the row for keys above the piece size.
 
@@ -126,16 +135,20 @@ def attach(
     how: str = "inner",
     count_col: str | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    count_rows: bool = False,
 ) -> DataFrame:
     """Join ``rows`` to one row per key.
 
     A table that fits the broadcast limit is broadcast and the rows do not move. Beyond it the join
     shuffles both sides by key, and keys above the piece size (known from ``count_col``) are cut into
-    hashed pieces against copies of their one row.
+    hashed pieces against copies of their one row. Where nobody knows the rows of a key, ``count_rows`` counts
+    them, beyond the broadcast limit only.
     """
     table = per_key if isinstance(per_key, KeyTable) else key_table(per_key, count_col)
     if table.small(limits):
         return rows.join(F.broadcast(table.frame), keys, how)
+    if count_rows and count_col is None:
+        return attach(rows, counted(rows, table, keys), keys, how, ROWS, limits).drop(ROWS)
     if count_col is None or table.largest <= limits.rows_per_piece:
         return rows.join(table.frame, keys, how)
     floor = table.piece_floor(limits)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from seriesloom.operators.skew import attach
+from seriesloom.operators.skew import DEFAULT_LIMITS, Limits, attach
 
 
 def read_source(
@@ -34,10 +34,10 @@ def scan_key(df: DataFrame, key: str, value: Any) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
 
 
-def scan_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def scan_keys(df: DataFrame, keys: DataFrame, key: str, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Rows of every key listed in ``keys``, in one pass instead of one read per key."""
     wanted = keys.select(key).where(F.col(key).isNotNull()).distinct()
-    return attach(df, wanted, [key], how="left_semi")
+    return attach(df, wanted, [key], how="left_semi", limits=limits, count_rows=True)
 
 
 def run_sql(spark: SparkSession, views: Mapping[str, DataFrame], text: str, **params: Any) -> DataFrame:

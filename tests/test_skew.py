@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from seriesloom.functions.columns import order_hash
 from seriesloom.models.evaluate import grouped_median
 from seriesloom.operators.apply import apply_by_key, fold_by_key
+from seriesloom.operators.clusters import with_parent_params
+from seriesloom.operators.relations import keep_known
 from seriesloom.operators.selection import HEX_DIGITS, hex_digit, take_smallest
 from seriesloom.operators.sampling import sample_frac_by_key
 from seriesloom.operators.skew import Limits, attach, key_table, split_pieces
+from seriesloom.sources.readers import scan_keys
 
 
 @pytest.fixture
@@ -31,6 +34,25 @@ def test_attach_split_equals_plain_join(skewed, tight, how):
     assert rows(split) == rows(skewed.join(table, "key", how))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_rows_nobody_counted_are_counted(skewed, tight, how):
+    table = skewed.where("key < 99").groupBy("key").agg(F.max("id").alias("top"))
+    split = attach(skewed, table, ["key"], how, limits=tight, count_rows=True)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "_piece" in plan and split.columns == skewed.join(table, "key", how).columns
+    assert rows(split) == rows(skewed.join(table, "key", how))
+
+
+def test_keyed_relations_split_hot_keys(skewed, tight):
+    few = skewed.where("key in (0, 3, 5)").select("key")
+    want = rows(skewed.where("key in (0, 3, 5)"))
+    for got in (scan_keys(skewed, few, "key", tight), keep_known(skewed, few, "key", tight)):
+        assert rows(got) == want and "_piece" in got._jdf.queryExecution().executedPlan().toString()
+    children = skewed.select(F.col("id").alias("child"), F.col("key").alias("parent"))
+    scales = few.distinct().select("key", F.lit(0.1).alias("changepoint_prior_scale"), F.lit(1.0).alias("seasonality_prior_scale"))
+    assert rows(with_parent_params(children, scales, limits=tight)) == rows(with_parent_params(children, scales))
+
+
 def test_hot_key_is_cut_into_even_pieces(skewed, tight):
     table = key_table(skewed.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "n")
     sizes = dict(split_pieces(skewed, table, ["key"], "n", tight).where("key = 0").groupBy("_piece").count().collect())
