@@ -186,11 +186,13 @@ class Codec:
                 self.lossy.add(unit)
             self.known[unit] = np.array(ids, dtype="<u4").tobytes()
 
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, bool, bool]]:
-        """Ids as little-endian 32-bit words, whether they decode to the normalised text, whether the library agrees."""
-        cut = []
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, bool, bool | None]]:
+        """Ids as little-endian 32-bit words, whether they decode to the normalised text, whether the library agrees: word by word
+        in plain texts, where every unit is a word that was compared; as a whole in others. Null without the library."""
+        cut, plain = [], []
         for text in texts:
-            if text and self._plain(text):
+            plain.append(not text or self._plain(text))
+            if text and plain[-1]:
                 cut.append((MARK + text.replace(" ", f" {MARK}")).split(" "))
             else:
                 cut.append(self.units(text))
@@ -202,9 +204,19 @@ class Codec:
                 self.learn(new)
                 if not need <= self.known.keys():  # the store was emptied
                     self.learn(need.difference(self.known))
-            for units in part:
+            for units, text, words_only in zip(part, texts[a : a + 64], plain[a : a + 64]):
                 ids = b"".join(map(self.known.__getitem__, units))
-                yield ids, not self.lossy or self.lossy.isdisjoint(units), not self.unequal or self.unequal.isdisjoint(units)
+                if words_only:
+                    whole, equal = not self.lossy or self.lossy.isdisjoint(units), not self.unequal or self.unequal.isdisjoint(units)
+                else:
+                    whole = self.decode(ids) == self._spoken("".join(units))
+                    equal = self.library is None or np.array(self.library.encode(text, num_threads=1), dtype="<u4").tobytes() == ids
+                yield ids, whole, equal if self.library is not None else None
+
+    def _spoken(self, normal: str) -> str:
+        """A normalised text as decoding gives it: blanks for markers, without the one put before it."""
+        out = normal.replace(MARK, " ")
+        return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
 
     def decode(self, ids: bytes) -> str:
         out = b"".join([self.bytes[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode(errors="replace")
@@ -223,8 +235,8 @@ def codec(path: str | None, threads: int) -> Codec:
 def encode(docs: DataFrame, model_path: str | None = None, threads: int = 2, with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_crc32, round_trip, parity`` per row, and the ids (binary) if asked for.
 
-    ``round_trip``: the ids decode to the normalised text. ``parity``: every word has the ids that the sentencepiece library
-    gives it. Null and empty texts have no ids. Repeated rows come back repeated.
+    ``round_trip``: the ids decode to the normalised text. ``parity``: the sentencepiece library gives the same ids, to every word
+    of a text of single blanks, to other texts as a whole. Null and empty texts have no ids. Repeated rows come back repeated.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
