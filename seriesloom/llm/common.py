@@ -13,7 +13,6 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seriesloom.sources.artifacts import settle
 
@@ -116,5 +115,13 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(schema))
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that a column of ``df`` has already, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import columns_of
+from seriesloom.llm.common import columns_of, free_names
 from seriesloom.sources.artifacts import settle
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -62,34 +62,36 @@ def text_statistics(text: Column, words: Column, lines: Column, repeats: Column)
 
 
 def with_statistics(docs: DataFrame, text: str = "text", into: str = "_stats") -> DataFrame:
-    """Add a struct of statistics per row. A null text counts as an empty one, whose statistics are all 0.
+    """Add a struct of statistics per row, under a name that no column has. A null text counts as an empty one, whose statistics
+    are all 0. Other columns pass as they are, whatever their names.
 
     The single-element explodes keep the optimiser from writing the split text into every lambda.
     """
+    _body, _parts, _windows, _repeats = free_names(docs, "_body", "_parts", "_windows", "_repeats")
     one = lambda x: F.explode(F.array(x))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    words = F.filter(F.split(F.col("_body"), f"{SPACE}+"), lambda w: w != "")
-    lines = F.filter(F.split(F.col("_body"), "\n"), lambda line: line.rlike(WORD))
-    at = lambda i: F.get(F.col("_parts.words"), i)
+    words = F.filter(F.split(F.col(_body), f"{SPACE}+"), lambda w: w != "")
+    lines = F.filter(F.split(F.col(_body), "\n"), lambda line: line.rlike(WORD))
+    at = lambda i: F.get(F.col(f"{_parts}.words"), i)
     windows = F.when(
-        F.size("_parts.words") >= 3,
+        F.size(f"{_parts}.words") >= 3,
         F.sort_array(
             F.transform(
-                F.sequence(F.lit(0), F.size("_parts.words") - 3),
+                F.sequence(F.lit(0), F.size(f"{_parts}.words") - 3),
                 lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i")),
             )
         ),
     ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    h = lambda j: F.get(F.col("_windows"), j)["h"]
+    h = lambda j: F.get(F.col(_windows), j)["h"]
     repeated = F.sort_array(
-        F.transform(F.filter(F.col("_windows"), lambda w, j: (w["h"] == h(j - 1)) | (w["h"] == h(j + 1))), lambda w: w["i"])
+        F.transform(F.filter(F.col(_windows), lambda w, j: (w["h"] == h(j - 1)) | (w["h"] == h(j + 1))), lambda w: w["i"])
     )
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    step = docs.select(*kept, body.alias("_body"))
-    step = step.select(*kept, "_body", one(F.struct(words.alias("words"), lines.alias("lines"))).alias("_parts"))
-    step = step.select(*kept, "_body", "_parts", one(windows).alias("_windows"))
-    step = step.select(*kept, "_body", "_parts", one(repeated).alias("_repeats"))
-    made = text_statistics(F.col("_body"), F.col("_parts.words"), F.col("_parts.lines"), F.col("_repeats"))
+    step = docs.select(*kept, body.alias(_body))
+    step = step.select(*kept, _body, one(F.struct(words.alias("words"), lines.alias("lines"))).alias(_parts))
+    step = step.select(*kept, _body, _parts, one(windows).alias(_windows))
+    step = step.select(*kept, _body, _parts, one(repeated).alias(_repeats))
+    made = text_statistics(F.col(_body), F.col(f"{_parts}.words"), F.col(f"{_parts}.lines"), F.col(_repeats))
     return step.select(*kept, F.struct(*[c.alias(k) for k, c in made.items()]).alias(into))
 
 
@@ -240,12 +242,12 @@ def verdict(rules: Sequence[Rule], stats: str = "_stats") -> Column:
     return out.otherwise(F.lit(True))
 
 
-def labelled_statistics(scored: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled_statistics(scored: DataFrame, labels: DataFrame, stats: str = "_stats") -> DataFrame:
     """Rows that carry a label. Documents that fail the base rules teach nothing, they are gone anyway."""
     known = columns_of(labels, "doc_id", "quality").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     return (
-        scored.where(~base_failed("_stats")).select("doc_id", "_stats").join(known, "doc_id")
-        .select("doc_id", (F.col("_quality") == 0).cast("int").alias("bad"), "_stats")
+        scored.where(~base_failed(stats)).select("doc_id", stats).join(known, "doc_id")
+        .select("doc_id", (F.col("_quality") == 0).cast("int").alias("bad"), stats)
     )
 
 
@@ -253,7 +255,8 @@ def judge(docs: DataFrame, labels: DataFrame, spec: CoveringSpec = CoveringSpec(
     """``doc_id``, the statistics, ``base_failed`` and ``kept`` for each row of ``docs``.
 
     Null or empty texts fail the base rules. Repeated rows are judged each by itself; other columns are ignored. Without
-    usable labels the base rules alone decide.
+    usable labels the base rules alone decide. An empty table gives no rows. Of equally good thresholds the first statistic's
+    lowest is taken.
     """
     scored, _ = settle(with_statistics(columns_of(docs, "doc_id", "text")).drop("text"), "statistics")
     rules = learn_rules(labelled_statistics(scored, labels), spec)
@@ -264,6 +267,7 @@ def judge(docs: DataFrame, labels: DataFrame, spec: CoveringSpec = CoveringSpec(
 
 def keep_good(docs: DataFrame, labels: DataFrame, spec: CoveringSpec = CoveringSpec()) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. The text is read and measured once."""
-    scored, _ = settle(with_statistics(docs), "statistics")
-    rules = learn_rules(labelled_statistics(scored, labels), spec)
-    return columns_of(scored.where(verdict(rules)), *docs.columns)
+    (stats,) = free_names(docs, "_stats")
+    scored, _ = settle(with_statistics(docs, into=stats), "statistics")
+    rules = learn_rules(labelled_statistics(scored, labels, stats), spec, stats)
+    return columns_of(scored.where(verdict(rules, stats)), *docs.columns)

@@ -12,6 +12,10 @@ and bank accounts have right check digits too, bank accounts keep their country
 
 Secrets are letters and digits (tokens also ``_`` and ``-``) behind ``password =`` or ``token =`` in any case, with or without
 blanks and quotes, and access keys. Names are one or two words behind a title, titles and names written as usual or in capitals.
+A name of two words is replaced alike where its document has it without the title; such mentions aren't counted.
+
+Addresses of version 6 are eight groups, or three groups or more with a digit among them and ``::`` inside or behind. Groups of
+zeros stay, so that a short form stays short.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import columns_of, shuffle_partitions
+from seriesloom.llm.common import columns_of, free_names, shuffle_partitions
 from seriesloom.sources.artifacts import settle
 
 # Titles that announce a name, by grammatical gender, and the syllables of invented names by script.
@@ -46,6 +50,11 @@ _NAME, _RAISED = r"\p{Lu}\p{Ll}++", r"\p{Lu}{2,}+(?!\p{Ll})"
 _TITLE = "(?:" + "|".join(sorted(FEMALE_FORMS + MALE_FORMS, key=len, reverse=True)) + ")"
 _PASSWORD, _TOKEN = (rf"(?i:{word})\s*+=\s*+[\"']?+" for word in ("password", "token"))
 _IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IP6 = (
+    rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*[0-9])(?!(?:[0-9A-Fa-f]*:){{8}})"
+    rf"(?:(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}|{_HEX}:(?::{_HEX}){{2,6}}|(?:{_HEX}:){{3,6}}:))(?![\w:]|\.\d)"
+)
 _SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?:(?:\d{4}[ -]){3}\d{4}|\d{13,19})(?!\d)"
 _LOCAL = r"\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
@@ -57,6 +66,7 @@ PATTERNS = {
     "token": rf"{_TOKEN}[0-9A-Za-z_-]{{16,}}+",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv6": _IP6,
     "ip": rf"(?<![\d.]){_IP}",
     "ssn": rf"(?<![\d-]){_SSN}",
     "phone": r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
@@ -68,7 +78,7 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 MAY_HOLD = "[0-9@=]|AKIA|(?=[" + "".join(sorted({t[0] for t in FEMALE_FORMS + MALE_FORMS})) + "])" + _TITLE + r"\.? \p{Lu}"
 ANNOUNCED = f"^(?:{_PASSWORD}|{_TOKEN})"
-SHAPED = {k: f"^(?:{PATTERNS[k]})$" for k in ("email", "ip", "ssn", "phone", "access_key", "card", "iban", "name")}
+SHAPED = {k: f"^(?:{PATTERNS[k]})$" for k in ("email", "ipv6", "ip", "ssn", "phone", "access_key", "card", "iban", "name")}
 
 
 def kind_of(surface: Column) -> Column:
@@ -78,7 +88,7 @@ def kind_of(surface: Column) -> Column:
     digits = F.regexp_replace(bare, r"\D", "")
     checked = _luhn_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1)
     out = F.when(bare.rlike(SHAPED["email"]), "email")
-    for kind in ("access_key", "ip", "ssn", "phone", "card", "iban", "name"):
+    for kind in ("access_key", "ipv6", "ip", "ssn", "phone", "card", "iban", "name"):
         known = F.when((bare != surface) | checked, kind) if kind == "card" else F.lit(kind)
         out = out.when(bare.rlike(SHAPED[kind]), known)
     return out.otherwise("secret")
@@ -97,6 +107,14 @@ def _parts(surface: Column, kind: Column) -> Column:
     return F.when(kind == "name", named).otherwise(whole)
 
 
+def _hextets(raw: Column) -> Column:
+    """The eight groups of a version 6 address, small letters, without leading zeros."""
+    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(raw, "::", 1)), F.when(raw.contains("::"), groups(F.substring_index(raw, "::", -1))).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))
+    return F.transform(F.concat(left, zeros, right), lambda g: F.regexp_replace(F.lower(g), "^0+(?=.)", ""))
+
+
 def _norm(kind: Column, raw: Column) -> Column:
     """What makes two surfaces the same entity: letters without case (those of secrets only if they are hexadecimal), numbers
     without layout or the +1 of a country; the + of others stays."""
@@ -108,6 +126,7 @@ def _norm(kind: Column, raw: Column) -> Column:
     return (
         F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
+        .when(kind == "ipv6", F.array_join(_hextets(raw), ":"))
         .when((kind == "secret") & ~raw.rlike("^(?:[0-9a-f]{8,}|[0-9A-F]{8,})$"), raw).when(kind.isin("ip", "access_key"), raw).otherwise(F.lower(raw))
     )
 
@@ -163,6 +182,12 @@ def _octet(octet: Column, b: Column, wide: Column) -> Column:
     return drawn.cast("string")
 
 
+def _hextet(group: Column, digests: Column, i: Column, wide: Column) -> Column:
+    """As many hexadecimal digits as before, or four; no leading zero, but zeros stay."""
+    drawn = [_pick("123456789abcdef" if k == 0 else "0123456789abcdef", _byte(digests, i * 4 + k)) for k in range(4)]
+    return F.when(group == "0", group).otherwise(F.substring(F.concat(*drawn), F.lit(1), F.when(wide, 4).otherwise(F.length(group))))
+
+
 def _invented(kind: Column, norm: Column, digests: Column, attempt: Column) -> Column:
     script = F.when(norm.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
     out = None
@@ -201,6 +226,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return (
         F.when(kind == "email", mail)
         .when(kind == "ip", F.array_join(octets, "."))
+        .when(kind == "ipv6", F.array_join(F.transform(F.split(norm, ":"), lambda g, i: _hextet(g, digests, i, attempt >= PATIENCE)), ":"))
         .when(kind == "card", F.concat(body, _luhn_digit(body)))
         .when(kind == "ssn", F.concat(F.lit("9"), _alike(rest, digests)))
         .when((kind == "phone") & norm.startswith("+"), F.concat(F.substring(norm, F.lit(1), prefix), _alike(F.substring(norm, prefix + 1, F.length(norm)), digests)))
@@ -212,8 +238,16 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     )
 
 
+def _padded(group: Column, like: Column) -> Column:
+    return F.lpad(group, F.greatest(F.length(group), F.length(like)), "0")
+
+
 def _rendered(kind: Column, raw: Column, made: Column) -> Column:
     """The surrogate in the layout of the surface."""
+    own, new = F.split(raw, ":"), F.split(made, ":")
+    before = F.size(F.split(F.substring_index(raw, "::", 1), ":"))  # groups left of the shortening
+    grouped = F.transform(own, lambda g, i: F.when(g == "", g).otherwise(_padded(F.get(new, F.when(i < before, i).otherwise(8 - F.size(own) + i)), g)))
+    address = F.array_join(grouped, ":")
     digits, plain = F.length(F.regexp_replace(raw, "[^0-9A-Za-z]", "")), F.ltrim(made, F.lit("+"))
     source = F.concat(F.when(digits > F.length(plain), F.lit("1")).otherwise(F.lit("")), plain)
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
@@ -225,6 +259,8 @@ def _rendered(kind: Column, raw: Column, made: Column) -> Column:
         F.when(kind.isin("first_f", "first_m", "surname"), F.initcap(made)).otherwise(made)
     )
     return F.when(kind.isNull(), raw).when(kind.isin("phone", "card", "ssn", "iban"), laid).when(
+        kind == "ipv6", F.when(raw == F.lower(raw), address).otherwise(F.upper(address))
+    ).when(
         ((kind == "secret") & (made != F.lower(made))) | kind.isin("access_key", "ip"), made
     ).otherwise(cased)
 
@@ -233,7 +269,7 @@ def mapping(parts: DataFrame, key: str) -> DataFrame:
     """``kind, norm, surrogate`` for the distinct entities of ``kind, norm``, free of collisions.
 
     Surrogates that collide are drawn again, after ``PATIENCE`` attempts from wider forms: longer names, mail addresses and secrets,
-    octets of three digits. The forms left are phones, cards, social security numbers, bank accounts and access keys, which keep their
+    octets of three and groups of four digits. The forms left are phones, cards, social security numbers, bank accounts and access keys, which keep their
     length: a corpus that holds more distinct ones than the form has values is refused with an error.
     """
     entities = parts.where("kind is not null").select("kind", "norm").distinct()
@@ -257,50 +293,60 @@ def mapping(parts: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"no free surrogates left for {sorted((r['kind'], r['count']) for r in full)}")
 
 
-def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with surrogates in the text and ``_n_entities``; rows without entities pass as they are.
+def replace_entities(docs: DataFrame, key: str, text: str = "text", into: str = "_n_entities") -> DataFrame:
+    """``docs`` with surrogates in the text and their number ``into``, a name that no column has; rows without entities pass as
+    they are, other columns too, whatever their names.
 
     Null texts stay null. Rows are told apart by a number of their own, so repeated rows and document ids are harmless. Only
-    rows that can hold an entity are written and joined.
+    rows that can hold an entity are written and joined. A row's names without their title are looked for in that row only.
     """
     body, names = F.col(f"`{text}`"), docs.columns
+    row, own, new, n, spoken = free_names(docs, "_row", "_found", "_new", "_entities", "_names")
     held = F.coalesce(body.rlike(MAY_HOLD), F.lit(False))
-    rest = docs.where(~held).withColumn("_n_entities", F.lit(0))
-    found = docs.where(held).withColumn("_row", F.monotonically_increasing_id()).withColumn("_found", F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
+    rest = docs.where(~held).withColumn(into, F.lit(0))
+    found = docs.where(held).withColumn(row, F.monotonically_increasing_id()).withColumn(own, F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
     found, _ = settle(found, "found")
-    hits = found.where(F.size("_found") > 0).select("_row", F.posexplode("_found").alias("pos", "surface"))
+    hits = found.where(F.size(own) > 0).select(row, F.posexplode(own).alias("pos", "surface"))
     surfaces, _ = settle(hits.select("surface").distinct().withColumn("form", kind_of(F.col("surface"))), "surfaces")
     parts = surfaces.select("surface", F.explode(_parts(F.col("surface"), F.col("form"))).alias("p")).select("surface", "p.i", "p.kind", "p.raw", "p.glue")
     parts = parts.withColumn("norm", F.when(F.col("kind").isNotNull(), _norm(F.col("kind"), F.col("raw"))))
     known = parts.join(mapping(parts, key), ["kind", "norm"], "left")
     made = known.repartition(shuffle_partitions(docs.sparkSession), "surface").select(  # few bytes, much work
-        "surface", F.struct("i", F.concat("glue", _rendered(F.col("kind"), F.col("raw"), F.col("surrogate"))).alias("out")).alias("p"), F.col("kind").isNotNull().alias("is_entity")
-    )
-    replacements = made.groupBy("surface").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["out"]), "").alias("new"), F.max("is_entity").alias("is_entity"))
-    replacements, _ = settle(replacements, "replacements")
+        "surface", F.struct("i", F.concat("glue", _rendered(F.col("kind"), F.col("raw"), F.col("surrogate"))).alias("out"), "raw").alias("p"),
+        F.col("kind").isNotNull().alias("is_entity"), F.col("kind").isin("first_f", "first_m").alias("has_first"),
+    )
+    put = lambda x, field: F.array_join(F.transform(x, lambda p: p[field]), "")
+    replacements = made.groupBy("surface").agg(F.sort_array(F.collect_list("p")).alias("ps"), F.max("is_entity").alias("is_entity"), F.max("has_first").alias("full"))
+    tail = F.slice("ps", 2, 2)
+    called = F.struct(F.array_join(F.transform(tail, lambda p: p["raw"]), " ").alias("old"), F.ltrim(put(tail, "out")).alias("new"))
+    replacements, _ = settle(replacements.select("surface", put(F.col("ps"), "out").alias("new"), "is_entity", F.when(F.col("full"), called).alias("name")), "replacements")
     per_row = (
-        hits.join(replacements, "surface").groupBy("_row")
+        hits.join(replacements, "surface").groupBy(row)
         .agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("pos", "new"))), lambda p: p["new"]).alias("_new"),
-            F.sum(F.col("is_entity").cast("int")).cast("int").alias("_entities"),
+            F.transform(F.sort_array(F.collect_list(F.struct("pos", "new"))), lambda p: p["new"]).alias(new),
+            F.sum(F.col("is_entity").cast("int")).cast("int").alias(n),
+            F.sort_array(F.collect_set("name")).alias(spoken),
         )
     )
     gaps = F.split(body, ANY, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.col("_new"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    done = found.join(per_row, "_row", "left").select(
-        *[F.when(F.col("_new").isNull(), F.col(f"`{c}`")).otherwise(rebuilt).alias(c) if c == text else F.col(f"`{c}`") for c in names],
-        F.coalesce("_entities", F.lit(0)).alias("_n_entities"),
+    rebuilt = F.array_join(F.zip_with(gaps, F.col(new), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    mention = lambda p: F.concat(F.lit(r"(?<!\p{L})"), p["old"], F.lit(r"(?!\p{L})"))
+    rebuilt = F.when(F.size(spoken) > 0, F.aggregate(spoken, rebuilt, lambda s, p: F.regexp_replace(s, mention(p), p["new"]))).otherwise(rebuilt)
+    done = found.join(per_row, row, "left").select(
+        *[F.when(F.col(new).isNull(), F.col(f"`{c}`")).otherwise(rebuilt).alias(c) if c == text else F.col(f"`{c}`") for c in names],
+        F.coalesce(n, F.lit(0)).alias(into),
     )
     return rest.unionByName(done)
 
 
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """``doc_id, text, n_entities`` of every row."""
-    return replace_entities(columns_of(docs, "doc_id", "text"), key).withColumnRenamed("_n_entities", "n_entities")
+    return replace_entities(columns_of(docs, "doc_id", "text"), key, into="n_entities")
 
 
 def with_surrogate_texts(docs: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs`` with surrogates in ``text``; ``n_chars`` is counted anew where entities were found."""
-    done = replace_entities(docs, key)
-    count = F.when(F.col("_n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", count).drop("_n_entities")
+    (n,) = free_names(docs, "_n_entities")
+    done = replace_entities(docs, key, into=n)
+    count = F.when(F.col(n) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", count).drop(n)

@@ -75,6 +75,20 @@ def test_rules_are_learned_in_order_and_generalise(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, q, _ in labels if q}
 
 
+def test_rules_leave_columns_with_clashing_names_alone(spark):
+    rows, labels = labelled()
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, text int")
+    plain = spark.createDataFrame(rows, DOCS)
+    extra = {"_body": "b", "_parts": "p", "_windows": "w", "_repeats": "r", "_stats": "s", "_STATS_": "t", "bad": "x", "_quality": "q", "a.b": "d"}
+    docs = plain.select("*", *[F.lit(v).alias(k) for k, v in extra.items()])
+    kept = quality.keep_good(docs, marks)
+    assert kept.columns == docs.columns
+    assert {tuple(r)[5:] for r in kept.collect()} == {tuple(extra.values())}
+    assert {r.doc_id for r in kept.collect()} == {k for k, q, _ in labels if q}
+    assert Counter(quality.judge(docs, marks).collect()) == Counter(quality.judge(plain, marks).collect())
+    assert quality.judge(docs.limit(0), marks).count() == 0 and quality.keep_good(docs.limit(0), marks).count() == 0
+
+
 def test_labels_of_one_kind_make_no_rules(spark):
     rows, labels = labelled()
     ones = spark.createDataFrame([(k, 1) for k, _, _ in labels], "doc_id long, quality int")
@@ -159,6 +173,51 @@ def test_upper_cased_copies_are_replaced_alike(spark):
     assert got[0].text.startswith('so token = "') and got[1].text.startswith('so TOKEN = "')
 
 
+ADDRESSES = ["2001:db8:85a3:0:0:8a2e:370:7334", "2001:0DB8:85A3:0000:0000:8A2E:0370:7334", "2001:db8:85a3::8a2e:370:7334", "fe80:1:2::", "1::2:3:4"]
+NO_ADDRESSES = ["std::vector", "a::b", "12:30:45", "::1", "00:1a:2b:3c:4d:5e", "1:2:3:4:5:6:7:8:9", "x2001:db8::1:2", "face::bed:cafe"]
+
+
+def test_addresses_of_version_6(spark):
+    import ipaddress
+
+    rows = [(k, f"at {x}, ok", "en", "s", 1) for k, x in enumerate(ADDRESSES + NO_ADDRESSES)]
+    got = [r.text[3:-4] for r in surrogates.with_surrogates(spark.createDataFrame(rows, DOCS), "k").orderBy("doc_id").collect()]
+    assert got[len(ADDRESSES) :] == NO_ADDRESSES
+    made = [ipaddress.ip_address(x) for x in got[: len(ADDRESSES)]]
+    assert made[0] == made[1] == made[2] and len(set(made)) == 3 and not {*made} & set(map(ipaddress.ip_address, ADDRESSES))
+    for old, new in zip(ADDRESSES, got):
+        assert re.sub("[0-9A-Fa-f]", "x", old) == re.sub("[0-9A-Fa-f]", "x", new) and (old == old.lower()) == (new == new.lower())
+    short = spark.createDataFrame([("ipv6", f"{a}:0:0:0:0:0:{b}:{c}") for a in "123456789abcdef" for b in "123456789abcdef" for c in "123456789abcdef"], "kind string, norm string")
+    made = [r.surrogate for r in surrogates.mapping(short, "k").collect()]
+    assert len(made) == len(set(made)) == 15**3 and not set(made) & {r.norm for r in short.collect()}
+
+
+def test_names_are_replaced_where_the_title_is_missing(spark):
+    rows = [
+        (1, "Mrs. Anna Bell came. Anna Bell, and Anna Bellman, Joanna Bell, Anna. Mr. John Bell saw Anna Bell; John Bell left.", "en", "s", 1),
+        (2, "Anna Bell has no title here.", "en", "s", 1), (3, "MRS. ANNA BELL: ANNA BELL", "en", "s", 1), (4, "Госпожа Анна Белова. Анна Белова!", "ru", "s", 1),
+    ]
+    a, b, c, d = surrogates.with_surrogates(spark.createDataFrame(rows, DOCS), "k").orderBy("doc_id").collect()
+    m = re.fullmatch(r"Mrs\. (\w+ \w+) came\. (\w+ \w+), and Anna Bellman, Joanna Bell, Anna\. Mr\. (\w+ \w+) saw (\w+ \w+); (\w+ \w+) left\.", a.text)
+    assert m and m[1] == m[2] == m[4] != "Anna Bell" and m[3] == m[5] != "John Bell" and m[1].split()[1] == m[3].split()[1]
+    assert a.n_entities == 2 and b.text == rows[1][1]
+    assert c.text == f"MRS. {m[1].upper()}: {m[1].upper()}"
+    assert re.fullmatch(r"Госпожа (\w+ \w+)\. \1!", d.text) and "Анна" not in d.text
+
+
+def test_surrogates_leave_columns_with_clashing_names_alone(spark):
+    long = "Mail anna@mail.com. " + "plain words go on " * 60_000 + "Mrs. Anna Bell"
+    docs = spark.createDataFrame([*PRIVATE, (77, long, "en", "s", len(long)), (77, long, "en", "s", len(long))], DOCS)
+    extra = {"_row": "r", "_found": "f", "_N_entities": "n", "_new": "w", "_entities": "e", "_names": "m", "pos": "p", "surface": "s", "a.b": "d"}
+    wide = docs.select("*", *[F.lit(v).alias(k) for k, v in extra.items()])
+    got, plain = surrogates.with_surrogate_texts(wide, "k"), surrogates.with_surrogate_texts(docs, "k")
+    assert got.columns == wide.columns
+    assert Counter(tuple(r)[:5] for r in got.collect()) == Counter(map(tuple, plain.collect()))
+    assert {tuple(r)[5:] for r in got.collect()} == {tuple(extra.values())}
+    last = [r.text for r in plain.where("doc_id = 77").collect()]
+    assert last[0] == last[1] and "anna@" not in last[0] and not last[0].endswith("Anna Bell") and len(last[0]) > len(long) // 2
+
+
 def _luhn(number):
     digits = [int(c) for c in reversed(number)]
     return (sum(digits[::2]) + sum(d * 2 - 9 * (d > 4) for d in digits[1::2])) % 10 == 0
