@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.blocks import Words
@@ -195,17 +195,34 @@ def join_rings(reps: np.ndarray, sets: list[np.ndarray], inner: np.ndarray, dist
         root[np.isin(root, root[hit])] = low
 
 
-def groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES, part: int = PART) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row.
+def pairs_within(reps: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs of one of ``first`` and one of ``second``, smaller representative first; what two sets have in common is
+    counted over the postings of their shingles."""
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(reps)), sizes)
+    posting = owner[np.argsort(ids, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(ids))])
+    firsts = np.concatenate([[0], np.cumsum(sizes)])
+    a, b = [], []
+    for z in np.flatnonzero(first).tolist():
+        met = np.concatenate([posting[starts[i] : starts[i + 1]] for i in ids[firsts[z] : firsts[z + 1]]])
+        hit = linked(np.bincount(met, minlength=len(reps)), sizes, sizes[z], percent) & second & (reps != reps[z])
+        a.append(np.minimum(reps[hit], reps[z]))
+        b.append(np.maximum(reps[hit], reps[z]))
+    return np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
 
-    Null and empty texts have an empty set and are linked with nothing; a text of fewer words than a shingle has is one
-    shingle. Repeated rows have the same set. A row without an id is a group of its own, without a number. Shingles are
-    compared by 64-bit hashes.
-    """
+
+def _represented(docs: DataFrame, width: int, percent: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """A row per document, and a row per distinct set that may be linked, under the smallest id that has it."""
     found, _ = settle(_sets(columns_of(docs, "doc_id", "text"), width, percent, chunk_bytes), "shingles")
     carriers = found.where("hashes is not null and doc_id is not null")
     sets = carriers.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("score").alias("score"), F.min("hashes").alias("hashes"), F.min("rare").alias("rare"))
-    sets, _ = settle(sets, "sets")
+    return found, settle(sets, "sets")[0]
+
+
+def _near_pivots(sets: DataFrame, percent: int) -> DataFrame:
+    """Every set of a region with its exact distance to the pivot."""
     rare, _ = settle(_rare_rows(sets), "rare")
     pivots = rare.groupBy("shingle").agg(F.max(F.struct("score", (-F.col("rep")).alias("rep"))).alias("top"), F.count(F.lit(1)).alias("k"))
     pivots, _ = settle(pivots.where("k > 1").select("shingle", (-F.col("top.rep")).alias("pivot")), "pivots")
@@ -215,24 +232,99 @@ def groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, chunk_
     pairs = regions.join(bodies, "rep").join(bodies.select(F.col("rep").alias("pivot"), F.col("hashes").alias("pivot_hashes")), "pivot")
     near, _ = settle(_measured(pairs), "near")
     near = near.withColumn("inner", linked(F.col("common"), F.col("n"), F.col("pivot_n"), percent))
-    near = near.withColumn("distance", 1 - F.col("common") / (F.col("n") + F.col("pivot_n") - F.col("common")))
-    edges = near.where("inner").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    return near.withColumn("distance", 1 - F.col("common") / (F.col("n") + F.col("pivot_n") - F.col("common")))
+
 
+def _ring(percent: int) -> Column:
     reach = 1 - percent / 100
-    outside = near.where("not inner").groupBy("pivot").agg(F.min("distance").alias("nearest"))
-    outside, _ = settle(outside, "outside")
-    ring = F.when(F.col("inner"), 0).otherwise(1 + F.floor((F.col("distance") - reach) / (reach + 1e-9)).cast("int"))
-    rings = near.join(outside, "pivot").where(~F.col("inner") | (F.col("distance") >= F.col("nearest") - reach - 1e-9))
-    rings, _ = settle(rings.select("pivot", "rep", "distance", ring.alias("ring")), "rings")
+    return F.when(F.col("inner"), 0).otherwise(1 + F.floor((F.col("distance") - reach) / (reach + 1e-9)).cast("int")).alias("ring")
+
+
+def _tiles(rings: DataFrame, bodies: DataFrame, part: int, which: Column) -> DataFrame:
+    """Pairs of parts of the same or neighbouring rings, with the sets of both; ``which`` tells ``ring, other`` that are wanted."""
     sizes = rings.groupBy("pivot", "ring").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
     sizes, _ = settle(sizes, "ring_sizes")
     mine = rings.join(sizes, ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     others = sizes.select("pivot", F.col("ring").alias("other"), F.col("parts").alias("other_parts"))
-    around = mine.join(others, "pivot").where((F.col("other") - F.col("ring")).between(-1, 1) & (F.col("ring") + F.col("other") > 0))
+    around = mine.join(others, "pivot").where((F.col("other") - F.col("ring")).between(-1, 1) & which)
     to_parts = F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1))
     tiles = around.select("pivot", "rep", "distance", "ring", "part", "other", to_parts.alias("other_part"))
     here, there = F.struct("ring", "part"), F.struct(F.col("other").alias("ring"), F.col("other_part").alias("part"))
-    tiles = tiles.select("pivot", F.least(here, there).alias("low"), F.greatest(here, there).alias("high"), "rep", "distance", (F.col("ring") == 0).alias("inner")).join(bodies, "rep")
+    low, high = F.least(here, there), F.greatest(here, there)
+    tiles = tiles.select(
+        "pivot", low.alias("low"), high.alias("high"), "rep", "distance", (F.col("ring") == 0).alias("inner"), (here == low).alias("in_low"), (here == high).alias("in_high")
+    )
+    return tiles.join(bodies, "rep")
+
+
+def linked_pairs(
+    docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES, part: int = PART
+) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, as ``a, b`` (a < b) of their representatives; and ``doc_id, n_shingles, rep`` per row.
+
+    The representative of a set is the smallest id that has it; rows without an id have none and are linked with nothing.
+    Linked sets share a rare shingle, so they lie in the region of its pivot, in the same ring or in neighbouring ones: there all
+    pairs of parts are joined. Copies stay one set, however many there are.
+    """
+    found, sets = _represented(docs, width, percent, chunk_bytes)
+    near = _near_pivots(sets, percent)
+    pivot_links = near.where("inner").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
+    rings, _ = settle(near.select("pivot", "rep", "distance", "inner").select("pivot", "rep", "distance", _ring(percent)), "rings")
+    tiles = _tiles(rings, sets.select("rep", "hashes"), part, F.lit(True))
+
+    def join_tile(rows: pa.Table) -> pa.Table:
+        held = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+        low, high = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("in_low", "in_high"))
+        a, b = pairs_within(rows.column("rep").to_numpy(), held, low, high, percent)
+        return pa.table({"a": a, "b": b})
+
+    inside = tiles.groupBy("pivot", "low", "high").applyInArrow(join_tile, "a long, b long")
+    links, _ = settle(pivot_links.unionByName(inside).distinct(), "all_links")
+    known = sets.select("f1", "f2", "rep")
+    members = found.join(known, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+    return links, members
+
+
+def groups_with_links(
+    docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES, part: int = PART, limits: Limits = DEFAULT_LIMITS
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` per row: ``groups`` with the number of other rows that a row is linked with,
+    equal ones included. Rows without an id count for no one and have null numbers; empty sets have 0 links.
+    """
+    links, members = linked_pairs(docs, width, percent, chunk_bytes, part)
+    members, _ = settle(members, "members")
+    weights = members.where("rep is not null and n_shingles > 0").groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
+    weights = key_table(weights, "copies", "copies")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("b", "rep")
+    others = attach(both, weights, ["rep"], limits=limits, count_rows=True).groupBy("a").agg(F.sum("copies").alias("others"))
+    parts = components(links)
+    told = (
+        weights.frame.join(others.withColumnRenamed("a", "rep"), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("rep", "copies", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    )
+    return attach(members, told, ["rep"], "left", "copies", limits).select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"),
+    )
+
+
+def groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES, part: int = PART) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row.
+
+    Null and empty texts have an empty set and are linked with nothing; a text of fewer words than a shingle has is one
+    shingle. Repeated rows have the same set. A row without an id is a group of its own, without a number. Shingles are
+    compared by 64-bit hashes.
+    """
+    found, sets = _represented(docs, width, percent, chunk_bytes)
+    near = _near_pivots(sets, percent)
+    edges = near.where("inner").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+
+    reach = 1 - percent / 100
+    outside = near.where("not inner").groupBy("pivot").agg(F.min("distance").alias("nearest"))
+    outside, _ = settle(outside, "outside")
+    rings = near.join(outside, "pivot").where(~F.col("inner") | (F.col("distance") >= F.col("nearest") - reach - 1e-9))
+    rings, _ = settle(rings.select("pivot", "rep", "distance", _ring(percent)), "rings")
+    tiles = _tiles(rings, sets.select("rep", "hashes"), part, F.col("ring") + F.col("other") > 0).drop("in_low", "in_high")
 
     def join_tile(rows: pa.Table) -> pa.Table:
         reps = rows.column("rep").to_numpy()

@@ -11,6 +11,7 @@ import pytest
 from seriesloom.llm import jaccard
 from seriesloom.llm.common import components
 from seriesloom.llm.epsilon import near_duplicates
+from seriesloom.operators.skew import DEFAULT_LIMITS
 from tests.llm.corpus import SCHEMA, corpus, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,6 +52,32 @@ def test_groups(spark, width, percent, part, chunk_bytes):
     assert len({r.component_id for r in got}) < len(want)
 
 
+@pytest.mark.parametrize(("width", "percent", "part", "chunk_bytes"), [(4, 85, 2048, 1 << 20), (5, 80, 2, 5000)])
+def test_every_link_is_found(spark, tight, width, percent, part, chunk_bytes):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    held = [(r[0], shingles(r[1], width)) for r in rows]
+    near = lambda x, y: x and y and 100 * len(x & y) >= percent * len(x | y)
+    rep = {}
+    for k, s in sorted((h for h in held if h[0] is not None), key=lambda h: h[0]):
+        rep.setdefault(s, k)
+    want = {(min(a, b), max(a, b)) for x, a in rep.items() for y, b in rep.items() if a != b and near(x, y)}
+    pairs, members = jaccard.linked_pairs(docs, width, percent, chunk_bytes, part)
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(want) > 10 and len(got) == len(set(got)) and set(got) == want
+    assert all(r.rep == (None if r.doc_id is None else rep[s] if s else r.doc_id) for r, s in
+               zip(sorted(members.where("doc_id is not null").collect(), key=lambda r: r.doc_id), [s for k, s in sorted((h for h in held if h[0] is not None), key=lambda h: h[0])]))
+    known = [(k, s) for k, s in held if k is not None]
+    degree = Counter((k, len(s), sum(bool(near(s, y)) for j, (_, y) in enumerate(known) if j != i)) for i, (k, s) in enumerate(known))
+    degree.update((None, len(s), None) for k, s in held if k is None)
+    for limits in (DEFAULT_LIMITS, tight):
+        told = jaccard.groups_with_links(docs, width, percent, chunk_bytes, part, limits).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in told) == degree
+    plain = jaccard.groups(docs, width, percent, chunk_bytes, part).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in told) == Counter(map(tuple, plain))
+    assert jaccard.groups_with_links(docs.limit(0)).count() == 0
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
