@@ -146,6 +146,7 @@ class Codec:
         self.whole, self.plain = build(self.model), build(self.model, normalise=False)
         words = [p for p, t in zip(self.model.pieces, self.model.types) if t in (NORMAL, USER)]
         self.by_unit = self.model.escape and not any(MARK in p.lstrip(MARK) for p in words)
+        self.unit_parity = self.by_unit and self.model.dummy_prefix and not self.model.remove_extra and not self.model.charsmap
         self.bytes = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode()
             for p, t in zip(self.model.pieces, self.model.types)
@@ -179,6 +180,11 @@ class Codec:
             for k, ids in zip(starts, self.library.encode([new[k][1:] for k in starts], num_threads=1)):
                 if ids != encoded[k]:
                     self.unequal.add(new[k])
+            behind = [k for k in sorted(set(range(len(new))) - set(starts)) if new[k].startswith(MARK)] if self.unit_parity else []
+            ahead = self.plain.encode(MARK + "a", add_special_tokens=False).ids if behind else []
+            for k, ids in zip(behind, self.library.encode(["a" + new[k].replace(MARK, " ") for k in behind], num_threads=1)):
+                if ids != ahead + encoded[k]:  # bare and several markers are compared behind a letter
+                    self.unequal.add(new[k])
         if len(self.known) + len(new) > KEEP:
             self.known = {}
         for unit, ids in zip(new, encoded):
@@ -188,11 +194,11 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, bool, bool | None]]:
         """Ids as little-endian 32-bit words, whether they decode to the normalised text, whether the library agrees: word by word
-        in plain texts, where every unit is a word that was compared; as a whole in others. Null without the library."""
+        where every unit was compared; as a whole under models that change blanks or characters. Null without the library."""
         cut, plain = [], []
         for text in texts:
-            plain.append(not text or self._plain(text))
-            if text and plain[-1]:
+            plain.append(not text or self.unit_parity or self._plain(text))
+            if text and self._plain(text):
                 cut.append((MARK + text.replace(" ", f" {MARK}")).split(" "))
             else:
                 cut.append(self.units(text))
@@ -235,8 +241,8 @@ def codec(path: str | None, threads: int) -> Codec:
 def encode(docs: DataFrame, model_path: str | None = None, threads: int = 2, with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_crc32, round_trip, parity`` per row, and the ids (binary) if asked for.
 
-    ``round_trip``: the ids decode to the normalised text. ``parity``: the sentencepiece library gives the same ids, to every word
-    of a text of single blanks, to other texts as a whole. Null and empty texts have no ids. Repeated rows come back repeated.
+    ``round_trip``: the ids decode to the normalised text. ``parity``: the sentencepiece library gives the same ids, to every
+    unit of the text, or to the text as a whole under models that change blanks or characters. Null and empty texts have no ids. Repeated rows come back repeated.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -117,21 +117,21 @@ def test_whole_pipeline_of_the_backend_agrees():
         assert own.whole.decode(own.library.encode(text)) == own.library.decode(own.library.encode(text))
 
 
-def test_parity_is_told_only_where_it_was_compared(monkeypatch):
+def test_parity_is_told_only_where_it_was_compared():
     """A backend that errs on bare markers, or on words behind several of them, is noticed; without the library nothing is claimed."""
     texts = ["plain words", "two  blanks", " lead", "tail ", "▁ mark", "", "   "]
     own = sentencepieces.Codec()
     assert [(r, p) for _, r, p in own.encode_batch(texts)] == [(True, True)] * len(texts)
     wrong = sentencepieces.Codec()
-    learn = wrong.learn
+    right = wrong.plain
 
-    def err(units):
-        learn(units)
-        for u in units:
-            if u.startswith("▁▁") or u == "▁":
-                wrong.known[u] = wrong.known["▁plain"] if "▁plain" in wrong.known else b"\x05\0\0\0"
+    class Erring:
+        encode = right.encode
 
-    monkeypatch.setattr(wrong, "learn", err)
+        def encode_batch(self, units, **options):
+            return [right.encode("▁wrong" if u.startswith("▁▁") or u == "▁" else u, **options) for u in units]
+
+    wrong.plain = Erring()
     assert [p for _, _, p in wrong.encode_batch(texts)] == [True, False, False, False, False, True, False]
     assert [r for _, r, _ in wrong.encode_batch(texts)] == [True, False, False, False, False, True, False]
     assert {p for _, _, p in sentencepieces.Codec(verify=False).encode_batch(texts)} == {None}
