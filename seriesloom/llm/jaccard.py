@@ -51,7 +51,7 @@ class Shingles:
         doc = words.doc[at]
         sizes = np.diff(words.first)
         short = np.flatnonzero((sizes > 0) & (sizes < width))
-        whole = words.rolling.at(words.first[short], words.first[short + 1])
+        whole = words.runs.at(words.first[short], sizes[short])
         doc, hashes = np.concatenate([doc, short]), np.concatenate([hashes, whole])
         order = np.lexsort((hashes, doc))
         doc, hashes = doc[order], hashes[order]

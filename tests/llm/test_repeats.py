@@ -39,6 +39,28 @@ def test_words_of_repeated_windows_go(spark, window, chunk_bytes):
     assert Counter(map(tuple, got)) == want
 
 
+def mirrored(n: int, letters: str) -> list[str]:
+    """The Thue-Morse order of two letters."""
+    return [letters[bin(k).count("1") % 2] for k in range(n)]
+
+
+@pytest.mark.parametrize(("window", "of_words"), [(35, False), (2048, True)])
+def test_mirrored_orders_are_no_repeats(spark, window, of_words):
+    """Long words, or windows, of two letters in an order that sums of powers modulo 2**64 can't tell from its mirror."""
+    around = [f"w{k}" for k in range(40)]
+    if of_words:
+        texts = [" ".join(mirrored(window, letters)) for letters in ("ab", "ba")]
+    else:
+        texts = [" ".join([*around, "".join(mirrored(1024, letters)), *around[::-1]]) for letters in ("ab", "ba")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in blocks.digest(blocks.repeated_words(docs, window)).collect()}
+    words = [t.split() for t in texts]
+    want = {}
+    for k, (own, gone) in enumerate(zip(words, covered(words, window))):
+        want[k] = (len(own), int(gone.sum()), sha(" ".join(w for w, out in zip(own, gone) if not out).encode()))
+    assert got == want
+
+
 @pytest.mark.parametrize(("threshold", "chunk_bytes"), [(200, 1 << 20), (200, 5000), (31, 4000)])
 def test_bytes_of_long_repeats_go(spark, threshold, chunk_bytes):
     rows = corpus()
