@@ -142,3 +142,30 @@ def test_fold_by_key_merges_states(skewed):
     out = fold_by_key(skewed.repartition(7), ["key"], part, merge, finish, "key int, n long, low long, high long")
     want = skewed.groupBy("key").agg(F.count("id").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_fold_by_key_runs_once_per_key_and_task(spark):
+    """Keys beside nulls, beyond the digits of doubles and of two columns; partial runs once per key of a task, not per Arrow batch."""
+    import struct
+
+    big = 2**60
+    data = [(None if k % 50 == 0 else big + k % 50, "xy"[k % 2] if k % 3 else None, k, k / 2) for k in range(30_000)]
+    df = spark.createDataFrame(data, "key long, part string, id long, v double").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def part(rows):
+        calls.add(1)
+        return struct.pack("<qq", len(rows), rows["id"].max())
+
+    def merge(states):
+        n, high = zip(*[struct.unpack("<qq", s) for s in states])
+        return struct.pack("<qq", sum(n), max(high))
+
+    def finish(key, state):
+        n, high = struct.unpack("<qq", state)
+        return key.assign(high=high, n=n) if n else key.head(0)
+
+    out = fold_by_key(df, ["key", "part"], part, merge, finish, "key long, part string, n long, high long").collect()
+    want = df.groupBy("key", "part").agg(F.count("id"), F.max("id")).collect()
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, want), key=str)
+    assert len(out) == 100 and calls.value <= len(out) + 3
