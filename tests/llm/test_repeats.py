@@ -2,12 +2,13 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from seriesloom.llm import blocks, suffixes
+from seriesloom.llm import blocks, exchange, suffixes
 from tests.llm.corpus import SCHEMA, corpus
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,6 +97,23 @@ def test_texts_without_repeats_stay_whole_characters(spark):
             assert r.n_chars == len(r.text) < len(old[1])
 
 
+def test_words_of_a_chunk_need_little_memory():
+    """Workers stay as large as their largest step was, and later steps find them so."""
+
+    class Texts:
+        bytes = np.frombuffer(b"some words " * (1 << 17), np.uint8)
+        offsets = np.array([0, 500_000, len(bytes)])
+
+    exchange._powers.cache_clear()
+    tracemalloc.start()
+    try:
+        blocks.Words(Texts).windows(4)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30 * len(Texts.bytes)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert blocks.repeated_words(docs).count() == 0
