@@ -64,10 +64,10 @@ class FrequencyRound(Round):
     """Buckets tell how common a hash is: the binary logarithm of the chunks that hold it, one more for each with several."""
 
     def resolve(self):
-        number = self.number
+        number, unpacked = self.number, self.unpacked
 
         def run(rows: pa.Table) -> pa.Table:
-            keys = [np.frombuffer(k, np.uint32) for k in rows.column("keys").to_pylist()]
+            keys = [unpacked(k) for k in rows.column("keys").to_pylist()]
             again = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(rows.column("again").to_pylist(), keys)]
             _, where = np.unique(np.concatenate(keys), return_inverse=True)
             counts = np.bincount(where, weights=1 + np.concatenate(again))
@@ -95,7 +95,7 @@ def _sets(docs: DataFrame, width: int, percent: int, chunk_bytes: int) -> DataFr
     """A row per document with the size of its set; those that may be linked also have a fingerprint of the set, and the
     row with the smallest id of each set in a chunk carries the set, its commonness and the rare shingles that it may share."""
     dealt, total = in_chunks(docs, chunk_bytes)
-    ask = FrequencyRound(1, bucket_bits(total / 6, 4), 4)
+    ask = FrequencyRound(1, bucket_bits(total / 6, 4), 3)  # of 2**24 keys a bucket gets half a million: a few false hits
 
     def question(key: tuple, rows: pa.Table) -> pa.Table:
         return pa.Table.from_batches([ask.question(key[0].as_py(), Shingles(Chunk(rows), width).hashes)])

@@ -6,9 +6,11 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from seriesloom.llm import blocks, exchange, suffixes
+from seriesloom.llm import blocks, exchange, jaccard, suffixes
 from tests.llm.corpus import SCHEMA, corpus
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,6 +99,20 @@ def test_texts_without_repeats_stay_whole_characters(spark):
             assert r.n_chars == len(r.text) < len(old[1])
 
 
+@pytest.mark.parametrize(("key_bytes", "bits"), [(3, 6), (3, 14), (4, 6), (8, 6)])
+def test_so_many_bytes_of_a_hash_are_sent(key_bytes, bits):
+    hashes = np.random.default_rng(8).integers(0, 2**64, 5000, dtype=np.uint64)
+    hashes = np.concatenate([hashes, hashes[:50], np.array([0, 2**64 - 1], np.uint64)])
+    for ask in (exchange.Round(1, bits, key_bytes), jaccard.FrequencyRound(1, bits, key_bytes)):
+        sent = pa.Table.from_batches([ask.question(0, hashes)])
+        keys = np.unique(ask.reduced(hashes))
+        assert sum(map(len, sent.column("keys").to_pylist())) == key_bytes * len(keys)
+        assert np.concatenate([ask.unpacked(k) for k in sent.column("keys").to_pylist()]).tolist() == (keys & np.uint64((1 << 8 * key_bytes) - 1)).tolist()
+        answered = pa.concat_tables([ask.resolve()(sent.filter(pc.equal(sent["bucket"], b))) for b in sent["bucket"].to_pylist()])
+        met = ask.answers(hashes, None, answered) if type(ask) is exchange.Round else ask.classes(hashes, answered) > 0
+        assert np.flatnonzero(met).tolist() == [*range(50), *range(5000, 5050)]
+
+
 def test_words_of_a_chunk_need_little_memory():
     """Workers stay as large as their largest step was, and later steps find them so."""
 

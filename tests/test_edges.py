@@ -78,6 +78,35 @@ def test_intermediate_tables_can_be_cleared(spark):
     assert settle(spark.range(3), "numbers")[0].count() == 3
 
 
+@pytest.mark.parametrize("own", [None, "false", "true"])
+def test_a_settled_table_leaves_no_shuffle_files(spark, own):
+    import time
+
+    from seriesloom.sources.artifacts import CLEANUP, settle
+
+    def left():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    if own is not None:
+        spark.conf.set(CLEANUP, own)
+    try:
+        before = left()
+        found, _ = settle(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n")), "counts")
+        for _ in range(50):  # files go a moment later, without the driver's garbage being collected
+            if not left() - before:
+                break
+            time.sleep(0.1)
+        assert not left() - before
+        assert found.agg(F.sum("n")).first()[0] == 100_000
+        assert spark.conf.get(CLEANUP, None) == own
+        with pytest.raises(Exception, match="no such row"):
+            settle(spark.range(3).select(F.raise_error(F.lit("no such row")).cast("int").alias("x")), "none")
+        assert spark.conf.get(CLEANUP, None) == own
+    finally:
+        spark.conf.unset(CLEANUP)
+
+
 def test_views_of_the_session_survive_a_sql_text(spark):
     from seriesloom.sources.readers import run_sql
 
